@@ -1,0 +1,4 @@
+"""Query wiring: importing this package registers every query."""
+
+from parlour.plans import queries_management  # noqa: F401
+from parlour.plans.registry import ORACLE, QUERIES  # noqa: F401
