@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from parlour.functions.temporal import add_minutes, ts_lit
 from parlour.sources.schemas import MONEY
 
-ZERO = F.lit(0).cast(MONEY)
 OPEN_STATUSES = ("pending", "partial", "paid")
 
 
+def _zero() -> F.Column:
+    return F.lit(0).cast(MONEY)
+
+
 def scheduled_end(t: dict[str, DataFrame]) -> DataFrame:
     """scheduled_end = scheduled_start + service duration; kept as given when start is NULL."""
     ti = t["transaction_items"]
@@ -38,8 +41,8 @@ def invoice_totals(t: dict[str, DataFrame]) -> DataFrame:
     j = tx.join(item_sums(t), "tid", "left")
     return j.select(
         "tid",
-        F.coalesce(F.col("items_cost"), ZERO).cast(MONEY).alias("total_cost"),
-        (F.coalesce(F.col("items_discount"), ZERO) + F.coalesce(F.col("billlevel_discount"), ZERO))
+        F.coalesce(F.col("items_cost"), _zero()).cast(MONEY).alias("total_cost"),
+        (F.coalesce(F.col("items_discount"), _zero()) + F.coalesce(F.col("billlevel_discount"), _zero()))
         .cast(MONEY).alias("total_discount"))
 
 
@@ -52,7 +55,7 @@ def billlevel_discount_change(t: dict[str, DataFrame], changes: DataFrame) -> Da
         t["transactions"].select("tid"), "tid", "inner").join(item_sums(t), "tid", "left")
     return j.select(
         "tid", F.col("new_bill").alias("billlevel_discount"),
-        (F.coalesce(F.col("items_discount"), ZERO) + F.coalesce(F.col("new_bill"), ZERO)).cast(MONEY)
+        (F.coalesce(F.col("items_discount"), _zero()) + F.coalesce(F.col("new_bill"), _zero())).cast(MONEY)
         .alias("total_discount"))
 
 
@@ -62,7 +65,7 @@ def net_paid(t: dict[str, DataFrame]) -> DataFrame:
     refunded = t["refunds"].groupBy("tid").agg(F.sum("refund_amount").alias("refunded"))
     j = t["transactions"].select("tid").join(paid, "tid", "left").join(refunded, "tid", "left")
     return j.select(
-        "tid", (F.coalesce("paid", ZERO) - F.coalesce("refunded", ZERO)).cast(MONEY).alias("total_paid"))
+        "tid", (F.coalesce("paid", _zero()) - F.coalesce("refunded", _zero())).cast(MONEY).alias("total_paid"))
 
 
 def status_rule(status: F.Column, total_cost: F.Column, total_discount: F.Column, total_paid: F.Column) -> F.Column:
@@ -90,7 +93,7 @@ def payment_status(t: dict[str, DataFrame]) -> DataFrame:
 
 def outstanding_col(total_cost: F.Column, total_discount: F.Column, total_paid: F.Column) -> F.Column:
     """greatest(0, cost - discount - paid); NULL when any part is NULL (as in SQL)."""
-    return F.greatest(ZERO, total_cost - total_discount - total_paid)
+    return F.greatest(_zero(), total_cost - total_discount - total_paid)
 
 
 def outstanding(t: dict[str, DataFrame]) -> DataFrame:
