@@ -30,4 +30,4 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, rank_c
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= k)

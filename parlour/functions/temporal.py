@@ -85,3 +85,13 @@ def covers(start: Column, end: Column, instant: Column) -> Column:
 def minutes_between(a: Column, b: Column) -> Column:
     """(b - a) in fractional minutes, as EXTRACT(EPOCH FROM b - a) / 60."""
     return F.timestamp_diff("MICROSECOND", a, b) / F.lit(60_000_000.0)
+
+
+def duration_micros(a: Column, b: Column) -> Column:
+    """(b - a) in whole microseconds (exact, so averages agree across engines)."""
+    return F.timestamp_diff("MICROSECOND", a, b)
+
+
+def avg_minutes(a: Column, b: Column) -> Column:
+    """Aggregate: mean of (b - a) in minutes, summed exactly in microseconds first."""
+    return F.sum(duration_micros(a, b)).cast("double") / F.count(duration_micros(a, b)) / F.lit(60_000_000.0)

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlour.functions.temporal import PERIODS, as_datetime, minutes_between, period_starts, ts_lit
+from parlour.functions.temporal import PERIODS, as_datetime, duration_micros, period_starts, ts_lit
 from parlour.sources.schemas import MONEY
 
 DONE = ("completed", "paid")
@@ -91,7 +91,8 @@ def room_utilization(t: dict[str, DataFrame], k: int = 3) -> DataFrame:
     # one row per room: the un-partitioned window sees only the (small) room table
     desc = Window.orderBy(F.desc("bookings"), F.asc("rid"))
     asc = Window.orderBy(F.asc("bookings"), F.desc("rid"))
-    r = j.select("*", F.row_number().over(desc).alias("most_rank"), F.row_number().over(asc).alias("least_rank"))
+    r = j.select("*", F.row_number().over(desc).cast("long").alias("most_rank"),
+                 F.row_number().over(asc).cast("long").alias("least_rank"))
     most = r.where(F.col("most_rank") <= k).select(F.lit("most_used").alias("list"), F.col("most_rank").alias("pos"),
                                                   "rid", "room_name", "bookings", "revenue")
     least = r.where(F.col("least_rank") <= k).select(F.lit("least_used").alias("list"), F.col("least_rank").alias("pos"),
@@ -120,11 +121,13 @@ def avg_service_minutes(t: dict[str, DataFrame], as_of) -> DataFrame:
     ti = t["transaction_items"].where(
         F.col("actual_start").isNotNull() & F.col("actual_end").isNotNull() & _widest(F.col("actual_start"), as_of))
     ti = ti.join(t["transactions"].where(F.col("status").isin(*DONE)).select("tid"), "tid", "left_semi")
-    mins = minutes_between(F.col("actual_start"), F.col("actual_end"))
+    micros = duration_micros(F.col("actual_start"), F.col("actual_end"))
     flags = _period_flags(F.col("actual_start"), as_of)
     aggs = []
     for p in PERIODS:
-        aggs += [F.coalesce(F.avg(F.when(flags[p], mins)), F.lit(0.0)).alias(f"{p}__avg_duration_minutes"),
+        n = F.count_if(flags[p])
+        mean = F.sum(F.when(flags[p], micros)).cast("double") / n / F.lit(60_000_000.0)
+        aggs += [F.coalesce(mean, F.lit(0.0)).alias(f"{p}__avg_duration_minutes"),
                  F.count_if(flags[p]).alias(f"{p}__completed_services")]
     return _unpivot(ti.agg(*aggs), ["avg_duration_minutes", "completed_services"])
 

@@ -1,4 +1,4 @@
 """Query wiring: importing this package registers every query."""
 
-from parlour.plans import queries_management, queries_staff  # noqa: F401
+from parlour.plans import queries_management, queries_people, queries_staff  # noqa: F401
 from parlour.plans.registry import ORACLE, QUERIES  # noqa: F401

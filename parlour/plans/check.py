@@ -47,6 +47,12 @@ def _norm(v, digits: int):
     return str(v)
 
 
+def _duck_type(dt) -> str:
+    return {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+            "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "BooleanType": "BOOLEAN",
+            "DecimalType": "DECIMAL", "TimestampType": "TIMESTAMP WITH TIME ZONE"}.get(type(dt).__name__, str(dt))
+
+
 def rows_of(cols: list[str], rows, digits: int):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i], digits) for i in order) for r in rows]
@@ -58,6 +64,7 @@ def compare(spark_df, con, sql: str, digits: int = 6) -> dict:
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.execute(sql)
     d_cols = [d[0] for d in rel.description]
+    d_types = {d[0]: str(d[1]) for d in rel.description}
     d_rows = rel.fetchall()
     res = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
            "columns_match": sorted(s_cols) == sorted(d_cols)}
@@ -65,6 +72,10 @@ def compare(spark_df, con, sql: str, digits: int = 6) -> dict:
         res["spark_cols"], res["oracle_cols"] = sorted(s_cols), sorted(d_cols)
         res["ok"] = False
         return res
+    s_types = {f.name: _duck_type(f.dataType) for f in spark_df.schema.fields}
+    tm = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c].split("(")[0]}
+    if tm:
+        res["type_mismatch"] = tm
     a, b = rows_of(s_cols, s_rows, digits), rows_of(d_cols, d_rows, digits)
     res["values_match"] = a == b
     if not res["values_match"]:
