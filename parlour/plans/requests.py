@@ -41,3 +41,148 @@ FIND_REQUESTS_SQL = """SELECT n_nationkey AS req_id,
   CASE n_nationkey % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'name' ELSE 'cid' END AS by,
   CASE WHEN n_nationkey % 3 = 2 THEN CAST(n_nationkey * 41 AS VARCHAR)
        ELSE lpad(CAST(n_nationkey * 37 AS VARCHAR), 3, '0') END AS term FROM nation"""
+
+
+# ---- slot / booking / edit requests ------------------------------------------------------
+def _counts(raw) -> DataFrame:
+    return raw["part"].agg(F.count(F.lit(1)).alias("n_parts")).crossJoin(
+        raw["supplier"].agg(F.count(F.lit(1)).alias("n_supp")))
+
+
+def slot_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
+    """One booking request per order with tid % 50 = 2, on the as_of day."""
+    from datetime import datetime
+
+    raw = read_raw(spark, sf_dir)
+    o = raw["orders"].where(F.col("o_orderkey") % 50 == 2).crossJoin(F.broadcast(_counts(raw)))
+    tid = F.col("o_orderkey")
+    day = F.lit(datetime(as_of.year, as_of.month, as_of.day)).cast("timestamp_ntz")
+    return o.select(
+        tid.alias("req_id"), tid.alias("tid"), (tid % F.col("n_parts")).alias("sid"),
+        F.timestamp_add("HOUR", (9 + tid % 12).cast("int"), day).alias("slot_start"),
+        (tid % F.col("n_supp")).alias("therapist_eid"), (tid % 20).cast("int").alias("rid"),
+        F.when(tid % 3 == 0, 10.0).when(tid % 3 == 1, 1000000.0).otherwise(0.0).alias("item_discount"),
+        F.when(tid % 3 == 0, "promo").when(tid % 3 == 1, "management").otherwise("none").alias("item_discount_type"))
+
+
+def slot_requests_sql(as_of) -> str:
+    return f"""SELECT o_orderkey AS req_id, o_orderkey AS tid, o_orderkey % (SELECT COUNT(*) FROM part) AS sid,
+  TIMESTAMP '{as_of:%Y-%m-%d} 00:00:00' + (9 + o_orderkey % 12) * INTERVAL '1' HOUR AS slot_start,
+  o_orderkey % (SELECT COUNT(*) FROM supplier) AS therapist_eid, CAST(o_orderkey % 20 AS INTEGER) AS rid,
+  CASE o_orderkey % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 1000000.0 ELSE 0.0 END AS item_discount,
+  CASE o_orderkey % 3 WHEN 0 THEN 'promo' WHEN 1 THEN 'management' ELSE 'none' END AS item_discount_type
+FROM orders WHERE o_orderkey % 50 = 2"""
+
+
+def edit_requests(items: DataFrame) -> DataFrame:
+    """One edit per item with ttid % 97 = 5: same service, staff and room, 30 minutes later."""
+    i = items.where(F.col("ttid") % 97 == 5)
+    return i.select(F.col("ttid").alias("req_id"), "ttid", "sid",
+                    F.timestamp_add("MINUTE", F.lit(30), F.col("scheduled_start")).alias("slot_start"),
+                    "therapist_eid", "rid", F.col("item_discount").cast("double").alias("item_discount"),
+                    "item_discount_type")
+
+
+EDIT_REQUESTS_SQL = """SELECT ttid AS req_id, ttid, sid, scheduled_start + INTERVAL '30' MINUTE AS slot_start,
+  therapist_eid, rid, CAST(item_discount AS DOUBLE) AS item_discount, item_discount_type
+FROM transaction_items WHERE ttid % 97 = 5"""
+
+
+# ---- change batches ----------------------------------------------------------------------
+def employment_changes(t) -> DataFrame:
+    e = t["employees"]
+    return e.where(F.col("eid") % 6 != 0).select(
+        "eid", F.when(F.col("eid") % 6 == 1, F.lit("2000-06-30").cast("date"))
+        .when(F.col("eid") % 6 == 5, F.lit("1997-06-30").cast("date")).alias("new_end"))
+
+
+EMPLOYMENT_CHANGES_SQL = """SELECT eid, CASE WHEN eid % 6 = 1 THEN DATE '2000-06-30'
+  WHEN eid % 6 = 5 THEN DATE '1997-06-30' END AS new_end FROM employees WHERE eid % 6 <> 0"""
+
+
+def role_ids(t) -> DataFrame:
+    r = t["roles"]
+    return r.where(F.col("rid") % 7 == 3).select("rid").unionByName(
+        r.where(F.col("rid") % 49 == 3).select((F.col("rid") + 1000000).alias("rid")))
+
+
+ROLE_IDS_SQL = """SELECT rid FROM roles WHERE rid % 7 = 3
+  UNION ALL SELECT rid + 1000000 FROM roles WHERE rid % 49 = 3"""
+
+
+def role_requests(t, as_of) -> DataFrame:
+    e = t["employees"].where(F.col("eid") % 5 == 2)
+    return e.select(F.col("eid").alias("req_id"), "eid", ((F.col("eid") + 2) % 5).cast("int").alias("rdid"),
+                    F.lit(as_of.date()).alias("start_date"),
+                    F.when(F.col("eid") % 10 != 2, F.lit("2000-01-01").cast("date")).alias("end_date"))
+
+
+def role_requests_sql(as_of) -> str:
+    return f"""SELECT eid AS req_id, eid, CAST((eid + 2) % 5 AS INTEGER) AS rdid, DATE '{as_of:%Y-%m-%d}' AS start_date,
+  CASE WHEN eid % 10 <> 2 THEN DATE '2000-01-01' END AS end_date FROM employees WHERE eid % 5 = 2"""
+
+
+def delete_requests(t) -> DataFrame:
+    return t["transaction_items"].where(F.col("ttid") % 89 == 1).select("ttid")
+
+
+DELETE_REQUESTS_SQL = "SELECT ttid FROM transaction_items WHERE ttid % 89 = 1"
+
+
+def clock_events(t) -> DataFrame:
+    i = t["transaction_items"].where(F.col("ttid") % 13 == 0)
+    k, s, e = F.col("ttid"), F.col("scheduled_start"), F.col("scheduled_end")
+    ev = [i.select((k * 10 + 1).alias("event_id"), "ttid", F.lit("start").alias("kind"), s.alias("event_time")),
+          i.select((k * 10 + 2).alias("event_id"), "ttid", F.lit("end").alias("kind"), e.alias("event_time")),
+          i.where(k % 26 == 0).select((k * 10 + 3).alias("event_id"), "ttid", F.lit("end").alias("kind"),
+                                      F.timestamp_add("MINUTE", F.lit(5), e).alias("event_time")),
+          i.where(k % 39 == 0).select((k * 10 + 4).alias("event_id"), "ttid", F.lit("end").alias("kind"),
+                                      F.timestamp_add("MINUTE", F.lit(-10), s).alias("event_time"))]
+    out = ev[0]
+    for x in ev[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+CLOCK_EVENTS_SQL = """SELECT ttid * 10 + 1 AS event_id, ttid, 'start' AS kind, scheduled_start AS event_time
+  FROM transaction_items WHERE ttid % 13 = 0
+UNION ALL SELECT ttid * 10 + 2, ttid, 'end', scheduled_end FROM transaction_items WHERE ttid % 13 = 0
+UNION ALL SELECT ttid * 10 + 3, ttid, 'end', scheduled_end + INTERVAL '5' MINUTE FROM transaction_items
+  WHERE ttid % 13 = 0 AND ttid % 26 = 0
+UNION ALL SELECT ttid * 10 + 4, ttid, 'end', scheduled_start - INTERVAL '10' MINUTE FROM transaction_items
+  WHERE ttid % 13 = 0 AND ttid % 39 = 0"""
+
+
+def payment_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
+    from parlour.sources.fixtures import _method
+
+    o = read_raw(spark, sf_dir)["orders"].where(F.col("o_orderkey") % 11 == 4)
+    tid = F.col("o_orderkey")
+    quarter = F.floor(F.col("o_totalprice") / 4).cast("long").cast("string")
+    half = F.floor(F.col("o_totalprice") / 2).cast("long").cast("string")
+    return o.select(
+        tid.alias("req_id"), tid.alias("tid"), F.array(_method(tid), _method(tid + 1)).alias("methods"),
+        F.when(tid % 3 == 0, F.array(quarter, F.lit("0"), F.lit("12.50"))).otherwise(F.array(half)).alias("amounts"),
+        F.lit(as_of).cast("timestamp_ntz").alias("event_time"))
+
+
+PAY_METHOD_SQL = """CASE {k} % 6 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'NETS' WHEN 3 THEN 'PayNow'
+  WHEN 4 THEN 'eWallet' ELSE 'Voucher' END"""
+
+
+def payment_requests_sql(as_of) -> str:
+    m0, m1 = PAY_METHOD_SQL.format(k="o_orderkey"), PAY_METHOD_SQL.format(k="(o_orderkey + 1)")
+    return f"""SELECT o_orderkey AS req_id, o_orderkey AS tid, [{m0}, {m1}] AS methods,
+  CASE WHEN o_orderkey % 3 = 0
+       THEN [CAST(CAST(floor(o_totalprice / 4) AS BIGINT) AS VARCHAR), '0', '12.50']
+       ELSE [CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS VARCHAR)] END AS amounts,
+  TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' AS event_time
+FROM orders WHERE o_orderkey % 11 = 4"""
+
+
+def exit_requests(t, as_of) -> DataFrame:
+    return t["transactions"].where(F.col("tid") % 13 == 6).select("tid", F.lit(as_of).cast("timestamp_ntz").alias("event_time"))
+
+
+def exit_requests_sql(as_of) -> str:
+    return f"SELECT tid, TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' AS event_time FROM transactions WHERE tid % 13 = 6"
