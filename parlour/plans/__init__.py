@@ -1,4 +1,4 @@
 """Query wiring: importing this package registers every query."""
 
-from parlour.plans import queries_changes, queries_management, queries_people, queries_staff  # noqa: F401
+from parlour.plans import queries_changes, queries_management, queries_people, queries_quality, queries_staff  # noqa: F401,E501
 from parlour.plans.registry import ORACLE, QUERIES  # noqa: F401
