@@ -31,8 +31,15 @@ ROLE_TYPES = ("Senior Therapist", "Beautician", "Doctor", "Cashier", "Manager")
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
+_RAW_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in RAW_TABLES}
+    """The driver tables (lazy scans; file listing and footers are read once per session)."""
+    key = (id(spark), sf_dir)
+    if key not in _RAW_CACHE:
+        _RAW_CACHE[key] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in RAW_TABLES}
+    return _RAW_CACHE[key]
 
 
 def _code(c) -> F.Column:
@@ -198,8 +205,6 @@ def transactions_base(raw, items: DataFrame) -> DataFrame:
 
 def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The eleven domain tables, with invoice totals as the reference's triggers keep them."""
-    from parlour.operators.derive import invoice_totals, net_paid
-
     raw = read_raw(spark, sf_dir)
     t = {
         "role_definition": role_definition(spark),
@@ -214,9 +219,16 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["payments"] = payments(raw)
     t["refunds"] = refunds(raw)
     base = transactions_base(raw, t["transaction_items"])
-    tot = invoice_totals({**t, "transactions": base}).select("tid", "total_cost", "total_discount")
-    paid = net_paid({**t, "transactions": base}).select("tid", "total_paid")
-    t["transactions"] = conform(
-        base.drop("total_cost", "total_discount", "total_paid").join(tot, "tid", "left").join(paid, "tid", "left"),
-        "transactions")
+    # stored totals as the triggers keep them: per-tid aggregates joined straight onto the
+    # header (no self join), so Catalyst drops each join when its columns are not read
+    money0 = F.lit(0).cast(MONEY)
+    items = t["transaction_items"].groupBy("tid").agg(F.sum("cost").alias("_c"), F.sum("item_discount").alias("_d"))
+    paid = t["payments"].groupBy("tid").agg(F.sum("payment_amount").alias("_p"))
+    refunded = t["refunds"].groupBy("tid").agg(F.sum("refund_amount").alias("_r"))
+    j = (base.drop("total_cost", "total_discount", "total_paid").join(items, "tid", "left")
+         .join(paid, "tid", "left").join(refunded, "tid", "left"))
+    t["transactions"] = conform(j.select(
+        "*", F.coalesce("_c", money0).alias("total_cost"),
+        (F.coalesce("_d", money0) + F.coalesce("billlevel_discount", money0)).alias("total_discount"),
+        (F.coalesce("_p", money0) - F.coalesce("_r", money0)).alias("total_paid")), "transactions")
     return t
