@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlour.functions.joins import top_k_per_group
+from parlour.functions.ranking import global_rank_lag_lead
 from parlour.functions.temporal import (as_datetime, duration_micros, employed, period_starts, role_active, today,
                                         ts_lit)
 from parlour.sources.schemas import MONEY
@@ -90,16 +91,14 @@ def leaderboard(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False) -> D
     employee on the board (LAG/LEAD ties broken by eid).
 
     The input is one row per employee (already aggregated). Leader revenue and field size
-    are plain aggregates joined back as one broadcast row; only rank/lag/lead need the order.
+    are plain aggregates joined back as one broadcast row; rank/lag/lead come from a
+    range-partitioned global order (:mod:`parlour.functions.ranking`), not a one-task window.
     """
     rev = therapist_revenue(t, as_of, dedupe_roles)
     stats = rev.agg(F.max("revenue").alias("leader_revenue"), F.count(F.lit(1)).alias("total_therapists"))
-    by_rev = Window.orderBy(F.desc("revenue"))
-    by_rev_eid = Window.orderBy(F.desc("revenue"), F.asc("eid"))
-    ranked = rev.select(
-        "eid", "work_name", "revenue", F.rank().over(by_rev).cast("long").alias("rank"),
-        F.lag("revenue", 1).over(by_rev_eid).alias("person_above_revenue"),
-        F.lead("revenue", 1).over(by_rev_eid).alias("person_below_revenue"))
+    ranked = global_rank_lag_lead(rev, "revenue", "eid").select(
+        "eid", "work_name", "revenue", "rank", F.col("above").alias("person_above_revenue"),
+        F.col("below").alias("person_below_revenue"))
     return ranked.crossJoin(F.broadcast(stats))
 
 
