@@ -23,7 +23,10 @@ def add_hours(ts: Column, n) -> Column:
 
 
 def ts_lit(v: datetime | str) -> Column:
-    return F.lit(v if isinstance(v, datetime) else datetime.fromisoformat(v)).cast("timestamp_ntz")
+    """A TIMESTAMP_NTZ literal. Built from text, so neither the Python process's zone nor the
+    session zone can shift it."""
+    v = v if isinstance(v, datetime) else datetime.fromisoformat(str(v))
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def as_datetime(as_of) -> datetime:

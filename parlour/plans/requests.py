@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlour.functions.temporal import ts_lit
 from parlour.sources.fixtures import read_raw
 
 
@@ -56,7 +57,7 @@ def slot_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     raw = read_raw(spark, sf_dir)
     o = raw["orders"].where(F.col("o_orderkey") % 50 == 2).crossJoin(F.broadcast(_counts(raw)))
     tid = F.col("o_orderkey")
-    day = F.lit(datetime(as_of.year, as_of.month, as_of.day)).cast("timestamp_ntz")
+    day = ts_lit(datetime(as_of.year, as_of.month, as_of.day))
     return o.select(
         tid.alias("req_id"), tid.alias("tid"), (tid % F.col("n_parts")).alias("sid"),
         F.timestamp_add("HOUR", (9 + tid % 12).cast("int"), day).alias("slot_start"),
@@ -163,7 +164,7 @@ def payment_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     return o.select(
         tid.alias("req_id"), tid.alias("tid"), F.array(_method(tid), _method(tid + 1)).alias("methods"),
         F.when(tid % 3 == 0, F.array(quarter, F.lit("0"), F.lit("12.50"))).otherwise(F.array(half)).alias("amounts"),
-        F.lit(as_of).cast("timestamp_ntz").alias("event_time"))
+        ts_lit(as_of).alias("event_time"))
 
 
 PAY_METHOD_SQL = """CASE {k} % 6 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'NETS' WHEN 3 THEN 'PayNow'
@@ -181,7 +182,7 @@ FROM orders WHERE o_orderkey % 11 = 4"""
 
 
 def exit_requests(t, as_of) -> DataFrame:
-    return t["transactions"].where(F.col("tid") % 13 == 6).select("tid", F.lit(as_of).cast("timestamp_ntz").alias("event_time"))
+    return t["transactions"].where(F.col("tid") % 13 == 6).select("tid", ts_lit(as_of).alias("event_time"))
 
 
 def exit_requests_sql(as_of) -> str:

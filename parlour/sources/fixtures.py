@@ -47,7 +47,7 @@ def _code(c) -> F.Column:
 
 
 def _ts(v: datetime) -> F.Column:
-    return F.lit(v).cast("timestamp_ntz")
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _method(key: F.Column) -> F.Column:
