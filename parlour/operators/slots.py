@@ -60,9 +60,12 @@ def edit_conflicts(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
 
 
 def _busy_pairs(t, pairs: DataFrame, key: str, item_key: str, span: tuple[str, str],
-                exclude_ttid: str | None = None) -> DataFrame:
-    """(req_id, key) pairs whose resource has an open item overlapping the request span."""
-    items = envelope_filter(_open_items(t), "scheduled_start", "scheduled_end", pairs, span[0], span[1])
+                exclude_ttid: str | None = None, reqs: DataFrame | None = None) -> DataFrame:
+    """(req_id, key) pairs whose resource has an open item overlapping the request span.
+    The time envelope comes from ``reqs`` (the request table) when given: same span, far
+    fewer rows than the pairs."""
+    env_src = reqs if reqs is not None else pairs
+    items = envelope_filter(_open_items(t), "scheduled_start", "scheduled_end", env_src, span[0], span[1])
     items = items.select(F.col(item_key).alias(key), "ttid", "scheduled_start", "scheduled_end")
     cols = ["req_id", key, *span] + ([exclude_ttid] if exclude_ttid else [])
     extra = (F.col("ttid") != F.col(exclude_ttid)) if exclude_ttid else None
@@ -89,7 +92,7 @@ def candidate_therapists(t: dict[str, DataFrame], requests: DataFrame, as_of) ->
     """Employees holding exactly the service's role (employed, exclusive) and free in the slot."""
     reqs = priced_requests(t, requests).select("req_id", "req_rdid", "slot_start", "slot_end")
     pairs = _staff_pairs(t, reqs, as_of, exact_role=True, inclusive=False)
-    busy = _busy_pairs(t, pairs, "eid", "therapist_eid", ("slot_start", "slot_end"))
+    busy = _busy_pairs(t, pairs, "eid", "therapist_eid", ("slot_start", "slot_end"), reqs=reqs)
     return pairs.join(busy, ["req_id", "eid"], "left_anti").select("req_id", "eid", "work_name", "role_type")
 
 
@@ -105,7 +108,7 @@ def candidate_rooms(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """Rooms with no open item overlapping the slot."""
     reqs = priced_requests(t, requests).select("req_id", "slot_start", "slot_end")
     pairs = _room_pairs(t, reqs)
-    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"))
+    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"), reqs=reqs)
     return pairs.join(busy, ["req_id", "rid"], "left_anti").select("req_id", "rid", "room_name")
 
 
@@ -122,7 +125,7 @@ def edit_candidate_therapists(t: dict[str, DataFrame], edits: DataFrame, as_of)
     reqs = _current_slots(t, edits)
     pairs = _staff_pairs(t, reqs, as_of, exact_role=False, inclusive=True)
     busy = _busy_pairs(t, pairs.select("req_id", "eid", "slot_start", "slot_end", "req_ttid").distinct(), "eid",
-                       "therapist_eid", ("slot_start", "slot_end"), exclude_ttid="req_ttid")
+                       "therapist_eid", ("slot_start", "slot_end"), exclude_ttid="req_ttid", reqs=reqs)
     return pairs.join(busy, ["req_id", "eid"], "left_anti").select("req_id", "eid", "work_name", "role_type")
 
 
@@ -130,5 +133,5 @@ def edit_candidate_rooms(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame
     """Rooms free in the item's slot, ignoring the item itself."""
     reqs = _current_slots(t, edits)
     pairs = _room_pairs(t, reqs)
-    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"), exclude_ttid="req_ttid")
+    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"), exclude_ttid="req_ttid", reqs=reqs)
     return pairs.join(busy, ["req_id", "rid"], "left_anti").select("req_id", "rid", "room_name")
