@@ -11,6 +11,7 @@ from parlour.llm.exact_dedup import exact_dedup
 from parlour.llm.licenses import KNOWN, canonical_sql, licences
 from parlour.llm.packing import pack
 from parlour.llm.quality_crf import fit_quality, held_out, quality_scores
+from parlour.llm.secrets import secret_report, secret_spans
 from parlour.llm.simhash import near_dedup
 from parlour.llm.toxicity_kn import fit_toxicity, toxicity_scores
 from parlour.llm.url_filter import filter_urls, fit_urls, labelled_urls
@@ -26,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(secret_spans(table(spark, sf_dir, "documents")))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> dict:
     return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0)))
 
@@ -59,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_url_filter, op5_quality_crf, op6_license_scan, op7_decontaminate,
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_url_filter, op4_secret_scan, op5_quality_crf, op6_license_scan, op7_decontaminate,
                                  op8_toxicity_kneser_ney, op9_pack, op10_exact_dedup)}
 
 _TEXT = lambda t: "'" + t.replace("'", "''") + "'"
