@@ -20,11 +20,11 @@ SPLITTER_CHARS = 64
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
-                carry: bool = False) -> DataFrame:
+                carry: bool = False, result_col: str = "dedup") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``keep``: "min" keeps the smallest identifier of equal texts, "max" the largest. ``carry=True`` returns
-    the columns of ``docs`` instead of the identifier, plus the four result columns in a struct ``dedup``.
+    the columns of ``docs`` instead of the identifier, plus the four result columns in a struct ``result_col``.
 
     A null text counts as the empty text. A null identifier loses against any other; if a group has none,
     keep_id is null and one of its rows stays. Of rows that repeat identifier and text, one stays. An empty
@@ -60,5 +60,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .withColumn("kept", (F.col("rn") == 1) & F.col("run_keep").eqNullSafe(F.col("keep_id"))))
     result = [F.col("keep_id"), F.col("group_size"), F.col("kept"), F.col("sha").alias("text_sha256")]
     if carry:
-        return out.select("row.*", F.struct(*result).alias("dedup"))
+        return out.select("row.*", F.struct(*result).alias(result_col))
     return out.select(F.col("id").alias("doc_id"), *result)

@@ -11,8 +11,9 @@ from parlour.llm.exact_dedup import exact_dedup
 from parlour.llm.licenses import KNOWN, canonical_sql, licences
 from parlour.llm.packing import pack
 from parlour.llm.quality_crf import fit_quality, held_out, quality_scores
-from parlour.llm.secrets import secret_report, secret_spans
+from parlour.llm.secret_scan import secret_report, secret_spans
 from parlour.llm.simhash import near_dedup
+from parlour.llm.suffix_dedup import remove_repeats, repeat_report
 from parlour.llm.toxicity_kn import fit_toxicity, toxicity_scores
 from parlour.llm.url_filter import filter_urls, fit_urls, labelled_urls
 
@@ -23,6 +24,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)))
 
@@ -64,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_url_filter, op4_secret_scan, op5_quality_crf, op6_license_scan, op7_decontaminate,
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_quality_crf, op6_license_scan, op7_decontaminate,
                                  op8_toxicity_kneser_ney, op9_pack, op10_exact_dedup)}
 
 _TEXT = lambda t: "'" + t.replace("'", "''") + "'"

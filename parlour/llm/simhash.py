@@ -130,6 +130,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size"))
 
 
+def near_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                         max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each component does: the one with the smallest identifier, of
+    rows that repeat it the one with the smallest text hash. Null identifiers lose against any other; of equal
+    rows one stays; an empty table stays empty."""
+    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle)
+    key = lambda t: F.xxhash64(F.coalesce(t, F.lit("")))
+    ids = written(rows.select(F.struct(F.col("row.id").isNull().alias("none"), "row.id", key(F.col("row.text")).alias("key")).alias("id"), "fp"), "op1-ids")
+    chosen = near_classes(ids, max_bits).select(F.struct("component_id.id", "component_id.key").alias("k")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.struct(F.col(id_col).alias("id"), key(F.col(text_col)).alias("key")).alias("k"))
+    return held.join(chosen, "k").dropDuplicates(["k"]).select("row.*")
+
+
 SALTS = 64
 
 
