@@ -16,8 +16,10 @@ from parlour.functions.temporal import overlaps
 
 
 def day_buckets(start: Column, end: Column) -> Column:
-    """The days an interval [start, end) touches, as an array of DATE."""
-    return F.sequence(F.to_date(start), F.to_date(end), F.expr("INTERVAL 1 DAY"))
+    """The days an interval [start, end) touches, as an array of DATE. An inverted interval (end before
+    start, bad data that Q1 reports) touches the days between; it overlaps what lies around both ends."""
+    a, b = F.to_date(start), F.to_date(end)
+    return F.sequence(F.least(a, b), F.greatest(a, b), F.expr("INTERVAL 1 DAY"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str],

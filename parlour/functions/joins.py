@@ -1,23 +1,34 @@
-"""Join helpers that keep broadcasts behind a size check."""
+"""Join helpers: pattern search by an inverted index, top-k per group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A request/term table up to this many rows is broadcast to every executor.
-MAX_BROADCAST_ROWS = 100_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows, else ``df`` as is.
-
-    The check is a ``limit(max_rows + 1).count()`` on the (small) request side, so it stops
-    reading after ``max_rows + 1`` rows. Beyond the bound the planner decides (shuffle join,
-    or for a non-equi predicate a partitioned nested loop), which is slower but still correct.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _grams(text: Column) -> Column:
+    """'' and the distinct characters and pairs of neighbouring characters of ``text``."""
+    n = F.char_length(text)
+    at = lambda size: F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit("")), F.transform(at(1), lambda i: F.substring(text, i, F.lit(1))),
+                    F.transform(at(2), lambda i: F.substring(text, i, F.lit(2))))
+
+
+def pattern_join(rows: DataFrame, columns: list[str], terms: DataFrame, pattern: str) -> DataFrame:
+    """Rows joined with the terms whose ILIKE ``pattern`` matches one of ``columns``.
+
+    Each row is listed under the characters and character pairs of its columns, each term asks for the
+    first pair (else character) that its pattern spells out; the pattern is then checked in full. So the
+    join is on equality, whatever the sizes, and a frequent pair can be split by AQE. A pattern of
+    wildcards alone asks for '', under which every row is listed. A pair (row, term) appears once."""
+    keys = F.array_distinct(F.concat(*[_grams(F.lower(F.coalesce(c, F.lit("")))) for c in columns]))
+    p = F.lower(pattern)
+    pair, single = F.regexp_extract(p, r"[^%_\\]{2}", 0), F.regexp_extract(p, r"[^%_\\]", 0)
+    asked = terms.withColumn("_gram", F.when(pair != "", pair).otherwise(single))
+    match = F.lit(False)
+    for c in columns:
+        match = match | F.coalesce(F.ilike(F.col(c), F.col(pattern)), F.lit(False))
+    return rows.withColumn("_gram", F.explode(keys)).join(asked, "_gram").where(match).drop("_gram")
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, rank_col: str = "rn") -> DataFrame:

@@ -19,23 +19,9 @@ from pyspark.sql import functions as F
 from parlour.session import checkpoint_dir
 
 
-# Up to this many rows one task sorts the input faster than the distributed path costs.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def global_rank_lag_lead(df: DataFrame, value: str, tiebreak: str, n_parts: int | None = None,
-                         prefix: str = "", single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+def global_rank_lag_lead(df: DataFrame, value: str, tiebreak: str, n_parts: int | None = None, prefix: str = "") -> DataFrame:
     """Adds ``rank`` (RANK() OVER (ORDER BY value DESC)), ``above`` / ``below`` (LAG / LEAD of
-    ``value`` OVER (ORDER BY value DESC, tiebreak ASC)). ``tiebreak`` must be unique.
-
-    A bounded count (``limit(max + 1).count()``) decides: at most ``single_task_max_rows``
-    rows use Spark's ordered window in one task; more use the range-partitioned path."""
-    if single_task_max_rows > 0 and df.limit(single_task_max_rows + 1).count() <= single_task_max_rows:
-        by_value = Window.orderBy(F.desc(value))
-        by_order = Window.orderBy(F.desc(value), F.asc(tiebreak))
-        return df.select("*", F.rank().over(by_value).cast("long").alias(f"{prefix}rank"),
-                         F.lag(value).over(by_order).alias(f"{prefix}above"),
-                         F.lead(value).over(by_order).alias(f"{prefix}below"))
+    ``value`` OVER (ORDER BY value DESC, tiebreak ASC)). ``tiebreak`` must be unique."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,13 +7,15 @@ written: callers union/anti-join the accepted rows into their tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlour.functions.intervals import overlap_pairs
+from parlour.functions.sequential import first_come
 from parlour.functions.temporal import add_minutes, today, ts_lit
 from parlour.operators import derive as dv
 from parlour.operators import slots
-from parlour.sources.schemas import MONEY
+from parlour.sources.schemas import MONEY, PAYMENT_METHOD
 
 # The reference's messages.
 MSG_END_BEFORE_START = "end date before start date"
@@ -27,18 +29,28 @@ MSG_NOT_STARTED = "Service hasn't started yet"
 MSG_ALREADY_ENDED = "Service already ended"
 MSG_NO_ENTRY = "No entry time recorded"
 MSG_EXIT_RECORDED = "Exit already recorded"
+MSG_DISCOUNT = "discount below zero"
+MSG_COST = "cost not above zero"
+MSG_AMOUNT = "malformed amount"
+MSG_METHOD = "unknown payment method"
 CONFLICT_MSG = "Customer already has a booking during this time: %s (%s - %s)"
 
 
+def _end_before_start(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
+    """(eid) of changes that a CHECK refuses: the employment, or a role it would end, ends before it starts."""
+    own = t["employees"].join(changes, "eid").where(F.col("new_end") < F.col("employment_start")).select("eid")
+    r = t["roles"].join(changes, "eid")
+    role = r.where((F.col("end_date").isNull() | (F.col("end_date") > F.col("new_end"))) & (F.col("new_end") < F.col("start_date")))
+    return own.union(role.select("eid")).distinct().withColumn("_bad", F.lit(True))
+
+
 def employment_end_cascade(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """For ``changes(eid, new_end)``, roles with end NULL or end > new_end get end = new_end.
-    No new_end: nothing changes. If any role of an employee would end before it starts, the
-    whole change of that employee is rejected (the reference's CHECK aborts the statement)."""
+    No new_end: nothing changes. If the employment or any role of an employee would end before it
+    starts, the whole change of that employee is rejected (the reference's CHECKs abort the statement)."""
     c = changes.where(F.col("new_end").isNotNull()).select("eid", "new_end")
-    r = t["roles"].join(c, "eid")
+    r = t["roles"].join(c, "eid").join(_end_before_start(t, c), "eid", "left")
     hit = F.col("end_date").isNull() | (F.col("end_date") > F.col("new_end"))
-    bad = r.where(hit & (F.col("new_end") < F.col("start_date"))).select("eid").distinct().withColumn("_bad", F.lit(True))
-    r = r.join(bad, "eid", "left")
     rejected = F.col("_bad").isNotNull()
     return r.select(
         "rid", "eid", "rdid", "start_date", F.col("end_date").alias("old_end"),
@@ -48,9 +60,11 @@ def employment_end_cascade(t: dict[str, DataFrame], changes: DataFrame) -> DataF
 
 
 def roles_ended_per_employee(t: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
-    """U1 summary: number of roles ended per changed employee (the reference's rowcount)."""
-    return employment_end_cascade(t, changes).groupBy("eid").agg(
-        F.count_if("ended").alias("roles_ended"), F.bool_and("accepted").alias("accepted"))
+    """U1 summary: number of roles ended per changed employee (the reference's rowcount; 0 without roles)."""
+    c = changes.where(F.col("new_end").isNotNull()).select("eid", "new_end")
+    ended = employment_end_cascade(t, changes).where("ended").groupBy("eid").agg(F.count(F.lit(1)).alias("n"))
+    j = t["employees"].select("eid").join(c, "eid").join(ended, "eid", "left").join(_end_before_start(t, c), "eid", "left")
+    return j.select("eid", F.coalesce("n", F.lit(0)).alias("roles_ended"), F.col("_bad").isNull().alias("accepted"))
 
 
 def end_roles(t: dict[str, DataFrame], role_ids: DataFrame, as_of) -> DataFrame:
@@ -86,21 +100,49 @@ def _conflict_text() -> F.Column:
                            F.date_format("conflict_end", "HH:mm"))
 
 
+def _discount() -> F.Column:
+    """No discount given means none; a discount is capped at the cost."""
+    return F.least(F.coalesce("item_discount", F.lit(0)).cast(MONEY), F.col("base_cost"))
+
+
+def _price_reason() -> F.Column:
+    """The CHECKs on an item's price."""
+    return (F.when(F.col("base_cost") <= 0, F.lit(MSG_COST))
+            .when(F.col("item_discount") < 0, F.lit(MSG_DISCOUNT)))
+
+
 def book_items(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """U4: price and schedule booking requests ``(req_id, tid, sid, slot_start, therapist_eid,
     rid, item_discount, item_discount_type)``: cost = base cost, discount capped at the cost,
-    end by D1. A request is rejected when the service or invoice is unknown or the customer has
-    an overlapping open item (B1). Therapist and room are not re-checked (as in the reference)."""
+    end by D1. A request is rejected when the service or invoice is unknown, the price breaks a
+    CHECK, or the customer has an overlapping open item (B1) or an overlapping request that was
+    accepted before it (requests are served by req_id). Therapist and room are not re-checked (as
+    in the reference)."""
     reqs = slots.priced_requests(t, requests)
-    conflicts = slots._first_conflict(t, reqs)
-    j = reqs.join(conflicts, "req_id", "left")
-    disc = F.least(F.col("item_discount").cast(MONEY), F.col("base_cost"))
-    reason = (F.when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND))
-              .when(F.col("cid").isNull(), F.lit("Transaction not found"))
-              .when(F.col("conflict_ttid").isNotNull(), _conflict_text()))
+    j = reqs.join(slots._first_conflict(t, reqs), "req_id", "left")
+    unknown = (F.when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND))
+               .when(F.col("cid").isNull(), F.lit("Transaction not found")))
+    j = j.withColumn("_reason", F.coalesce(unknown, _price_reason()))
+    span = ["req_id", "cid", "slot_start", "slot_end"]
+    able = j.where(F.col("_reason").isNull() & F.col("conflict_ttid").isNull()).select(*span)
+    later = able.select(F.col("req_id").alias("later"), "cid", F.col("slot_start").alias("l_start"), F.col("slot_end").alias("l_end"))
+    rivals = overlap_pairs(able, later, ["cid"], ("slot_start", "slot_end"), ("l_start", "l_end"), F.col("req_id") < F.col("later"))
+    served = first_come(rivals.select(F.col("req_id").alias("earlier"), "later"))
+    won = able.join(served.where(~F.col("accepted")).select("req_id"), "req_id", "left_anti")
+    won = won.join(reqs.select("req_id", "sid"), "req_id").join(t["services"].select("sid", F.col("name").alias("service")), "sid")
+    earlier = won.select(F.col("req_id").alias("won"), "cid", F.col("slot_start").alias("w_start"), F.col("slot_end").alias("w_end"), "service")
+    open_requests = j.where(F.col("_reason").isNull()).select(*span)
+    held = overlap_pairs(open_requests, earlier, ["cid"], ("slot_start", "slot_end"), ("w_start", "w_end"), F.col("won") < F.col("req_id"))
+    first = held.groupBy("req_id").agg(F.min(F.struct("w_start", "won", "w_end", "service")).alias("w"))
+    j = j.join(first, "req_id", "left")
+    in_batch = F.col("w").isNotNull() & (F.col("conflict_start").isNull() | (F.col("w.w_start") < F.col("conflict_start")))
+    j = j.withColumns({"conflict_service": F.when(in_batch, F.col("w.service")).otherwise(F.col("conflict_service")),
+                       "conflict_end": F.when(in_batch, F.col("w.w_end")).otherwise(F.col("conflict_end")),
+                       "conflict_start": F.when(in_batch, F.col("w.w_start")).otherwise(F.col("conflict_start"))})
+    reason = F.coalesce("_reason", F.when(F.col("conflict_start").isNotNull(), _conflict_text()))
     return j.select(
         "req_id", "tid", "sid", "therapist_eid", "rid", F.col("slot_start").alias("scheduled_start"),
-        F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), disc.alias("item_discount"),
+        F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), _discount().alias("item_discount"),
         "item_discount_type", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
@@ -113,35 +155,35 @@ def edit_items(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
         t, reqs, (F.col("item_tid") != F.col("tid")) & (F.col("ttid") != F.col("req_ttid")))
     cur = t["transaction_items"].select("ttid", F.col("actual_start").alias("_started"), F.lit(True).alias("_item"))
     j = reqs.join(cur, "ttid", "left").join(conflicts, "req_id", "left")
-    disc = F.least(F.col("item_discount").cast(MONEY), F.col("base_cost"))
-    reason = (F.when(F.col("_item").isNull(), F.lit("Item not found"))
-              .when(F.col("_started").isNotNull(), F.lit(MSG_STARTED_EDIT))
-              .when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND))
-              .when(F.col("conflict_ttid").isNotNull(), _conflict_text()))
+    unknown = (F.when(F.col("_item").isNull(), F.lit("Item not found"))
+               .when(F.col("_started").isNotNull(), F.lit(MSG_STARTED_EDIT))
+               .when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND)))
+    reason = F.coalesce(unknown, _price_reason(), F.when(F.col("conflict_ttid").isNotNull(), _conflict_text()))
     return j.select(
         "req_id", "ttid", "tid", "sid", "therapist_eid", "rid", F.col("slot_start").alias("scheduled_start"),
-        F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), disc.alias("item_discount"),
+        F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), _discount().alias("item_discount"),
         "item_discount_type", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def delete_items(t: dict[str, DataFrame], ttids: DataFrame) -> DataFrame:
-    """Delete requested items that have not started; the others carry a reason."""
-    j = ttids.select("ttid").join(
+    """Delete requested items that have not started; the others carry a reason. Of repeated requests
+    for one item the first deletes it; the others no longer find it."""
+    again = F.row_number().over(Window.partitionBy("ttid").orderBy("ttid")) > 1
+    j = ttids.select("ttid").withColumn("_again", again).join(
         t["transaction_items"].select("ttid", "tid", "actual_start", F.lit(True).alias("_item")), "ttid", "left")
     reason = (F.when(F.col("_item").isNull(), F.lit("Item not found"))
-              .when(F.col("actual_start").isNotNull(), F.lit(MSG_STARTED_DELETE)))
+              .when(F.col("actual_start").isNotNull(), F.lit(MSG_STARTED_DELETE))
+              .when(F.col("_again"), F.lit("Item not found")))
     return j.select("ttid", "tid", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def delete_items_totals(t: dict[str, DataFrame], ttids: DataFrame) -> DataFrame:
     """U6 effect: D2 totals of the touched invoices after the accepted deletions (the
     reference subtracts the cost a second time; D2 is taken as the definition)."""
-    dec = delete_items(t, ttids)
-    gone = dec.where("accepted").select("ttid")
-    touched = dec.where("accepted").select("tid").distinct()
-    left = {**t, "transaction_items": t["transaction_items"].join(gone, "ttid", "left_anti"),
-            "transactions": t["transactions"].join(touched, "tid", "left_semi")}
-    return dv.invoice_totals(left)
+    gone = delete_items(t, ttids).where("accepted").select("ttid", "tid")
+    touched = gone.select("tid").distinct()
+    items = t["transaction_items"].join(touched, "tid", "left_semi").join(gone.select("ttid"), "ttid", "left_anti")
+    return dv.invoice_totals({**t, "transaction_items": items, "transactions": t["transactions"].join(touched, "tid", "left_semi")})
 
 
 def cascade_delete(t: dict[str, DataFrame], tids: DataFrame) -> dict[str, DataFrame]:
@@ -189,22 +231,31 @@ def service_clock_items(t: dict[str, DataFrame], events: DataFrame) -> DataFrame
 
 def payment_intake(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """U8: ``requests(req_id, tid, methods array<string>, amounts array<string>, event_time)`` -> one
-    payment per (method, amount) pair, pairs cut at the shorter list (like Python's zip), and
-    amounts <= 0 dropped."""
+    payment per (method, amount) pair, pairs cut at the shorter list (like Python's zip), amounts <= 0
+    left out. A malformed or too large amount, an unknown method or an unknown invoice rejects all
+    payments of its request, and of no other; ``reason`` is that of the first pair that fails."""
     n = F.least(F.size("methods"), F.size("amounts"))
     pairs = requests.select("req_id", "tid", "event_time", F.posexplode(F.arrays_zip("methods", "amounts")).alias("pos", "p"),
                             n.alias("_n"))
     pairs = pairs.where(F.col("pos") < F.col("_n")).select(
         "req_id", "tid", F.col("pos").cast("long").alias("pos"), F.col("p.methods").alias("payment_method"),
-        F.col("p.amounts").cast("double").alias("_amt"), F.col("event_time").alias("payment_time"))
-    return pairs.where(F.col("_amt") > 0).select(
-        "req_id", "tid", "pos", "payment_method", F.col("_amt").cast(MONEY).alias("payment_amount"), "payment_time")
+        F.col("p.amounts").try_cast("double").alias("_amt"), F.col("event_time").alias("payment_time"))
+    known = t["transactions"].select("tid", F.lit(True).alias("_tx"))
+    pays = F.col("_amt") > 0
+    fault = (F.when(F.col("_amt").isNull() | (pays & (F.isnan("_amt") | (F.abs("_amt") >= 1e8))), F.lit(MSG_AMOUNT))
+             .when(pays & ~F.coalesce(F.col("payment_method").isin(*PAYMENT_METHOD), F.lit(False)), F.lit(MSG_METHOD))
+             .when(pays & F.col("_tx").isNull(), F.lit("Transaction not found")))
+    j = pairs.join(known, "tid", "left").withColumn("_fault", fault)
+    first = F.min(F.when(F.col("_fault").isNotNull(), F.struct("pos", "_fault"))).over(Window.partitionBy("req_id"))
+    j = j.withColumn("reason", first["_fault"]).where(pays | F.col("_amt").isNull())
+    return j.select("req_id", "tid", "pos", "payment_method", F.when(F.abs("_amt") < 1e8, F.col("_amt")).cast(MONEY).alias("payment_amount"),
+                    "payment_time", F.col("reason").isNull().alias("accepted"), "reason")
 
 
 def payment_intake_status(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """U8 effect: per paid invoice the new total_paid (D4), status (D5) and, when nothing is
     outstanding and the exit is recorded, 'completed' (D6)."""
-    new = payment_intake(t, requests)
+    new = payment_intake(t, requests).where("accepted")
     pays = t["payments"].select("tid", "payment_amount").unionByName(new.select("tid", "payment_amount"))
     touched = new.select("tid").distinct()
     tx = t["transactions"].join(touched, "tid", "left_semi")
@@ -220,18 +271,21 @@ def payment_intake_status(t: dict[str, DataFrame], requests: DataFrame) -> DataF
 
 
 def record_exit(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
-    """``requests(tid, event_time)`` set exit_time on invoices with an entry and no exit; status
+    """``requests(tid, event_time)``, served by time, set exit_time on invoices with an entry and no exit; status
     becomes 'completed' when nothing is outstanding, else the payment-state rule (D5) applies."""
     tx = t["transactions"].select("tid", "entry_time", "exit_time", "total_cost", "total_discount", "total_paid",
                                   "status", F.lit(True).alias("_tx"))
-    j = requests.select("tid", "event_time").join(tx, "tid", "left")
-    reason = (F.when(F.col("_tx").isNull(), F.lit("Transaction not found"))
-              .when(F.col("entry_time").isNull(), F.lit(MSG_NO_ENTRY))
-              .when(F.col("exit_time").isNotNull(), F.lit(MSG_EXIT_RECORDED)))
+    by_time = Window.partitionBy("tid").orderBy("event_time")
+    asked = requests.select("tid", "event_time", (F.row_number().over(by_time) > 1).alias("_again"), F.min("event_time").over(by_time).alias("_first"))
+    j = asked.join(tx, "tid", "left")
+    refused = (F.when(F.col("_tx").isNull(), F.lit("Transaction not found"))
+               .when(F.col("entry_time").isNull(), F.lit(MSG_NO_ENTRY))
+               .when(F.col("exit_time").isNotNull(), F.lit(MSG_EXIT_RECORDED)))
+    reason = F.coalesce(refused, F.when(F.col("_again"), F.lit(MSG_EXIT_RECORDED)))
     owed = F.col("total_cost") - F.col("total_discount") - F.col("total_paid")
     new_status = F.when(owed <= 0, F.lit("completed")).otherwise(
         dv.status_rule(F.col("status"), F.col("total_cost"), F.col("total_discount"), F.col("total_paid")))
-    ok = reason.isNull()
-    return j.select("tid", ok.alias("accepted"), reason.alias("reason"),
-                    F.when(ok, F.col("event_time")).otherwise(F.col("exit_time")).alias("exit_time"),
-                    F.when(ok, new_status).otherwise(F.col("status")).alias("status"))
+    left = refused.isNull()  # the invoice leaves with the first of its requests
+    return j.select("tid", reason.isNull().alias("accepted"), reason.alias("reason"),
+                    F.when(left, F.col("_first")).otherwise(F.col("exit_time")).alias("exit_time"),
+                    F.when(left, new_status).otherwise(F.col("status")).alias("status"))

@@ -108,9 +108,10 @@ def completion_rule(status: F.Column, outstanding_amt: F.Column, exit_time: F.Co
     return F.when((outstanding_amt <= 0) & exit_time.isNotNull(), F.lit("completed")).otherwise(status)
 
 
-def completion_status(t: dict[str, DataFrame]) -> DataFrame:
-    """D6 after D5: status of every invoice once payments and exits are both accounted for."""
-    r = recomputed(t)
+def completion_status(t: dict[str, DataFrame], touched: DataFrame) -> DataFrame:
+    """D6 after D5: status of the ``touched`` invoices (tid), those with a payment or exit event, once payments
+    and exits are both accounted for. Without an event an invoice keeps its status."""
+    r = recomputed({**t, "transactions": t["transactions"].join(touched.select("tid").distinct(), "tid", "left_semi")})
     st = status_rule(F.col("status"), F.col("total_cost"), F.col("total_discount"), F.col("total_paid"))
     out = outstanding_col(F.col("total_cost"), F.col("total_discount"), F.col("total_paid"))
     return r.select("tid", "exit_time", out.alias("outstanding"),

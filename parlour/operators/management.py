@@ -28,7 +28,8 @@ def _period_flags(ts: F.Column, as_of) -> dict[str, F.Column]:
 
 
 def _widest(ts: F.Column, as_of) -> F.Column:
-    return (ts >= ts_lit(period_starts(as_of)["year"])) & (ts < ts_lit(as_datetime(as_of)))
+    """From the earliest period start: in the first days of January the week began in December."""
+    return (ts >= ts_lit(min(period_starts(as_of).values()))) & (ts < ts_lit(as_datetime(as_of)))
 
 
 def _unpivot(row: DataFrame, metrics: list[str]) -> DataFrame:
@@ -82,30 +83,26 @@ def top_therapists_mtd(t: dict[str, DataFrame], as_of, k: int = 5) -> DataFrame:
 
 
 def room_utilization(t: dict[str, DataFrame], k: int = 3) -> DataFrame:
-    """M6: bookings and net revenue per room over all time, unused rooms kept with 0; the ``k``
-    most used and the ``k`` least used (ranked by bookings DESC, ties by rid)."""
+    """M6: bookings and net revenue per room over all time, unused rooms kept with 0; of the list by
+    bookings DESC, rid the first ``k`` (most used) and the last ``k`` (least used), both in list order."""
     per_room = t["transaction_items"].groupBy("rid").agg(F.count("ttid").alias("bookings"), F.sum(_net()).alias("rev"))
     j = t["room"].join(per_room, "rid", "left").select(
         "rid", "room_name", F.coalesce("bookings", F.lit(0)).alias("bookings"),
         F.coalesce("rev", F.lit(0).cast(MONEY)).alias("revenue"))
-    # one row per room: the un-partitioned window sees only the (small) room table
-    desc = Window.orderBy(F.desc("bookings"), F.asc("rid"))
-    asc = Window.orderBy(F.asc("bookings"), F.desc("rid"))
-    r = j.select("*", F.row_number().over(desc).cast("long").alias("most_rank"),
-                 F.row_number().over(asc).cast("long").alias("least_rank"))
-    most = r.where(F.col("most_rank") <= k).select(F.lit("most_used").alias("list"), F.col("most_rank").alias("pos"),
-                                                  "rid", "room_name", "bookings", "revenue")
-    least = r.where(F.col("least_rank") <= k).select(F.lit("least_used").alias("list"), F.col("least_rank").alias("pos"),
-                                                    "rid", "room_name", "bookings", "revenue")
-    return most.unionByName(least)
+    # two distributed top-k; the windows then see k rows each
+    ends = {"most_used": j.orderBy(F.desc("bookings"), F.asc("rid")).limit(k),
+            "least_used": j.orderBy(F.asc("bookings"), F.desc("rid")).limit(k)}
+    pos = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("bookings"), F.asc("rid"))).cast("long")
+    most, least = (d.withColumn("list", F.lit(name)) for name, d in ends.items())
+    return most.unionByName(least).select("list", pos.alias("pos"), "rid", "room_name", "bookings", "revenue")
 
 
 def avg_spend_per_visit(t: dict[str, DataFrame], as_of) -> DataFrame:
     """M7: per period, the average invoice total (items, completed/paid, by created_at) and visits."""
     tx = t["transactions"].where(_widest(F.col("created_at"), as_of) & F.col("status").isin(*DONE)).select(
         "tid", "created_at")
-    per_tid = t["transaction_items"].groupBy("tid").agg(F.sum(_net()).alias("total"))
-    j = tx.join(per_tid, "tid")
+    wanted = t["transaction_items"].join(tx.select("tid"), "tid", "left_semi")
+    j = tx.join(wanted.groupBy("tid").agg(F.sum(_net()).alias("total")), "tid")
     flags = _period_flags(F.col("created_at"), as_of)
     aggs = []
     for p in PERIODS:

@@ -16,7 +16,6 @@ from parlour.sources.schemas import DISCOUNT_TYPE, GENDER, MAX_LENGTH, PAYMENT_M
 # CHECK constraints as (table, name, key column, predicate that must hold).
 CHECKS = (
     ("customers", "mobile_digits", "cid", "regexp_like(mobile_number, '^[0-9]+$')"),
-    ("employees", "mobile_digits", "eid", "regexp_like(mobile_number, '^[0-9]+$')"),
     ("employees", "employment_end_after_start", "eid", "employment_end >= employment_start"),
     ("roles", "end_after_start", "rid", "end_date >= start_date"),
     ("services", "duration_non_negative", "sid", "duration_minutes >= 0"),
@@ -71,7 +70,7 @@ DOMAINS = (
 
 # Nullable columns; every other declared column is NOT NULL.
 NULLABLE = {
-    ("employees", "employment_end"), ("roles", "end_date"), ("services", "description"), ("services", "active_until"),
+    ("employees", "employment_end"), ("roles", "end_date"), ("services", "active_until"),
     ("transactions", "total_cost"), ("transactions", "total_discount"), ("transactions", "total_paid"),
     ("transactions", "entry_time"), ("transactions", "exit_time"), ("transaction_items", "scheduled_start"),
     ("transaction_items", "scheduled_end"), ("transaction_items", "actual_start"), ("transaction_items", "actual_end"),

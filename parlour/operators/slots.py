@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlour.functions.intervals import envelope_filter, overlap_pairs
-from parlour.functions.joins import bounded_broadcast
 from parlour.functions.temporal import add_minutes, employed, role_active, today
 
 
@@ -77,13 +76,14 @@ def _staff_pairs(t, reqs: DataFrame, as_of, exact_role: bool, inclusive: bool) -
     d = today(as_of)
     e = t["employees"].where(employed(F.col("employment_end"), d, inclusive)).select("eid", "work_name")
     r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).select("eid", "rdid")
-    staff = e.join(r, "eid").join(F.broadcast(t["role_definition"]), "rdid")
+    staff = e.join(r, "eid").join(t["role_definition"], "rdid")
     if exact_role:
         pairs = reqs.join(staff, reqs["req_rdid"] == staff["rdid"])
     else:
-        # any active role: the answer is every on-duty employee per request, so the pairs are
-        # the output itself; the request batch is the side that is broadcast (size-checked)
-        pairs = staff.crossJoin(bounded_broadcast(reqs))
+        # any active role: the answer is every on-duty employee per request, so the pairs are the output
+        # itself; staff and requests meet under each role, an equality join that AQE can split
+        roles = t["role_definition"].select("rdid")
+        pairs = staff.join(roles.crossJoin(reqs), "rdid")
     return pairs.select("req_id", "eid", "work_name", "role_type", *[c for c in ("slot_start", "slot_end", "req_ttid")
                                                                       if c in reqs.columns]).distinct()
 

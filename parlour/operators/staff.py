@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlour.functions.joins import bounded_broadcast, top_k_per_group
+from parlour.functions.joins import pattern_join, top_k_per_group
 from parlour.functions.temporal import employed as employed_pred
 from parlour.functions.temporal import role_active, today
 
@@ -65,21 +65,11 @@ def role_history(t: dict[str, DataFrame], as_of) -> DataFrame:
         (F.col("end_date").isNull() | (F.col("end_date") > d)).alias("is_active"))
 
 
-def _ilike_any(cols: list[str], pattern: F.Column) -> F.Column:
-    out = None
-    for c in cols:
-        p = F.ilike(F.col(c), pattern)
-        out = p if out is None else (out | p)
-    return out
-
-
 def search_employees(t: dict[str, DataFrame], terms: DataFrame, as_of, k: int = 10) -> DataFrame:
     """For each ``terms(term_id, q)``: employees whose work name or name ILIKE %q%, first
     ``k`` by work name, labelled Active/Inactive (exclusive). ``%`` and ``_`` in q stay wildcards."""
-    q = bounded_broadcast(terms.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat")))
-    e = t["employees"]
-    j = e.join(q, _ilike_any(["work_name", "name"], F.col("pat")))
-    j = j.select("term_id", "eid", "work_name", "name", "mobile_number",
+    q = terms.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat"))
+    j = pattern_join(t["employees"], ["work_name", "name"], q, "pat").select("term_id", "eid", "work_name", "name", "mobile_number",
                  F.when(employed_pred(F.col("employment_end"), today(as_of), inclusive=False), "Active")
                  .otherwise("Inactive").alias("status"))
     return top_k_per_group(j, ["term_id"], [F.asc("work_name"), F.asc("eid")], k)
@@ -89,24 +79,25 @@ def search_customers(t: dict[str, DataFrame], terms: DataFrame, by: str = "name"
     """For each ``terms(term_id, q)``: customers whose name (or mobile) ILIKE %trim(q)%,
     first ``k`` by name; a term shorter than 2 characters after trimming finds nothing."""
     col = "mobile_number" if by == "mobile" else "name"
-    q = terms.select("term_id", F.trim(F.col("q")).alias("q")).where(F.length("q") >= 2)
-    q = bounded_broadcast(q.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat")))
-    c = t["customers"]
-    j = c.join(q, F.ilike(F.col(col), F.col("pat"))).select(
+    q = terms.select("term_id", F.regexp_replace("q", r"(?U)^\s+|\s+$", "").alias("q")).where(F.length("q") >= 2)
+    q = q.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat"))
+    j = pattern_join(t["customers"], [col], q, "pat").select(
         "term_id", "cid", "name", "mobile_number", "nric_fin_passport_no", "country_code")
     return top_k_per_group(j, ["term_id"], [F.asc("name"), F.asc("cid")], k)
 
 
 def find_customer(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """Per ``requests(req_id, by, term)`` the matching customer with the lowest cid:
-    ``by`` = 'mobile' or 'name' (ILIKE %term%) or 'cid' (exact). Requests without a match are absent."""
-    r = bounded_broadcast(requests.select("req_id", "by", "term"))
+    ``by`` = 'mobile' or 'name' (ILIKE %term%), anything else the exact cid. Requests without a match and
+    requests with an empty term are absent."""
+    r = requests.select("req_id", "by", "term").where(F.length("term") > 0)
     c = t["customers"].select("cid", "name", "mobile_number")
-    pat = F.concat(F.lit("%"), F.col("term"), F.lit("%"))
-    cond = (((F.col("by") == "mobile") & F.ilike(F.col("mobile_number"), pat))
-            | ((F.col("by") == "name") & F.ilike(F.col("name"), pat))
-            | ((F.col("by") == "cid") & (F.col("cid") == F.col("term").try_cast("long"))))
-    j = c.join(r, cond)
+    pat = r.withColumn("pat", F.concat(F.lit("%"), F.col("term"), F.lit("%")))
+    by_cid = r.where(~F.col("by").eqNullSafe("mobile") & ~F.col("by").eqNullSafe("name")).select(
+        "req_id", F.col("term").try_cast("long").alias("cid"))
+    j = c.join(by_cid, "cid").select("req_id", *c.columns)
+    for by, col in (("mobile", "mobile_number"), ("name", "name")):
+        j = j.unionByName(pattern_join(c, [col], pat.where(F.col("by") == by), "pat").select("req_id", *c.columns))
     best = j.groupBy("req_id").agg(F.min(F.struct("cid", "name", "mobile_number")).alias("m"))
     return best.select("req_id", "m.cid", "m.name", "m.mobile_number")
 

@@ -73,7 +73,7 @@ def therapist_revenue(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False
     d = today(as_of)
     e = t["employees"].where(employed(F.col("employment_end"), d, inclusive=True)).select("eid", "work_name")
     rd = t["role_definition"].where(F.greatest(*[F.lower("role_type").contains(k) for k in LEADERBOARD_ROLES]))
-    r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).join(F.broadcast(rd), "rdid", "left_semi")
+    r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).join(rd, "rdid", "left_semi")
     roles_per_eid = r.groupBy("eid").agg(F.count(F.lit(1)).alias("n_roles"))
     if dedupe_roles:
         roles_per_eid = roles_per_eid.select("eid", F.lit(1).cast("long").alias("n_roles"))
@@ -83,7 +83,7 @@ def therapist_revenue(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False
     per = ti.groupBy(F.col("therapist_eid").alias("eid")).agg(F.sum(_net()).alias("rev"))
     j = e.join(roles_per_eid, "eid").join(per, "eid", "left")
     return j.select("eid", "work_name",
-                    (F.coalesce("rev", F.lit(0).cast(MONEY)) * F.col("n_roles")).cast(MONEY).alias("revenue"))
+                    (F.coalesce("rev", F.lit(0).cast(MONEY)) * F.col("n_roles")).cast("decimal(24,2)").alias("revenue"))
 
 
 def leaderboard(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False) -> DataFrame:
@@ -110,7 +110,7 @@ def leaderboard_gaps(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False)
     above = F.nullif(F.col("person_above_revenue").cast("double"), F.lit(0.0))
     below = F.nullif(F.col("person_below_revenue").cast("double"), F.lit(0.0))
     gap8k = F.lit(BONUS_TARGET) - rev
-    return lb.select(
+    board = lb.select(
         "eid", "work_name", rev.alias("revenue"), "rank", "total_therapists",
         F.col("leader_revenue").cast("double").alias("leader_revenue"),
         (F.col("leader_revenue").cast("double") - rev).alias("gap_to_leader"),
@@ -120,6 +120,14 @@ def leaderboard_gaps(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False)
         F.when(rev >= BONUS_TARGET, F.lit(BONUS_DONE))
         .otherwise(F.format_string("Needs $%.2f more", gap8k)).alias("bonus_status"),
         (F.col("rank") == 1).alias("is_leader"))
+    # fixed values: what an employee who is not on the board sees
+    absent = t["employees"].select("eid", "work_name").join(board.select("eid"), "eid", "left_anti")
+    zero, none, n = F.lit(0.0), F.lit(None).cast("double"), F.lit(0).cast("long")
+    return board.unionByName(absent.select(
+        "eid", "work_name", zero.alias("revenue"), n.alias("rank"), n.alias("total_therapists"), zero.alias("leader_revenue"),
+        zero.alias("gap_to_leader"), none.alias("person_above_revenue"), zero.alias("gap_from_above"),
+        none.alias("person_below_revenue"), zero.alias("gap_to_next"), F.lit(BONUS_TARGET).cast("double").alias("gap_from_8k"),
+        F.lit("Needs $8000.00 more").alias("bonus_status"), F.lit(False).alias("is_leader")))
 
 
 def top_customers(t: dict[str, DataFrame], k: int = 5) -> DataFrame:

@@ -96,5 +96,5 @@ def with_views(sql: str) -> str:
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items())
     body = sql.strip()
     if body[:4].upper() == "WITH":  # merge the query's own CTEs into the list
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+        return f"WITH RECURSIVE {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -47,7 +47,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY bookings DESC, rid) AS most_rank,
                 row_number() OVER (ORDER BY bookings ASC, rid DESC) AS least_rank FROM r)
 SELECT 'most_used' AS list, most_rank AS pos, rid, room_name, bookings, revenue FROM k WHERE most_rank <= 3
 UNION ALL
-SELECT 'least_used', least_rank, rid, room_name, bookings, revenue FROM k WHERE least_rank <= 3""")(
+SELECT 'least_used', row_number() OVER (ORDER BY bookings DESC, rid), rid, room_name, bookings, revenue FROM k WHERE least_rank <= 3""")(
     lambda s, d: m.room_utilization(tables(s, d)))
 
 register("avg_spend_per_visit", _per_period("""

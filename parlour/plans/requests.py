@@ -1,5 +1,6 @@
-"""Request tables (search terms, slot requests, change batches) derived from the driver
-tables, with the same rules in Spark and in DuckDB SQL."""
+"""Request generators: search terms, slot requests and change batches derived from the driver tables,
+with the same rules in Spark and in DuckDB SQL. A batch of requests is by nature about some of the rows;
+the modulus rules below say about which, and add the requests that an operator must refuse."""
 
 from __future__ import annotations
 
@@ -21,27 +22,29 @@ FROM supplier WHERE s_suppkey % 7 = 0"""
 
 
 def customer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_raw(spark, sf_dir)["nation"]
-    return n.select(n.n_nationkey.alias("term_id"), F.when(n.n_nationkey == 24, F.lit("7")).otherwise(
-        F.concat(F.lit(" "), F.lpad((n.n_nationkey * 3).cast("string"), 2, "0"), F.lit(" "))).alias("q"))
+    c = read_raw(spark, sf_dir)["customer"]
+    k = c.c_custkey
+    return c.where(k % 40 == 1).select(k.alias("term_id"), F.when(k % 400 == 1, F.lit("7")).otherwise(
+        F.concat(F.lit(" "), F.lpad((k * 3 % 100).cast("string"), 2, "0"), F.lit(" "))).alias("q"))
 
 
-CUSTOMER_TERMS_SQL = """SELECT n_nationkey AS term_id, CASE WHEN n_nationkey = 24 THEN '7'
-  ELSE ' ' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 2, '0') || ' ' END AS q FROM nation"""
+CUSTOMER_TERMS_SQL = """SELECT c_custkey AS term_id, CASE WHEN c_custkey % 400 = 1 THEN '7'
+  ELSE ' ' || lpad(CAST(c_custkey * 3 % 100 AS VARCHAR), 2, '0') || ' ' END AS q FROM customer WHERE c_custkey % 40 = 1"""
 
 
 def find_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_raw(spark, sf_dir)["nation"]
-    k = n.n_nationkey
-    by = F.when(k % 3 == 0, "mobile").when(k % 3 == 1, "name").otherwise("cid")
-    term = F.when(k % 3 == 2, (k * 41).cast("string")).otherwise(F.lpad((k * 37).cast("string"), 3, "0"))
-    return n.select(k.alias("req_id"), by.alias("by"), term.alias("term"))
+    c = read_raw(spark, sf_dir)["customer"]
+    k = c.c_custkey
+    by = F.when(k % 4 == 0, "mobile").when(k % 4 == 1, "name").when(k % 4 == 2, "cid").otherwise("other")
+    term = (F.when(k % 130 == 13, F.lit("")).when(k % 4 >= 2, (k * 41 % 2000).cast("string"))
+            .otherwise(F.lpad((k * 37 % 1000).cast("string"), 3, "0")))
+    return c.where(k % 13 == 0).select(k.alias("req_id"), by.alias("by"), term.alias("term"))
 
 
-FIND_REQUESTS_SQL = """SELECT n_nationkey AS req_id,
-  CASE n_nationkey % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'name' ELSE 'cid' END AS by,
-  CASE WHEN n_nationkey % 3 = 2 THEN CAST(n_nationkey * 41 AS VARCHAR)
-       ELSE lpad(CAST(n_nationkey * 37 AS VARCHAR), 3, '0') END AS term FROM nation"""
+FIND_REQUESTS_SQL = """SELECT c_custkey AS req_id,
+  CASE c_custkey % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'name' WHEN 2 THEN 'cid' ELSE 'other' END AS by,
+  CASE WHEN c_custkey % 130 = 13 THEN '' WHEN c_custkey % 4 >= 2 THEN CAST(c_custkey * 41 % 2000 AS VARCHAR)
+       ELSE lpad(CAST(c_custkey * 37 % 1000 AS VARCHAR), 3, '0') END AS term FROM customer WHERE c_custkey % 13 = 0"""
 
 
 # ---- slot / booking / edit requests ------------------------------------------------------
@@ -62,7 +65,8 @@ def slot_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
         tid.alias("req_id"), tid.alias("tid"), (tid % F.col("n_parts")).alias("sid"),
         F.timestamp_add("HOUR", (9 + tid % 12).cast("int"), day).alias("slot_start"),
         (tid % F.col("n_supp")).alias("therapist_eid"), (tid % 20).cast("int").alias("rid"),
-        F.when(tid % 3 == 0, 10.0).when(tid % 3 == 1, 1000000.0).otherwise(0.0).alias("item_discount"),
+        F.when(tid % 7 == 0, F.lit(None).cast("double")).when(tid % 11 == 0, -5.0)
+        .when(tid % 3 == 0, 10.0).when(tid % 3 == 1, 1000000.0).otherwise(0.0).alias("item_discount"),
         F.when(tid % 3 == 0, "promo").when(tid % 3 == 1, "management").otherwise("none").alias("item_discount_type"))
 
 
@@ -70,7 +74,8 @@ def slot_requests_sql(as_of) -> str:
     return f"""SELECT o_orderkey AS req_id, o_orderkey AS tid, o_orderkey % (SELECT COUNT(*) FROM part) AS sid,
   TIMESTAMP '{as_of:%Y-%m-%d} 00:00:00' + (9 + o_orderkey % 12) * INTERVAL '1' HOUR AS slot_start,
   o_orderkey % (SELECT COUNT(*) FROM supplier) AS therapist_eid, CAST(o_orderkey % 20 AS INTEGER) AS rid,
-  CASE o_orderkey % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 1000000.0 ELSE 0.0 END AS item_discount,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN -5.0
+       WHEN o_orderkey % 3 = 0 THEN 10.0 WHEN o_orderkey % 3 = 1 THEN 1000000.0 ELSE 0.0 END AS item_discount,
   CASE o_orderkey % 3 WHEN 0 THEN 'promo' WHEN 1 THEN 'management' ELSE 'none' END AS item_discount_type
 FROM orders WHERE o_orderkey % 50 = 2"""
 
@@ -124,10 +129,12 @@ def role_requests_sql(as_of) -> str:
 
 
 def delete_requests(t) -> DataFrame:
-    return t["transaction_items"].where(F.col("ttid") % 89 == 1).select("ttid")
+    ttids = t["transaction_items"].where(F.col("ttid") % 89 == 1).select("ttid")
+    return ttids.unionByName(ttids.where(F.col("ttid") % 178 == 1))  # some asked for twice
 
 
-DELETE_REQUESTS_SQL = "SELECT ttid FROM transaction_items WHERE ttid % 89 = 1"
+DELETE_REQUESTS_SQL = """SELECT ttid FROM transaction_items WHERE ttid % 89 = 1
+  UNION ALL SELECT ttid FROM transaction_items WHERE ttid % 178 = 1"""
 
 
 def clock_events(t) -> DataFrame:
@@ -162,8 +169,10 @@ def payment_requests(spark: SparkSession, sf_dir: str, as_of) -> DataFrame:
     quarter = F.floor(F.col("o_totalprice") / 4).cast("long").cast("string")
     half = F.floor(F.col("o_totalprice") / 2).cast("long").cast("string")
     return o.select(
-        tid.alias("req_id"), tid.alias("tid"), F.array(_method(tid), _method(tid + 1)).alias("methods"),
-        F.when(tid % 3 == 0, F.array(quarter, F.lit("0"), F.lit("12.50"))).otherwise(F.array(half)).alias("amounts"),
+        tid.alias("req_id"), F.when(tid % 35 == 2, tid + 10000000).otherwise(tid).alias("tid"),
+        F.array(_method(tid), F.when(tid % 35 == 1, F.lit("Bitcoin")).otherwise(_method(tid + 1))).alias("methods"),
+        F.when(tid % 35 == 0, F.array(quarter, F.lit("abc"))).when(tid % 35 == 1, F.array(quarter, F.lit("5")))
+        .when(tid % 3 == 0, F.array(quarter, F.lit("0"), F.lit("12.50"))).otherwise(F.array(half)).alias("amounts"),
         ts_lit(as_of).alias("event_time"))
 
 
@@ -173,8 +182,11 @@ PAY_METHOD_SQL = """CASE {k} % 6 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Credit Card' WH
 
 def payment_requests_sql(as_of) -> str:
     m0, m1 = PAY_METHOD_SQL.format(k="o_orderkey"), PAY_METHOD_SQL.format(k="(o_orderkey + 1)")
-    return f"""SELECT o_orderkey AS req_id, o_orderkey AS tid, [{m0}, {m1}] AS methods,
-  CASE WHEN o_orderkey % 3 = 0
+    quarter = "CAST(CAST(floor(o_totalprice / 4) AS BIGINT) AS VARCHAR)"
+    return f"""SELECT o_orderkey AS req_id, CASE WHEN o_orderkey % 35 = 2 THEN o_orderkey + 10000000 ELSE o_orderkey END AS tid,
+  [{m0}, CASE WHEN o_orderkey % 35 = 1 THEN 'Bitcoin' ELSE {m1} END] AS methods,
+  CASE WHEN o_orderkey % 35 = 0 THEN [{quarter}, 'abc'] WHEN o_orderkey % 35 = 1 THEN [{quarter}, '5']
+       WHEN o_orderkey % 3 = 0
        THEN [CAST(CAST(floor(o_totalprice / 4) AS BIGINT) AS VARCHAR), '0', '12.50']
        ELSE [CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS VARCHAR)] END AS amounts,
   TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' AS event_time
@@ -182,8 +194,11 @@ FROM orders WHERE o_orderkey % 11 = 4"""
 
 
 def exit_requests(t, as_of) -> DataFrame:
-    return t["transactions"].where(F.col("tid") % 13 == 6).select("tid", ts_lit(as_of).alias("event_time"))
+    x = t["transactions"].where(F.col("tid") % 13 == 6).select("tid", ts_lit(as_of).alias("event_time"))
+    late = F.timestamp_add("MINUTE", F.lit(5), F.col("event_time")).alias("event_time")
+    return x.unionByName(x.where(F.col("tid") % 26 == 6).select("tid", late))  # some recorded twice
 
 
 def exit_requests_sql(as_of) -> str:
-    return f"SELECT tid, TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' AS event_time FROM transactions WHERE tid % 13 = 6"
+    return f"""SELECT tid, TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' AS event_time FROM transactions WHERE tid % 13 = 6
+  UNION ALL SELECT tid, TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S}' + INTERVAL '5' MINUTE FROM transactions WHERE tid % 26 = 6"""

@@ -25,6 +25,9 @@ def get_session(master: str | None = None, app: str = "parlour", shuffle_partiti
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # D9 keeps unbounded per-invoice state; off-heap
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -34,14 +37,18 @@ def get_session(master: str | None = None, app: str = "parlour", shuffle_partiti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; Spark's own checkpoints go there too.
 
-    Only when the session has none (local tests) is a fresh scratch folder set.
+    Only a local session without that setting (tests) gets a fresh scratch folder; elsewhere executors
+    could not see it, so that the missing setting is an error.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="parlour-ckpt-", dir=os.environ.get("PARLOUR_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(d)
-    # setCheckpointDir appends a random sub-folder; report what Spark actually uses
+    sc.setCheckpointDir(d)  # appends a random sub-folder
     return sc.getCheckpointDir() or d

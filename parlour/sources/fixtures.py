@@ -31,12 +31,12 @@ ROLE_TYPES = ("Senior Therapist", "Beautician", "Doctor", "Cashier", "Manager")
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-_RAW_CACHE: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_RAW_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The driver tables (lazy scans; file listing and footers are read once per session)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RAW_CACHE:
         _RAW_CACHE[key] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in RAW_TABLES}
     return _RAW_CACHE[key]

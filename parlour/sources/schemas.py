@@ -32,7 +32,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "role_definition": _s(("rdid", I, False), ("role_type", S, False)),
     "roles": _s(("rid", L, False), ("eid", L, False), ("rdid", I, False), ("start_date", D, False), ("end_date", D, True)),
     "services": _s(
-        ("sid", L, False), ("name", S, False), ("description", S, True), ("duration_minutes", I, False),
+        ("sid", L, False), ("name", S, False), ("description", S, False), ("duration_minutes", I, False),
         ("base_cost", MONEY, False), ("active_from", D, False), ("active_until", D, True), ("rdid", I, False),
     ),
     "transactions": _s(
@@ -75,7 +75,7 @@ MAX_LENGTH = {
     ("customers", "mobile_number"): 32,
     ("customers", "country_code"): 2,
     ("employees", "nric_fin_passport_no"): 64,
-    ("employees", "name"): 64,
+    ("employees", "name"): 128,
     ("employees", "work_name"): 128,
     ("employees", "mobile_number"): 32,
     ("employees", "country_code"): 2,

@@ -155,7 +155,7 @@ def test_distributed_ranking_equals_single_task_window(spark, parts):
     rows = [(i, float(random.choice([0, 0, 0, 0, 5, 7, 12, 12, 30]))) for i in range(400)]
     df = spark.createDataFrame(rows, "eid long, revenue double")
     got = {r.eid: (r.rank, r.above, r.below)
-           for r in global_rank_lag_lead(df, "revenue", "eid", n_parts=parts, single_task_max_rows=0).collect()}
+           for r in global_rank_lag_lead(df, "revenue", "eid", n_parts=parts).collect()}
     w1, w2 = Window.orderBy(F.desc("revenue")), Window.orderBy(F.desc("revenue"), "eid")
     exp = {r.eid: (r.rk, r.a, r.b) for r in df.select(
         "eid", F.rank().over(w1).alias("rk"), F.lag("revenue").over(w2).alias("a"),
