@@ -87,11 +87,12 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[
 def grams(host: Column, path: Column) -> Column:
     """The character n-grams of ``^host$path$``; a run of digits counts as 0."""
     s = F.concat(F.lit("^"), host, F.lit("$"), F.regexp_replace(F.lower(path), "[0-9]+", "0"), F.lit("$"))
-    parts = []
-    for n in SIZES:
+
+    def of_size(n: int) -> Column:
         at = F.when(F.char_length(s) >= n, F.sequence(F.lit(1), F.char_length(s) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.substring(s, i, F.lit(n))))
-    return F.concat(*parts)
+        return F.transform(at, lambda i: F.substring(s, i, F.lit(n)))
+
+    return F.concat(*map(of_size, SIZES))
 
 
 @dataclass(frozen=True)
