@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlour.llm.common import written
+
 ORDER = 6  # letters of a gram, the word's edges included
 SHARED = 2  # orders up to this one are shared by the classes
 SLOT_BITS = 20
@@ -62,24 +64,26 @@ def slots(order: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
 
 
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, class) counts; equal grams of a chunk are summed before they leave the task. Class 2: all texts."""
+    """(gram, class) counts; equal grams of a batch are summed before they leave the task. Class 2: all texts."""
     for b in batches:
         for cls, part in b.groupby("cls", sort=True):
-            texts, chunk, size = part["text"].tolist(), [], 0
+            texts, chunk, size, sums = part["text"].tolist(), [], 0, []
             for i, t in enumerate(texts):
                 chunk.append(t)
                 size += len(t)
-                if size < 4_000_000 and i + 1 < len(texts):
-                    continue
-                ws = [w for x in chunk for w in words(x)]
-                chunk, size = [], 0
-                if ws:
-                    g, _, _ = gram_positions(ws)
-                    if cls == 2:
-                        short = g >> (8 * (SHARED + 1)) == 0
-                        g = np.where(short, g, g & ((1 << (8 * (SHARED + 1))) - 1))
-                    u, n = np.unique(g, return_counts=True)
-                    yield pd.DataFrame({"cls": np.int32(cls), "gram": u, "n": n})
+                if size >= 1_000_000 or i + 1 == len(texts):
+                    ws = [w for x in chunk for w in words(x)]
+                    chunk, size = [], 0
+                    if ws:
+                        g, _, _ = gram_positions(ws)
+                        if cls == 2:
+                            short = g >> (8 * (SHARED + 1)) == 0
+                            g = np.where(short, g, g & ((1 << (8 * (SHARED + 1))) - 1))
+                        sums.append(np.unique(g, return_counts=True))
+            if sums:
+                u, at = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([x for _, x in sums]), len(u)).astype(np.int64)
+                yield pd.DataFrame({"cls": np.int32(cls), "gram": u, "n": n})
 
 
 def _lower(t: DataFrame, order: int, values: list[str]) -> DataFrame:
@@ -96,12 +100,14 @@ def fit_counts(texts: DataFrame, labelled: DataFrame) -> dict:
     rows = labelled.select("text", F.col("cls").cast("int").alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
     top = (rows.groupBy("gram").agg(F.sum(F.when(F.col("cls") == 0, F.col("n")).otherwise(0)).alias("n0"),
                                     F.sum(F.when(F.col("cls") == 1, F.col("n")).otherwise(0)).alias("n1")))
+    top = written(top, "op8-grams")
     tables = {ORDER: top}
     for k in range(ORDER - 1, SHARED, -1):
         tables[k] = _lower(tables[k + 1], k, ["n0", "n1"])
     # the shared orders come from all texts: their grams of SHARED + 1 letters, cut to continuation counts
     shared = (texts.select("text", F.lit(2).alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")))
+    shared = written(shared, "op8-shared")
     for k in range(SHARED, 0, -1):
         shared = _lower(shared, k, ["n"])
         tables[k] = shared.select("gram", F.col("n").alias("n0"), F.col("n").alias("n1"))
@@ -109,22 +115,23 @@ def fit_counts(texts: DataFrame, labelled: DataFrame) -> dict:
     def to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             o, g = b["k"].to_numpy(), b["gram"].to_numpy()
-            yield pd.DataFrame({"kind": "gram", "slot": slots(o, g), "a": b["n0"], "b": b["n1"], "c": 0, "d": 0})
+            yield pd.DataFrame({"kind": np.int32(0), "slot": slots(o, g), "a": b["n0"], "b": b["n1"], "c": 0, "d": 0})
             h, n0, n1 = slots(o, g >> 8), b["n0"].to_numpy(), b["n1"].to_numpy()
-            yield pd.DataFrame({"kind": "history", "slot": h, "a": n0, "b": n1, "c": (n0 > 0).astype(np.int64), "d": (n1 > 0).astype(np.int64)})
+            yield pd.DataFrame({"kind": np.int32(1), "slot": h, "a": n0, "b": n1, "c": (n0 > 0).astype(np.int64), "d": (n1 > 0).astype(np.int64)})
 
     every = None
     for k, t in tables.items():
         t = t.select(F.lit(k).alias("k"), "gram", "n0", "n1")
         every = t if every is None else every.unionByName(t)
-    got = (every.mapInPandas(to_slots, "kind string, slot long, a long, b long, c long, d long")
-           .groupBy("kind", "slot").agg(*[F.sum(v).cast("float").alias(v) for v in "abcd"]).toPandas())
+    summed = written(every.mapInPandas(to_slots, "kind int, slot long, a long, b long, c long, d long")
+                     .groupBy("kind", "slot").agg(*[F.sum(v).cast("float").alias(v) for v in "abcd"]), "op8-slots")
     model = {}
-    for kind, names in (("gram", "ab"), ("history", "abcd")):
-        part = got[got["kind"] == kind]
-        for v in names:
-            model[kind, v] = np.zeros(1 << SLOT_BITS, np.float32)
-            model[kind, v][part["slot"].to_numpy()] = part[v].to_numpy()
+    for kind, name, values in ((0, "gram", "ab"), (1, "history", "abcd")):
+        part = summed.filter(F.col("kind") == kind).select(F.col("slot").cast("int"), *values).toPandas()  # at most 2**SLOT_BITS rows
+        for v in values:
+            model[name, v] = np.zeros(1 << SLOT_BITS, np.float32)
+            model[name, v][part["slot"].to_numpy()] = part[v].to_numpy()
+        del part
     return model
 
 
@@ -149,15 +156,15 @@ def word_ratios(ws: list[bytes], model: dict) -> np.ndarray:
 
 def document_features(texts: list[str], model: dict, cache: dict) -> np.ndarray:
     """Length-normalised ratios of each text: per word, per root of words, of its TOP words. ``cache`` keeps
-    the ratio of words met before; it starts anew beyond a million words."""
+    the ratio of words met before; it starts anew beyond 400,000 words."""
     out = np.zeros((len(texts), 4))
-    for i0 in range(0, len(texts), 2000):
-        toks = [words(t) for t in texts[i0 : i0 + 2000]]
-        if len(cache) > 1_000_000:
+    for i0 in range(0, len(texts), 500):
+        toks = [words(t) for t in texts[i0 : i0 + 500]]
+        if len(cache) > 400_000:
             cache.clear()
         new = list({w for ws in toks for w in ws if w not in cache})
-        for j in range(0, len(new), 100_000):
-            cache.update(zip(new[j : j + 100_000], word_ratios(new[j : j + 100_000], model).tolist()))
+        for j in range(0, len(new), 20_000):
+            cache.update(zip(new[j : j + 20_000], word_ratios(new[j : j + 20_000], model).tolist()))
         for i, ws in enumerate(toks):
             if ws:
                 r = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
