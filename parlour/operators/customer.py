@@ -68,20 +68,21 @@ def invoice_items(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def transaction_detail(t: dict[str, DataFrame]) -> DataFrame:
-    """K5: per invoice the header, items with room and clock (by scheduled start), payments
+    """K5: per invoice the header, items with room and clock (by scheduled start, items without one last), payments
     (latest first) and the outstanding amount; both lists are aggregated on ``tid`` first."""
     items = (t["transaction_items"].join(t["services"].select("sid", F.col("name").alias("service_name")), "sid")
              .join(t["employees"].select(F.col("eid").alias("therapist_eid"), "work_name"), "therapist_eid")
              .join(t["room"], "rid"))
-    item_list = items.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct(
-        "scheduled_start", "ttid", "service_name", "work_name", "room_name", "scheduled_end", "actual_start",
-        "actual_end", "cost", "item_discount"))).alias("items"))
+    shown = ["ttid", "sid", "service_name", "therapist_eid", "work_name", "rid", "room_name", "scheduled_start", "scheduled_end", "actual_start",
+             "actual_end", "cost", "item_discount", "item_discount_type"]
+    in_order = F.sort_array(F.collect_list(F.struct(F.col("scheduled_start").isNull().alias("_last"), F.col("scheduled_start").alias("_at"), *shown)))
+    item_list = items.groupBy("tid").agg(F.transform(in_order, lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("items"))
     pay_list = t["payments"].groupBy("tid").agg(F.sort_array(F.collect_list(F.struct(
         "payment_time", "pid", "payment_method", "payment_amount")), asc=False).alias("payments"))
-    tx = t["transactions"].join(t["customers"].select("cid", "name"), "cid")
+    tx = t["transactions"].join(t["customers"].select("cid", "name", "mobile_number"), "cid")
     j = tx.join(item_list, "tid", "left").join(pay_list, "tid", "left")
     return j.select(
-        "tid", "cid", "name", "entry_time", "exit_time", "status", "total_cost", "total_discount", "total_paid",
+        "tid", "cid", "name", "mobile_number", "entry_time", "exit_time", "status", "total_cost", "total_discount", "total_paid",
         outstanding_col(F.col("total_cost"), F.col("total_discount"), F.col("total_paid")).alias("outstanding"),
         F.coalesce("items", F.array().cast(item_list.schema["items"].dataType)).alias("items"),
         F.coalesce("payments", F.array().cast(pay_list.schema["payments"].dataType)).alias("payments"))

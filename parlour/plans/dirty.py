@@ -1,64 +1,70 @@
-"""A 'dirty batch' overlay for the audits: the fixture tables are clean, so a few rule-chosen
-rows of three tables are damaged (same rules in Spark and in DuckDB SQL)."""
+"""A damaged overlay for the audits: the fixture tables are clean, so copies of a few rows of every table are
+added, each with one fault, so that every rule of Q1-Q5 is broken somewhere (copies also repeat their keys).
+The same faults in Spark and in DuckDB SQL, as expressions that both read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlour.sources.schemas import SCHEMAS
 
-def dirty(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    c = t["customers"]
-    cid = F.col("cid")
-    c2 = c.select(
-        "cid", "nric_fin_passport_no",
-        F.when(cid % 307 == 11, F.lit(None).cast("string")).otherwise(F.col("name")).alias("name"),
-        F.when(cid % 401 == 9, F.lit("Other")).otherwise(F.col("gender")).alias("gender"),
-        F.when(cid % 101 == 7, F.concat(F.lit("+65 "), F.col("mobile_number"))).otherwise(F.col("mobile_number"))
-        .alias("mobile_number"), "country_code")
-    c2 = c2.unionByName(c2.where(cid % 211 == 5))
-    p = t["payments"]
-    tid = F.col("tid")
-    p2 = p.select(
-        "pid", F.when(tid % 499 == 4, tid + 10000000).otherwise(tid).alias("tid"),
-        F.when(tid % 331 == 3, F.lit("Bitcoin")).otherwise(F.col("payment_method")).alias("payment_method"),
-        F.when(tid % 997 == 1, -F.col("payment_amount")).otherwise(F.col("payment_amount")).alias("payment_amount"),
-        "payment_time")
-    i = t["transaction_items"]
-    k = F.col("ttid")
-    i2 = i.withColumn("therapist_eid", F.when(k % 503 == 1, F.col("therapist_eid") + 1000000).otherwise(
-        F.col("therapist_eid"))).withColumn(
-        "item_discount", F.when(k % 701 == 2, F.col("cost") + 1).otherwise(F.col("item_discount")).cast("decimal(10,2)")
-    ).withColumn("actual_end", F.when((k % 809 == 3) & F.col("actual_start").isNotNull(),
-                                      F.timestamp_add("MINUTE", F.lit(-1), F.col("actual_start")))
-                 .otherwise(F.col("actual_end")))
-    return {**t, "customers": c2, "payments": p2, "transaction_items": i2}
+# Which rows get damaged copies.
+PICKED = {
+    "nationcode": "country_code = '03'", "room": "rid = 3", "customers": "cid % 97 = 3", "employees": "eid % 97 = 3",
+    "role_definition": "rdid = 3", "roles": "rid % 97 = 2", "services": "sid % 97 = 3", "transactions": "tid % 997 = 3",
+    "transaction_items": "ttid % 997 = 2", "payments": "pid % 998 = 2", "refunds": "refid % 970 = 30",
+}
+EARLY_DAY, EARLY = "DATE '1900-01-01'", "TIMESTAMP '1900-01-01 00:00:00'"
+# The faults: column and value. Every column also gets a copy in which it is NULL.
+FAULTS = {
+    "nationcode": [("country_code", "'XXX'"), ("country_name", "repeat('x', 65)"), ("default_nationality", "repeat('x', 65)")],
+    "room": [("room_name", "repeat('x', 31)")],
+    "customers": [("mobile_number", "'+65 12'"), ("gender", "'Other'"), ("country_code", "'?'"), ("country_code", "'XXX'"), ("nric_fin_passport_no", "repeat('x', 65)"),
+                  ("name", "repeat('x', 65)"), ("mobile_number", "repeat('1', 33)")],
+    "employees": [("mobile_number", "'+65 12'"), ("gender", "'Other'"), ("country_code", "'?'"), ("country_code", "'XXX'"), ("nric_fin_passport_no", "repeat('x', 65)"),
+                  ("name", "repeat('x', 65)"), ("name", "repeat('x', 129)"), ("work_name", "repeat('x', 129)"), ("mobile_number", "repeat('1', 33)"),
+                  ("employment_end", EARLY_DAY)],
+    "role_definition": [("role_type", "repeat('x', 65)")],
+    "roles": [("end_date", EARLY_DAY), ("eid", "987654321"), ("rdid", "987654321")],
+    "services": [("duration_minutes", "-1"), ("base_cost", "-1"), ("active_until", EARLY_DAY), ("rdid", "987654321"), ("name", "repeat('x', 256)")],
+    "transactions": [("billlevel_discount", "-1"), ("total_cost", "-1"), ("total_discount", "-1"), ("total_paid", "-1"), ("billlevel_discount", "total_cost + 1"),
+                     ("exit_time", EARLY), ("cid", "987654321"), ("cashier_eid", "987654321"), ("billlevel_discount_type", "'gift'"), ("status", "'lost'")],
+    "transaction_items": [("cost", "0"), ("item_discount", "-1"), ("item_discount", "cost + 1"), ("scheduled_end", EARLY), ("actual_end", EARLY),
+                          ("tid", "987654321"), ("sid", "987654321"), ("therapist_eid", "987654321"), ("rid", "987654321"), ("item_discount_type", "'gift'")],
+    "payments": [("payment_amount", "-1"), ("payment_method", "'Bitcoin'"), ("tid", "987654321")],
+    "refunds": [("refund_amount", "0"), ("refund_method", "'Bitcoin'"), ("tid", "987654321")],
+}
 
 
-DIRTY_VIEWS = {
-    "customers": """SELECT cid, nric_fin_passport_no, CASE WHEN cid % 307 = 11 THEN NULL ELSE name END AS name,
-        CASE WHEN cid % 401 = 9 THEN 'Other' ELSE gender END AS gender,
-        CASE WHEN cid % 101 = 7 THEN '+65 ' || mobile_number ELSE mobile_number END AS mobile_number, country_code
-      FROM customers""",
-    "payments": """SELECT pid, CASE WHEN tid % 499 = 4 THEN tid + 10000000 ELSE tid END AS tid,
-        CASE WHEN tid % 331 = 3 THEN 'Bitcoin' ELSE payment_method END AS payment_method,
-        CASE WHEN tid % 997 = 1 THEN -payment_amount ELSE payment_amount END AS payment_amount, payment_time
-      FROM payments""",
-    "transaction_items": """SELECT ttid, tid, sid,
-        CASE WHEN ttid % 503 = 1 THEN therapist_eid + 1000000 ELSE therapist_eid END AS therapist_eid,
-        scheduled_start, scheduled_end, actual_start,
-        CASE WHEN ttid % 809 = 3 AND actual_start IS NOT NULL THEN actual_start - INTERVAL '1' MINUTE
-             ELSE actual_end END AS actual_end, cost,
-        CAST(CASE WHEN ttid % 701 = 2 THEN cost + 1 ELSE item_discount END AS DECIMAL(10,2)) AS item_discount,
-        item_discount_type, rid FROM transaction_items""",
-}
+def _variants(name: str) -> list[tuple[str, str]]:
+    return FAULTS[name] + [(f.name, "NULL") for f in SCHEMAS[name].fields]
 
 
-def dirty_ctes() -> str:
-    c = DIRTY_VIEWS["customers"]
-    return (f"d_customers AS ({c} UNION ALL SELECT * FROM ({c}) WHERE cid % 211 = 5), "
-            f"d_payments AS ({DIRTY_VIEWS['payments']}), d_transaction_items AS ({DIRTY_VIEWS['transaction_items']})")
+def dirty(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    out = {}
+    for name, df in t.items():
+        variants = _variants(name)
+        copies = F.when(F.expr(PICKED[name]), F.sequence(F.lit(0), F.lit(len(variants)))).otherwise(F.array(F.lit(0)))
+        damaged = df.withColumn("_v", F.explode(copies))
+        cols = []
+        for f in SCHEMAS[name].fields:
+            c = F.col(f.name)
+            for k, (col, value) in enumerate(variants, 1):
+                if col == f.name:
+                    c = F.when(F.col("_v") == k, F.expr(value).cast(f.dataType)).otherwise(c)
+            cols.append(c.alias(f.name))
+        out[name] = damaged.select(cols)
+    return out
 
 
-def table_ref(name: str) -> str:
-    return f"d_{name}" if name in DIRTY_VIEWS else name
+def dirty_ctes() -> str:
+    out = []
+    for name, schema in SCHEMAS.items():
+        variants = _variants(name)
+        cols = []
+        for f in schema.fields:
+            cases = " ".join(f"WHEN _v = {k} THEN {value}" for k, (col, value) in enumerate(variants, 1) if col == f.name)
+            cols.append(f"CASE {cases} ELSE {f.name} END AS {f.name}" if cases else f.name)
+        out.append(f"d_{name} AS (SELECT {', '.join(cols)} FROM {name} JOIN range(0, {len(variants) + 1}) v(_v) ON _v = 0 OR {PICKED[name]})")
+    return ", ".join(out)

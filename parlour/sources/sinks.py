@@ -3,23 +3,48 @@ decimals as numbers, dates and timestamps as ISO strings, NULLs kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _plain(kind: T.DataType) -> bool:
+    """No decimal, date or time anywhere in the type."""
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _plain(kind.valueType)
+    return not isinstance(kind, (T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def _ready(c: Column, kind: T.DataType) -> Column:
+    """``c`` with decimals as doubles, dates and times as ISO text (microseconds if there are any), also inside
+    structs, arrays and map values."""
+    if _plain(kind):
+        return c
+    if isinstance(kind, T.DecimalType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+        return text if isinstance(kind, T.TimestampNTZType) else F.concat(text, F.date_format(c, "xxx"))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_ready(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _ready(x, kind.elementType))
+    return F.transform_values(c, lambda _, v: _ready(v, kind.valueType))
+
+
 def json_ready(df: DataFrame) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        cols.append(c.alias(f.name))
-    return df.select(cols)
+    return df.select([_ready(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def json_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the nested ``columns`` as JSON text."""
+    return df.select(*[F.to_json(_ready(F.col(c), df.schema[c].dataType), {"ignoreNullFields": "false"}).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def json_rows(df: DataFrame, key: str | None = None) -> DataFrame:

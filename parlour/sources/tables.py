@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlour.sources.schemas import SCHEMAS
@@ -16,29 +18,43 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
+# The time column by whose month a fact table is laid out.
+TIME_COLUMNS = {"transaction_items": "actual_start", "transactions": "entry_time", "payments": "payment_time"}
+
+
+def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", since: date | None = None, until: date | None = None,
+                **options) -> dict[str, DataFrame]:
     """Read ``<path>/<table>.<fmt>`` for every domain table and conform it.
 
     Any DataFrameReader format works (parquet, orc, json, csv, jdbc via ``options``). Column
     pruning and filter pushdown still reach the scan because ``conform`` is only a projection.
-    """
+    ``since`` and ``until`` (days, both included) keep the fact rows of these months and those without a time;
+    of a table that ``save_tables`` laid out by month, only these months' files are read."""
     out = {}
     for name in SCHEMAS:
         reader = spark.read.format(fmt).options(**options)
         if fmt in ("json", "csv"):
             reader = reader.schema(SCHEMAS[name])
-        out[name] = conform(reader.load(f"{path}/{name}.{fmt}" if fmt != "jdbc" else None) if fmt != "jdbc"
-                            else reader.option("dbtable", name).load(), name)
+        df = reader.option("dbtable", name).load() if fmt == "jdbc" else reader.load(f"{path}/{name}.{fmt}")
+        if name in TIME_COLUMNS:
+            month = F.col("_month").cast("date") if "_month" in df.columns else _month(name)
+            for day, bound in ((since, month.__ge__), (until, month.__le__)):
+                if day is not None:
+                    df = df.where(month.isNull() | bound(F.lit(day.replace(day=1))))
+        out[name] = conform(df, name)
     return out
 
 
+def _month(name: str) -> Column:
+    return F.date_trunc("MONTH", F.col(TIME_COLUMNS[name])).cast("date")
+
+
 def save_tables(t: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Write the domain tables as parquet (one folder per table). Facts are laid out by the
-    month of their main time column so that range reports prune partitions."""
-    time_cols = {"transaction_items": "actual_start", "transactions": "entry_time", "payments": "payment_time"}
+    """Write the domain tables as parquet (one folder per table). Facts are laid out by the month of their main
+    time column, so that ``load_tables`` with ``since`` or ``until`` reads only the months asked for. Rows are
+    brought together by month first (a large month is split by AQE), so that a month is a few files."""
     for name, df in t.items():
-        w = df.write.mode(mode)
-        if name in time_cols:
-            w = df.withColumn("_month", F.date_trunc("MONTH", F.col(time_cols[name])).cast("date")).write.mode(
-                mode).partitionBy("_month")
-        w.parquet(f"{path}/{name}.parquet")
+        if name in TIME_COLUMNS:
+            df.withColumn("_month", _month(name)).hint("rebalance", "_month").write.mode(mode).partitionBy("_month").parquet(f"{path}/{name}.parquet")
+        else:
+            df.write.mode(mode).parquet(f"{path}/{name}.parquet")

@@ -1,13 +1,12 @@
-"""Invoice paid totals kept current from a stream of payments and refunds.
+"""Invoice paid totals kept current from streams of payments and refunds.
 
-The reference updates ``total_paid`` with AFTER triggers as each payment or refund row
-arrives. Here a Structured Streaming query keeps a running ``sum`` per invoice (stateful
-aggregation in ``update`` mode, no watermark: an invoice can be paid at any time) and
-``foreachBatch`` appends each micro-batch's changed totals, tagged with the batch id, to a
-table in the shared checkpoint folder. The current state is the latest row per invoice.
+The reference updates ``total_paid`` with AFTER triggers as each payment or refund row arrives, changes or
+goes. Here every change is a signed amount (:func:`signed_changes`), a Structured Streaming query keeps a
+running ``sum`` per invoice (stateful aggregation in ``update`` mode, no watermark: an invoice can be paid at
+any time), and ``foreachBatch`` writes each micro-batch's changed totals to a folder of its own under the sink.
+The current state is the latest row per invoice; :func:`compact` folds all batches so far into one snapshot.
 
-Re-running a batch after a failure appends the same (batch_id, tid, total) rows again, so the
-"latest per tid" read stays correct: the sink is idempotent by construction.
+A batch that is run again after a failure overwrites its own folder, so the sink is idempotent.
 """
 
 from __future__ import annotations
@@ -21,6 +20,29 @@ from parlour.session import checkpoint_dir
 from parlour.sources.schemas import MONEY
 
 
+def signed_changes(payments: DataFrame, refunds: DataFrame) -> DataFrame:
+    """(tid, amount) of changes of payments and refunds (streams or tables): a payment adds, a refund takes off,
+    and a row with ``op`` = 'delete' does the opposite (an update is a delete of the old and an insert of the new
+    row). Without a column ``op`` all rows are inserts."""
+    def amounts(df: DataFrame, column: str, sign: int) -> DataFrame:
+        op = F.when(F.col("op") == "delete", -sign).otherwise(sign) if "op" in df.columns else F.lit(sign)
+        return df.select("tid", (F.col(column) * op).cast(MONEY).alias("amount"))
+
+    return amounts(payments, "payment_amount", 1).unionByName(amounts(refunds, "refund_amount", -1))
+
+
+def keep_totals(changes: DataFrame, sink: str, checkpoint: str) -> None:
+    """Run the stream ``changes`` (tid, amount) over everything available, from where ``checkpoint`` left off."""
+    totals = changes.groupBy("tid").agg(F.sum("amount").alias("total_paid"))
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    q = (totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(upsert).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def signed_amounts(orders: DataFrame) -> DataFrame:
     """Payments (+) and refunds (-) derived from order rows, as one signed stream. Same rules as
     the fixture payments/refunds tables; one ``explode`` instead of a union of two streams."""
@@ -34,35 +56,32 @@ def signed_amounts(orders: DataFrame) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
-               source_glob: str = "orders.parquet") -> str:
-    """Run the stream over everything available in ``source_dir`` and return the sink path."""
+               source_glob: str = "orders.parquet", files_per_batch: int = 1) -> str:
+    """Run the fixture's stream over everything available in ``source_dir`` and return the sink path. Without
+    ``out_dir`` sink and checkpoint go to the shared folder of ``spark.checkpoint.dir``."""
     base = out_dir or f"{checkpoint_dir(spark)}/net_paid-{uuid.uuid4().hex}"
-    sink, ckpt = f"{base}/state", f"{base}/_checkpoint"
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
-        # per-invoice state is unbounded; keep it off-heap
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = spark.read.parquet(f"{source_dir}/{source_glob}").schema
     orders = (spark.readStream.schema(schema).option("pathGlobFilter", source_glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    totals = signed_amounts(orders).groupBy("tid").agg(F.sum("amount").alias("total_paid"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.lit(batch_id).cast("long").alias("batch_id"), "tid", "total_paid").write.mode(
-            "append").parquet(sink)
-
-    q = (totals.writeStream.outputMode("update").option("checkpointLocation", ckpt)
-         .foreachBatch(upsert).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+    keep_totals(signed_amounts(orders), f"{base}/state", f"{base}/_checkpoint")
+    return f"{base}/state"
 
 
 def current_totals(spark: SparkSession, sink: str) -> DataFrame:
-    """Latest total per invoice from the appended batches."""
+    """Latest total per invoice from the batches' folders (and a snapshot's, if compacted)."""
     s = spark.read.parquet(sink)
     return s.groupBy("tid").agg(F.max_by("total_paid", "batch_id").alias("total_paid"))
 
 
+def compact(spark: SparkSession, sink: str, into: str) -> str:
+    """Write the latest total per invoice of ``sink`` as one snapshot ``into`` a new sink, which later batches
+    may follow (they have higher batch ids), and return it. The old sink can then be dropped."""
+    s = spark.read.parquet(sink)
+    last = s.agg(F.max("batch_id")).first()[0]
+    current_totals(spark, sink).write.mode("overwrite").parquet(f"{into}/batch_id={last}")
+    return into
+
+
 def stream_net_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9 end to end: every invoice with its streamed total_paid (0 when nothing arrived)."""
     sink = run_stream(spark, sf_dir)
