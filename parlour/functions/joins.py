@@ -22,9 +22,11 @@ def pattern_join(rows: DataFrame, columns: list[str], terms: DataFrame, pattern:
     join is on equality, whatever the sizes, and a frequent pair can be split by AQE. A pattern of
     wildcards alone asks for '', under which every row is listed. A pair (row, term) appears once."""
     keys = F.array_distinct(F.concat(*[_grams(F.lower(F.coalesce(c, F.lit("")))) for c in columns]))
+    # a backslash before an ordinary character stands for that character
+    asked = terms.withColumn(pattern, F.regexp_replace(pattern, r"\\([^%_\\])", "$1"))
     p = F.lower(pattern)
     pair, single = F.regexp_extract(p, r"[^%_\\]{2}", 0), F.regexp_extract(p, r"[^%_\\]", 0)
-    asked = terms.withColumn("_gram", F.when(pair != "", pair).otherwise(single))
+    asked = asked.withColumn("_gram", F.when(pair != "", pair).otherwise(single))
     match = F.lit(False)
     for c in columns:
         match = match | F.coalesce(F.ilike(F.col(c), F.col(pattern)), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,12 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", since: dat
         reader = spark.read.format(fmt).options(**options)
         if fmt in ("json", "csv"):
             reader = reader.schema(SCHEMAS[name])
-        df = reader.option("dbtable", name).load() if fmt == "jdbc" else reader.load(f"{path}/{name}.{fmt}")
+        try:
+            df = reader.option("dbtable", name).load() if fmt == "jdbc" else reader.load(f"{path}/{name}.{fmt}")
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            df = spark.createDataFrame([], SCHEMAS[name])  # an empty table laid out by month has no files
         if name in TIME_COLUMNS:
             month = F.col("_month").cast("date") if "_month" in df.columns else _month(name)
             for day, bound in ((since, month.__ge__), (until, month.__le__)):

@@ -83,7 +83,7 @@ def test_touching_slots_do_not_conflict(spark, base):
     ts = datetime(2000, 6, 1)
     tx = _df(spark, "transactions", [(1, 7, 1, 0, "none", 10, 0, 0, ts, None, "pending", ts, ts),
                                      (2, 7, 1, 0, "none", 0, 0, 0, ts, None, "pending", ts, ts)])
-    svc = _df(spark, "services", [(1, "Massage", None, 60, 10, date(1995, 1, 1), None, 0)])
+    svc = _df(spark, "services", [(1, "Massage", "d", 60, 10, date(1995, 1, 1), None, 0)])
     t = {**base, "transaction_items": items, "transactions": tx, "services": svc}
     req = spark.createDataFrame([(1, 2, 1, s1), (2, 2, 1, datetime(2000, 6, 14, 10, 59))],
                                 "req_id long, tid long, sid long, slot_start timestamp_ntz")
@@ -95,7 +95,9 @@ def test_payment_intake_zip_truncates_and_drops_non_positive(spark):
     req = spark.createDataFrame([(1, 5, ["Cash", "NETS"], ["10", "0", "7"], AS_OF), (2, 6, ["Cash"], ["-1"], AS_OF)],
                                 "req_id long, tid long, methods array<string>, amounts array<string>, "
                                 "event_time timestamp_ntz")
-    rows = ch.payment_intake({}, req).collect()
+    ts = datetime(2000, 6, 1)
+    tx = _df(spark, "transactions", [(k, 7, 1, 0, "none", 0, 0, 0, ts, None, "pending", ts, ts) for k in (5, 6)])
+    rows = ch.payment_intake({"transactions": tx}, req).collect()
     assert [(r.tid, r.payment_method, float(r.payment_amount)) for r in rows] == [(5, "Cash", 10.0)]
 
 
