@@ -20,6 +20,7 @@ HEADLINE = [
     "leaderboard_gaps", "top_customers", "therapist_period_stats", "active_transactions", "busy_now",
     "top_therapists_per_customer", "last_therapist", "invoice_item_rows", "customer_conflicts",
     "candidate_therapists", "service_clock", "payment_intake_status", "audit_foreign_keys", "entry_exit_log_month",
+    "edit_candidate_therapists", "audit_checks", "audit_domains", "edit_items", "stream_net_paid", "transaction_detail",
 ]
 
 

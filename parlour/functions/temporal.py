@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PERIODS = ("today", "week", "month", "year")
@@ -49,20 +49,6 @@ def period_starts(as_of) -> dict[str, datetime]:
     }
 
 
-def period_bounds(spark: SparkSession, as_of) -> DataFrame:
-    """M1 as a 4-row table ``(period, period_start, period_end)``, half-open ``[start, as_of)``.
-
-    Bounded by construction (4 rows), so it is always safe to broadcast.
-    """
-    now = as_datetime(as_of)
-    rows = [(p, s, now) for p, s in period_starts(as_of).items()]
-    return spark.createDataFrame(rows, "period string, period_start timestamp_ntz, period_end timestamp_ntz")
-
-
-def in_period(ts: Column, start: datetime, end: datetime) -> Column:
-    return (ts >= ts_lit(start)) & (ts < ts_lit(end))
-
-
 def role_active(start_date: Column, end_date: Column, d) -> Column:
     """Role valid on day ``d``, half-open: start <= d and (end NULL or end > d)."""
     d = F.lit(d)
@@ -85,16 +71,6 @@ def covers(start: Column, end: Column, instant: Column) -> Column:
     return (start <= instant) & (end >= instant)
 
 
-def minutes_between(a: Column, b: Column) -> Column:
-    """(b - a) in fractional minutes, as EXTRACT(EPOCH FROM b - a) / 60."""
-    return F.timestamp_diff("MICROSECOND", a, b) / F.lit(60_000_000.0)
-
-
 def duration_micros(a: Column, b: Column) -> Column:
     """(b - a) in whole microseconds (exact, so averages agree across engines)."""
     return F.timestamp_diff("MICROSECOND", a, b)
-
-
-def avg_minutes(a: Column, b: Column) -> Column:
-    """Aggregate: mean of (b - a) in minutes, summed exactly in microseconds first."""
-    return F.sum(duration_micros(a, b)).cast("double") / F.count(duration_micros(a, b)) / F.lit(60_000_000.0)

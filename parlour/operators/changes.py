@@ -86,7 +86,7 @@ def add_roles(t: dict[str, DataFrame], requests: DataFrame, as_of) -> DataFrame:
     d = F.lit(today(as_of))
     e = t["employees"].select("eid", "employment_end", F.lit(True).alias("_emp"))
     rd = t["role_definition"].select("rdid", F.lit(True).alias("_rd"))
-    j = requests.join(e, "eid", "left").join(F.broadcast(rd), "rdid", "left")
+    j = requests.join(e, "eid", "left").join(rd, "rdid", "left")
     reason = (F.when(F.col("_emp").isNull(), F.lit(MSG_NOT_FOUND))
               .when(F.col("employment_end").isNotNull() & (F.col("employment_end") <= d), F.lit(MSG_EMPLOYMENT_ENDED))
               .when(F.col("_rd").isNull(), F.lit("unknown role type"))
@@ -197,19 +197,16 @@ def service_clock(t: dict[str, DataFrame], events: DataFrame) -> DataFrame:
     """Apply ``events(event_id, ttid, kind in {'start','end'}, event_time)`` in (event_time, event_id)
     order per item: a start needs no actual_start; an end needs a start and no actual_end.
 
-    Built from per-item aggregates (first valid start, first valid end) and joins, so an
-    item with very many events is combined map-side instead of sorted in one task."""
+    Events and items meet in one shuffle by item; the windows that follow keep that partitioning."""
     items = t["transaction_items"].select("ttid", "actual_start", "actual_end", F.lit(True).alias("_item_known"))
     ev = events.join(items, "ttid", "left").withColumn("_pos", F.struct("event_time", "event_id"))
-    s0 = F.col("actual_start").isNotNull()
-    first_start = ev.where((F.col("kind") == "start")).groupBy("ttid").agg(F.min("_pos").alias("_first_start"))
-    ev = ev.join(first_start, "ttid", "left")
-    found = F.col("_item_known").isNotNull()
+    of_item = Window.partitionBy("ttid")
+    s0, found = F.col("actual_start").isNotNull(), F.col("_item_known").isNotNull()
+    ev = ev.withColumn("_first_start", F.min(F.when(F.col("kind") == "start", F.col("_pos"))).over(of_item))
     start_ok = (F.col("kind") == "start") & ~s0 & (F.col("_pos") == F.col("_first_start")) & found
     started = s0 | (F.col("_first_start").isNotNull() & (F.col("_pos") > F.col("_first_start")))
     end_cand = (F.col("kind") == "end") & started & F.col("actual_end").isNull()
-    first_end = ev.where(end_cand).groupBy("ttid").agg(F.min("_pos").alias("_first_end"))
-    ev = ev.join(first_end, "ttid", "left")
+    ev = ev.withColumn("_first_end", F.min(F.when(end_cand, F.col("_pos"))).over(of_item))
     end_ok = end_cand & (F.col("_pos") == F.col("_first_end"))
     reason = (F.when(~found, F.lit("Service not found"))
               .when(start_ok | end_ok, F.lit(None))

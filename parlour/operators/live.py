@@ -40,7 +40,7 @@ def staff_available_now(t: dict[str, DataFrame], as_of) -> DataFrame:
     r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).select(
         F.col("rid").alias("role_id"), "eid", "rdid")
     busy = _busy_items(t, as_of).select(F.col("therapist_eid").alias("eid"))
-    j = e.join(r, "eid").join(F.broadcast(t["role_definition"]), "rdid").join(busy, "eid", "left_anti")
+    j = e.join(r, "eid").join(t["role_definition"], "rdid").join(busy, "eid", "left_anti")
     return j.select("eid", "work_name", "role_id", "role_type")
 
 
@@ -80,7 +80,7 @@ def therapists_free_of_work(t: dict[str, DataFrame], as_of) -> DataFrame:
     and no item started and not ended (no time test, as in the reference)."""
     d = today(as_of)
     rd = t["role_definition"].where(F.lower("role_type").contains("therapist"))
-    r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).join(F.broadcast(rd), "rdid", "left_semi")
+    r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).join(rd, "rdid", "left_semi")
     e = t["employees"].where(employed(F.col("employment_end"), d, inclusive=False))
     started = t["transaction_items"].where(F.col("actual_start").isNotNull() & F.col("actual_end").isNull()).select(
         F.col("therapist_eid").alias("eid"))

@@ -97,11 +97,8 @@ def candidate_therapists(t: dict[str, DataFrame], requests: DataFrame, as_of) ->
 
 
 def _room_pairs(t, reqs: DataFrame) -> DataFrame:
-    """Every request with every room. The room table is a small dimension: it is gathered into
-    one array row by a Spark aggregate and broadcast, then exploded per request."""
-    rooms = t["room"].agg(F.collect_list(F.struct("rid", "room_name")).alias("_rooms"))
-    return reqs.crossJoin(F.broadcast(rooms)).select("*", F.explode("_rooms").alias("_r")).select(
-        *reqs.columns, "_r.rid", "_r.room_name")
+    """Every request with every room, which the answer lists but for the busy ones."""
+    return reqs.crossJoin(t["room"].select("rid", "room_name"))
 
 
 def candidate_rooms(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def active_roles(t: dict[str, DataFrame], as_of) -> DataFrame:
     d = today(as_of)
     r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d))
     # role_definition is a tiny code table (one row per role type): always safe to broadcast
-    return r.join(F.broadcast(t["role_definition"]), "rdid").select(
+    return r.join(t["role_definition"], "rdid").select(
         "rid", "eid", "rdid", "role_type", "start_date", "end_date")
 
 
@@ -60,7 +60,7 @@ def employee_detail(t: dict[str, DataFrame], as_of) -> DataFrame:
 def role_history(t: dict[str, DataFrame], as_of) -> DataFrame:
     """Every role of every employee, is_active = end NULL or end > d (start not tested)."""
     d = F.lit(today(as_of))
-    return t["roles"].join(F.broadcast(t["role_definition"]), "rdid").select(
+    return t["roles"].join(t["role_definition"], "rdid").select(
         "rid", "eid", "role_type", "start_date", "end_date",
         (F.col("end_date").isNull() | (F.col("end_date") > d)).alias("is_active"))
 
@@ -108,7 +108,7 @@ def service_catalog(t: dict[str, DataFrame], as_of, check_active_from: bool = Fa
     s = t["services"].where(F.col("active_until").isNull() | (F.col("active_until") >= d))
     if check_active_from:
         s = s.where(F.col("active_from") <= d)
-    return s.join(F.broadcast(t["role_definition"]), "rdid").select(
+    return s.join(t["role_definition"], "rdid").select(
         "sid", "name", "base_cost", "duration_minutes", "rdid", "role_type")
 
 

@@ -140,16 +140,12 @@ DELETE_REQUESTS_SQL = """SELECT ttid FROM transaction_items WHERE ttid % 89 = 1
 def clock_events(t) -> DataFrame:
     i = t["transaction_items"].where(F.col("ttid") % 13 == 0)
     k, s, e = F.col("ttid"), F.col("scheduled_start"), F.col("scheduled_end")
-    ev = [i.select((k * 10 + 1).alias("event_id"), "ttid", F.lit("start").alias("kind"), s.alias("event_time")),
-          i.select((k * 10 + 2).alias("event_id"), "ttid", F.lit("end").alias("kind"), e.alias("event_time")),
-          i.where(k % 26 == 0).select((k * 10 + 3).alias("event_id"), "ttid", F.lit("end").alias("kind"),
-                                      F.timestamp_add("MINUTE", F.lit(5), e).alias("event_time")),
-          i.where(k % 39 == 0).select((k * 10 + 4).alias("event_id"), "ttid", F.lit("end").alias("kind"),
-                                      F.timestamp_add("MINUTE", F.lit(-10), s).alias("event_time"))]
-    out = ev[0]
-    for x in ev[1:]:
-        out = out.unionByName(x)
-    return out
+    event = lambda n, kind, at: F.struct((k * 10 + n).alias("event_id"), F.lit(kind).alias("kind"), at.alias("event_time"))
+    events = F.array_compact(F.array(
+        event(1, "start", s), event(2, "end", e),
+        F.when(k % 26 == 0, event(3, "end", F.timestamp_add("MINUTE", F.lit(5), e))),
+        F.when(k % 39 == 0, event(4, "end", F.timestamp_add("MINUTE", F.lit(-10), s)))))
+    return i.select("ttid", F.explode(events).alias("ev")).select("ev.event_id", "ttid", "ev.kind", "ev.event_time")
 
 
 CLOCK_EVENTS_SQL = """SELECT ttid * 10 + 1 AS event_id, ttid, 'start' AS kind, scheduled_start AS event_time
