@@ -29,7 +29,7 @@ SHARED = 2  # orders up to this one are shared by the classes
 SLOT_BITS = 20
 DISCOUNT = 0.75
 CALIBRATION_ROWS = 4000  # labelled rows, kept out of the counts, on which the logistic function is fitted, at most
-CALIBRATION_PART = 8  # one labelled row in so many is set aside for it
+CALIBRATION_PART = 3  # of few labelled rows, one in so many is set aside for it
 TOP = 3
 
 # letters and all non-ASCII bytes stay, everything else separates words; 1 and 2 mark a word's edges
@@ -179,10 +179,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> dict:
         return {"mean": np.zeros(4), "scale": np.ones(4), "w": np.array([0.5, 0.5, 0.5, 0, -2.0])}
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], 1)
-    w = np.zeros(5)
+    w, ridge = np.zeros(5), np.array([0.1] * 4 + [0.001])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w += np.clip(np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag([0.5] * 4 + [0.01]), z.T @ (y - p) - np.array([0.5] * 4 + [0.01]) * w), -1, 1)
+        w += np.clip(np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w), -1, 1)
     return {"mean": mean, "scale": scale, "w": w}
 
 
@@ -196,15 +196,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on ``docs`` (all texts count for the shared orders) and ``labels`` (the training rows alone).
 
     Null labels and identifiers are left out; of repeated labels the largest holds. One labelled row in
-    CALIBRATION_PART is kept out of the counts; at most ``calibration_rows`` of these fit the logistic function."""
+    CALIBRATION_PART, but ``calibration_rows`` at most, is kept out of the counts and fits the logistic function."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     lab = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-           .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("cls"))
-           .withColumn("part", F.pmod(F.xxhash64("lab_id"), F.lit(CALIBRATION_PART))))
+           .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("cls")))
     keyed = docs.select(F.col(id_col).alias("lab_id"), text)
-    counted = keyed.join(lab.filter("part > 0").drop("part"), "lab_id")
+    n = min(calibration_rows, lab.count() // CALIBRATION_PART)
+    few = written(lab.orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(n), "op8-calibration")
+    # labels grow with the documents: the same shuffled join at every size, never a broadcast
+    counted = keyed.join(lab.join(F.broadcast(few.select("lab_id")), "lab_id", "left_anti").hint("merge"), "lab_id")
     model = fit_counts(docs.select(text), counted)
-    few = lab.filter("part = 0").orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(calibration_rows)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
