@@ -9,7 +9,7 @@ Scale: documents are scanned once. In the scan, seeds are tested against a Bloom
 whose size is fixed (2**FILTER_BITS bits), so that only hits and a few false positives leave the task, each
 with the tokens around it (a bounded window). The exact join of these with the items' seeds follows; one
 passage that very many documents hold is first reduced to distinct windows, and items' seeds are dealt over
-SALTS parts. Nothing grows on the driver but the filter, which is built from the items' hashes alone.
+SEED_SALTS parts. Nothing grows on the driver but the filter, which is built from the items' hashes alone.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MIN_SHARE = 0.8
 MIN_TOKENS = 13  # of a verified stretch; an item with fewer must match whole
 SHORTEST = 8  # items with fewer tokens carry too little to be searched for
 FILTER_BITS = 23
-SALTS = 16
+SEED_SALTS, SALTS = 4, 16  # parts over which items' seeds (with their tokens) and verified windows are dealt
 
 _TOKEN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = Filter(np.unpackbits(bits.value).view(bool))
         for b in batches:
             texts = b["text"].tolist()
-            for i0, i1 in _chunks(texts, 4_000_000):
+            for i0, i1 in _chunks(texts, 1_000_000):
                 h, n = token_hashes(texts[i0:i1])
                 ends = np.cumsum(n)
                 rows = []
@@ -191,8 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .withColumn("window", F.xxhash64("seed", "d_at", "d_tokens")))
     found = written(found, "op7-hits")
     windows = found.groupBy("window").agg(F.first("seed").alias("seed"), F.first("d_at").alias("d_at"), F.first("d_tokens").alias("d_tokens"))
-    windows = windows.withColumn("salt", F.pmod(F.col("window"), F.lit(SALTS)))
-    dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    windows = windows.withColumn("salt", F.pmod(F.col("window"), F.lit(SEED_SALTS)))
+    dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SEED_SALTS - 1).cast("long"))))
     met = windows.join(dealt, ["seed", "salt"]).mapInPandas(verify, f"window long, item {item_type}, eq long, n long")
     met = written(met, "op7-verified")
     spread = F.pmod(F.xxhash64("id"), F.lit(SALTS))

@@ -146,6 +146,8 @@ def fit_crf(x: np.ndarray, n_lines: np.ndarray, good: np.ndarray, steps: int = 1
 
 def score_texts(texts: list[str], model: dict) -> np.ndarray:
     """Length-weighted mean of the lines' marginals, calibrated; an empty text is one empty line."""
+    if len(texts) > 64:  # a few texts at a time: features of all words of a batch would be large
+        return np.concatenate([score_texts(texts[i : i + 64], model) for i in range(0, len(texts), 64)])
     x, n_lines, size = line_features(texts)
     logit = x.astype(np.float64) @ model["w"]
     out = np.empty(len(texts))
