@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_object(key: tuple, make):
+    """An object that a Python worker keeps for the tasks that follow in it: functions come anew with each task,
+    so it is held where all of them find it. It must be costly to make and the same for all tasks of ``key``."""
+    store = sys.modules.setdefault("parlour_worker_objects", types.ModuleType("parlour_worker_objects")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character untouched. ``lower`` does just that where all is ASCII
     and is several times faster than ``translate``."""

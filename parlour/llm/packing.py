@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlour.llm.common import written
+from parlour.llm.common import worker_object, written
 from parlour.llm.packing_plan import plan
 from parlour.llm.token_ids import TokenIds
 
@@ -36,7 +36,7 @@ def default_tokenizer() -> str:
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = TokenIds(tokenizer)
+        ids_of = worker_object(("token ids", tokenizer), lambda: TokenIds(tokenizer))
         for b in batches:
             out = []
             for i, ids in enumerate(ids_of.encode(b["text"].tolist())):

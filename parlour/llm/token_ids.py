@@ -1,15 +1,15 @@
 """Token ids of whole texts, by the public byte-level tokenizer, at the cost of the distinct words.
 
 The tokenizer never merges across a space that stands between two non-space characters. So a text is cut at
-such spaces, each distinct piece is encoded once per task, and a text's ids are those of its pieces in order.
+such spaces, each distinct piece is encoded once per worker, and a text's ids are those of its pieces in order.
 A text with any other white space at a cut (runs of spaces, a line break beside a space) is encoded whole."""
 
 from __future__ import annotations
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000  # distinct pieces kept by a task; beyond, the cache starts anew
-CHUNK_CHARS = 4_000_000
+CACHE_PIECES = 800_000  # distinct pieces kept; beyond, the cache starts anew
+CHUNK_CHARS = 1_000_000
 
 
 class TokenIds:
@@ -29,9 +29,10 @@ class TokenIds:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.len, self.whole = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, bool))
 
-    def _add(self, arrays: list[np.ndarray], whole: list[bool]) -> None:
-        n0, sizes = len(self.code) - len(arrays), np.fromiter(map(len, arrays), np.int64, len(arrays))
-        ids = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray, whole: bool) -> None:
+        """``pieces`` get the next codes; their ids stand one after another in ``ids``."""
+        n0 = len(self.code)
+        self.code.update(zip(pieces, range(n0, n0 + len(pieces))))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.code) > len(self.start):
@@ -45,26 +46,22 @@ class TokenIds:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces not met before. Those after a space are encoded in long strings, cut by byte length."""
-        for p in new:
-            self.code[p] = len(self.code)
-        odd = [not p or p[0].isspace() or p[-1].isspace() or (p[0] == "\0" and (len(p) == 1 or p[1].isspace())) for p in new]
-        out: list[np.ndarray | None] = [None] * len(new)
-        first = [i for i, p in enumerate(new) if not odd[i] and p[0] == "\0"]
-        for i, ids in zip(first, self._encode([new[i][1:] for i in first])):
-            out[i] = ids
-        rest = [i for i, p in enumerate(new) if not odd[i] and p[0] != "\0"]
-        for at in range(0, len(rest), 2000):
-            group = rest[at : at + 2000]
-            pieces = [" " + new[i] for i in group]
-            (ids,) = self._encode(["".join(pieces)])
-            ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "replace")) for p in pieces), np.int64, len(pieces)))
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            for i, part in zip(group, np.split(ids, cuts[:-1])):
-                out[i] = part
+    def _learn(self, new: set[str]) -> None:
+        """Encode pieces not met before. Those after a space are encoded in long strings, which are cut where a
+        piece's bytes end (pieces hold no space, so a space begins each)."""
+        first = [p for p in new if p[:1] == "\0" and p[1:] and p[1:] == p[1:].strip()]
+        rest = [p for p in new if p and p[0] != "\0" and p == p.strip()]
         empty = np.zeros(0, np.uint32)
-        self._add([empty if a is None else a for a in out], odd)
+        parts = self._encode([p[1:] for p in first])
+        self._add(first, np.concatenate([empty, *parts]), np.fromiter(map(len, parts), np.int64, len(parts)), False)
+        groups = [rest[i : i + 2000] for i in range(0, len(rest), 2000)]
+        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
+            data = np.frombuffer((" " + " ".join(group)).encode("utf-8", "replace"), np.uint8)
+            ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            self._add(group, ids, np.diff(cuts, prepend=0), False)
+        odd = list(new.difference(first, rest))
+        self._add(odd, empty, np.zeros(len(odd), np.int64), True)
 
     def encode(self, texts: list[str]):
         """The ids of each text, in order."""
@@ -83,7 +80,7 @@ class TokenIds:
         split = [("\0" + t).split(" ") if "\0" not in t else [" "] for t in texts]  # a lone space: encode whole
         flat = [p for s in split for p in s]
         code = self.code
-        self._learn(list(dict.fromkeys(p for p in flat if p not in code)))
+        self._learn(set(flat).difference(code))
         codes = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
         n = np.fromiter(map(len, split), np.int64, len(split))
         first = np.cumsum(n) - n
