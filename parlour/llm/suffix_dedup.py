@@ -9,13 +9,14 @@ next name. Names are 64-bit hashes, so that equal strings get equal names in any
    these positions, about one in 70, stand for all. A run of windows with one representative is one row.
 2. at the run: the names of all bytes that its windows cover. A run whose span occurs again is repeated whole.
 3. at 200 bytes, for the windows of runs that share their 64 bytes but not their span: at the ends of repeats.
+   The bytes of these runs (a few hundred each) are brought together by their 64-byte name.
 
 Ranking every position instead would exchange 8 to 16 bytes for each byte of text in every round.
 
 Scale: rounds 1 and 2 are aggregates with map-side combination (equal names of a task are sent once) and one
 join in which Spark splits skewed names; a name that a third of all documents share stays one row of the
 table of names. No group is gathered: documents get back only their own repeated intervals. Text is shuffled
-by document for round 3 and for the removal.
+by document for round 3 and for the removal, but for texts that a Bloom filter of fixed size says have no part in it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlour.llm.common import written
+from parlour.llm.bloom import may_hold, members
+from parlour.llm.common import n_partitions, written
 
+TOGETHER = 1000  # runs of one name that are compared in one task, at most; those of other names are compared by windows
 THRESHOLD = 200  # bytes of a string that must not repeat
 FIRST = 64  # bytes of the first distributed round
 SEGMENT = 1 << 22  # windows handled at a time; positions within fit 24 bits
@@ -64,12 +67,13 @@ def window_names(n128: np.ndarray, s: np.ndarray, threshold: int) -> np.ndarray:
     return _pair(n128[s], n128[s + (threshold - 128)], _MULTIPLY[0])
 
 
-def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, ...]:
-    """(name, span name, representative, first window, last window) of each run of windows of one document."""
+def runs(data: np.ndarray, threshold: int = THRESHOLD, spans: bool = True) -> tuple[np.ndarray, ...]:
+    """(name, span name, representative, first window, last window) of each run of windows of one document;
+    the names alone without ``spans``."""
     n = len(data) - threshold + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-    n64, n128 = names(data, 128)
+    n64, *more = names(data, 128 if spans else FIRST)
     width = threshold - FIRST + 1
     rep = np.empty(n, np.int64)
     for s0 in range(0, n, SEGMENT):
@@ -85,6 +89,9 @@ def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, ...]
     lo = np.concatenate(([0], np.flatnonzero(rep[1:] != rep[:-1]) + 1))
     hi = np.concatenate((lo[1:] - 1, [n - 1]))
     at = rep[lo]
+    if not spans:
+        return (n64[at],)
+    (n128,) = more
     # the span [lo, hi + threshold) is covered by strings of 128 at its start, its middle and its end
     end = hi + threshold - 128
     span = _pair(_pair(n128[lo], n128[(lo + end) >> 1], _MULTIPLY[1]), n128[end], _MULTIPLY[2])
@@ -93,7 +100,7 @@ def runs(data: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, ...]
 
 
 def _run_rows(threshold: int, place: bool):
-    """Rows of runs; with their place in the document if ``place``. Place packs representative, and how far
+    """Rows of runs: their names, or names, spans and places. A place packs the representative, and how far
     before it the first and the last window begin."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,16 +108,18 @@ def _run_rows(threshold: int, place: bool):
             parts, size = [], 0
             texts = b["text"].tolist()
             for i, t in enumerate(texts):
-                got = runs(np.frombuffer(t, np.uint8), threshold)
+                got = runs(np.frombuffer(t, np.uint8), threshold, place)
                 if len(got[0]):
                     parts.append((i, got))
                     size += len(got[0])
                 if parts and (size > 200_000 or i + 1 == len(texts)):
-                    name, span, at, lo, hi = (np.concatenate([p[1][j] for p in parts]) for j in range(5))
-                    out = {"name": name.view(np.int64), "span": span.view(np.int64)}
+                    columns = [np.concatenate(c) for c in zip(*[p[1] for p in parts])]
+                    out = {"name": columns[0].view(np.int64)}
                     if place:
+                        _, span, at, lo, hi = columns
                         of = np.repeat([p[0] for p in parts], [len(p[1][0]) for p in parts])
-                        out |= {"id": b["id"].take(of).array, "key": b["key"].take(of).array, "place": (at << 20) | ((at - lo) << 10) | (at - hi + 512)}
+                        out |= {"span": span.view(np.int64), "id": b["id"].take(of).array, "key": b["key"].take(of).array,
+                                "place": (at << 20) | ((at - lo) << 10) | (at - hi + 512)}
                     yield pd.DataFrame(out)
                     parts, size = [], 0
 
@@ -122,45 +131,101 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, at - ((place >> 10) & 1023), at - ((place & 1023) - 512)
 
 
+def _strings(threshold: int):
+    """The bytes that a run's windows cover, one row a run; ``before``: how far they begin before the representative."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, k, text, todo in zip(b["id"], b["key"], b["text"], b["runs"]):
+                at, lo, hi = _unpack(np.array([r["place"] for r in todo], np.int64))
+                out = pd.DataFrame({c: [r[c] for r in todo] for c in ("name", "m", "many")})
+                yield out.assign(id=i, key=np.int32(k), start=lo, before=(at - lo).astype(np.int32), bytes=[text[x : y + threshold] for x, y in zip(lo.tolist(), hi.tolist())])
+
+    return rows
+
+
+def _named_windows(b: pd.DataFrame, threshold: int) -> tuple[np.ndarray, ...]:
+    """For every window of the strings of ``b``: its row, its place in the row's string, and its name, made of the
+    bytes and the distance to the representative."""
+    size = np.fromiter(map(len, b["bytes"]), np.int64, len(b))
+    n128 = names(np.frombuffer(b"".join(b["bytes"]), np.uint8), 128)[1]
+    n = size - threshold + 1
+    row = np.repeat(np.arange(len(b)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    window = window_names(n128, (np.cumsum(size) - size)[row] + at, threshold)
+    return row, at, _pair(window, (b["before"].to_numpy(np.int64)[row] - at).astype(np.uint64), _MULTIPLY[4])
+
+
+def _compared(threshold: int):
+    """Intervals of the runs of weight 1 whose windows occur again among the rows of their name."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]  # a partition of names that few runs share
+        if not parts:
+            return
+        b = pd.concat(parts, ignore_index=True)
+        row, at, window = _named_windows(b, threshold)
+        m = b["m"].to_numpy(np.int64)[row]
+        _, which = np.unique(_pair(window, b["name"].to_numpy(np.int64).view(np.uint64)[row], _MULTIPLY[6]), return_inverse=True)
+        hit = (m == 1) & (np.bincount(which, m)[which] > 1)
+        row, at = row[hit], at[hit]
+        first = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))[: len(row)]
+        last = np.concatenate((first[1:], [True]))[: len(row)]
+        start = b["start"].to_numpy(np.int64)
+        yield pd.DataFrame({"id": b["id"].take(row[first]).array, "key": b["key"].take(row[first]).array,
+                            "start": start[row[first]] + at[first], "end": start[row[last]] + at[last] + threshold})
+
+    return rows
+
+
+def _windows(threshold: int):
+    """One row for each window of the strings."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                b = whole.iloc[i : i + 2000]
+                row, at, window = _named_windows(b, threshold)
+                yield pd.DataFrame({"name": b["name"].to_numpy()[row], "window": window.view(np.int64), "m": b["m"].to_numpy()[row], "id": b["id"].take(row).array,
+                                    "key": b["key"].take(row).array, "start": b["start"].to_numpy()[row] + at})
+
+    return rows
+
+
+def with_text(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, key, text, runs) of the documents that have runs in ``wanted``; a list holds a document's own runs alone."""
+    per_doc = written(wanted.groupBy("id", "key").agg(F.collect_list(F.struct("name", "place", "m", "many")).alias("runs")), "op2-runs")
+    some = keyed.withColumn("h", F.xxhash64("id", "key")).filter(may_hold(members(per_doc.select(F.xxhash64("id", "key").alias("h"))))("h"))
+    same = F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.key") == F.col("p.key"))
+    return some.alias("t").join(per_doc.alias("p"), same).select("t.id", "t.key", "t.text", "p.runs")
+
+
 def repeated_intervals(keyed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, key, start, end): byte intervals of ``keyed`` (id, key, text as bytes) that together cover exactly
     the bytes in strings of ``threshold`` bytes that start anywhere else too."""
     if not 128 <= threshold <= 256:
         raise ValueError("threshold: 128 to 256 bytes")
     id_type = dict(keyed.dtypes)["id"]
-    seen = keyed.mapInPandas(_run_rows(threshold, False), "name long, span long")
-    ranks = (seen.groupBy("name").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-             .filter("n > 1").select("name", (F.col("low") != F.col("high")).alias("mixed")))
+    ranks = (keyed.mapInPandas(_run_rows(threshold, False), "name long").groupBy("name").agg(F.count("*").alias("n"))
+             .filter("n > 1").select("name"))
     placed = keyed.mapInPandas(_run_rows(threshold, True), f"name long, span long, id {id_type}, key int, place long")
     met = written(placed.join(ranks, "name"), "op2-met")
 
-    mixed = met.filter("mixed")
-    spans = mixed.groupBy("name", "span").agg(F.count("*").alias("m"), F.min(F.struct("id", "key", "place")).alias("first"))
-    spans = written(spans, "op2-spans")
-    whole = (met.filter(~F.col("mixed")).select("id", "key", "place")
-             .union(mixed.join(spans.filter("m > 1").select("name", "span"), ["name", "span"]).select("id", "key", "place")))
-    # classes with a run of its own kind: its windows are compared with those of one run of every other kind
-    open_names = spans.filter("m = 1").select("name").distinct()
+    spans = written(met.groupBy("name", "span").agg(F.count("*").alias("m"), F.min(F.struct("id", "key", "place")).alias("first")), "op2-spans")
+    whole = met.join(spans.filter("m > 1").select("name", "span"), ["name", "span"]).select("id", "key", "place")
+    # names with a run of its own kind: its windows are compared with those of one run of every other kind
+    open_names = spans.groupBy("name").agg(F.min("m").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1").select("name")
     wanted = spans.join(open_names, "name").select("name", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.place").alias("place"), "m")
-    per_doc = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("name", "place", "m")).alias("runs"))  # at most a document's own runs
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, k, text, todo in zip(b["id"], b["key"], b["text"], b["runs"]):
-                n128 = names(np.frombuffer(text, np.uint8), 128)[1]
-                name = np.array([r["name"] for r in todo], np.int64)
-                m = np.array([r["m"] for r in todo], np.int64)
-                at, lo, hi = _unpack(np.array([r["place"] for r in todo], np.int64))
-                size = hi - lo + 1
-                s = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                yield pd.DataFrame({"name": np.repeat(name, size), "window": _pair(window_names(n128, s, threshold), (np.repeat(at, size) - s).astype(np.uint64), _MULTIPLY[4]).view(np.int64),
-                                    "m": np.repeat(m, size), "id": i, "key": np.int32(k), "start": s})
+    many = spans.join(open_names, "name").groupBy("name").count().filter(F.col("count") > TOGETHER).select("name", F.lit(True).alias("many"))
+    wanted = wanted.join(many, "name", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    strings = written(with_text(keyed, wanted).mapInPandas(_strings(threshold), f"name long, m long, many boolean, id {id_type}, key int, start long, before int, bytes binary"), "op2-strings")
 
-    joined = keyed.alias("t").join(per_doc.alias("p"), F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.key") == F.col("p.key")))
-    each = joined.select("t.id", "t.key", "t.text", "p.runs").mapInPandas(windows, f"name long, window long, m long, id {id_type}, key int, start long")
-    # a window's place is needed only if it is alone so far; of those that occur together each place is kept
-    grouped = (each.groupBy("name", "window").agg(F.sum("m").alias("m"), F.collect_list(F.when(F.col("m") == 1, F.struct("id", "key", "start"))).alias("places"))
-               .filter("m > 1").select(F.explode("places").alias("p")).select("p.id", "p.key", "p.start"))
+    # windows of names that few runs share are compared in the task that has these runs
+    few = strings.filter("not many").repartition(n_partitions(keyed.sparkSession), "name").mapInPandas(_compared(threshold), f"id {id_type}, key int, start long, end long")
+    # of a name that very many runs share each window is a row: counted in part before the shuffle, then joined, where Spark splits it
+    each = written(strings.filter("many").mapInPandas(_windows(threshold), f"name long, window long, m long, id {id_type}, key int, start long"), "op2-windows")
+    again = each.groupBy("name", "window").agg(F.sum("m").alias("total")).filter("total > 1").select("name", "window")
+    most = each.filter("m = 1").join(again, ["name", "window"]).select("id", "key", "start", (F.col("start") + threshold).alias("end"))
 
     def to_intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,7 +233,7 @@ def repeated_intervals(keyed: DataFrame, threshold: int = THRESHOLD) -> DataFram
             yield pd.DataFrame({"id": b["id"], "key": b["key"], "start": lo, "end": hi + threshold})
 
     return (whole.mapInPandas(to_intervals, f"id {id_type}, key int, start long, end long")
-            .unionByName(grouped.withColumn("end", F.col("start") + threshold)))
+            .unionByName(few).unionByName(most))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("key"), text.cast("binary").alias("text"))
     found = repeated_intervals(keyed, threshold)
-    per_doc = found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most a document's own intervals
+    per_doc = written(found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "op2-intervals")  # at most a document's own intervals
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,9 +271,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(text[x:y] for x, y in zip(bounds[::2], bounds[1::2])))
             yield pd.DataFrame({"doc_id": b["id"], "n_bytes": [len(t) for t in b["text"]], "removed": removed, "kept": kept})
 
-    joined = keyed.alias("t").join(per_doc.alias("p"), F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.key") == F.col("p.key")), "left")
+    # texts that surely have no interval stay where they are; the others meet their intervals
+    hit = may_hold(members(per_doc.select(F.xxhash64("id", "key").alias("h"))))("h")
+    marked = keyed.withColumn("h", F.xxhash64("id", "key"))
+    joined = marked.filter(hit).alias("t").join(per_doc.alias("p"), F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.key") == F.col("p.key")), "left")
     id_type = dict(docs.dtypes)[id_col]
-    return joined.select("t.id", "t.text", "p.spans").mapInPandas(cut, f"doc_id {id_type}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    whole = marked.filter(~hit).select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"),
+                                       F.array().cast("array<struct<start:long,end:long>>").alias("removed"), F.col("text").alias("kept"))
+    return joined.select("t.id", "t.text", "p.spans").mapInPandas(cut, f"doc_id {id_type}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary").unionByName(whole)
 
 
 def repeat_report(result: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def corpus():
     return docs + near + [same, same, "", None, "ab" * 400, "x" * 199, "x" * 200, "y" * 201, "hello " * 300, prose(20000)]
 
 
-def test_removed_bytes_are_those_of_brute_force(spark, make_docs):
+@pytest.mark.parametrize("together", [20_000, 1])
+def test_removed_bytes_are_those_of_brute_force(spark, make_docs, monkeypatch, together):
+    monkeypatch.setattr("parlour.llm.suffix_dedup.TOGETHER", together)  # 1: all names by windows
     texts = corpus()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_report(remove_repeats(make_docs(texts))).collect()}
     want = dict(enumerate(brute(texts)))
