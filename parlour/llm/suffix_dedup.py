@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from parlour.llm.bloom import may_hold, members
 from parlour.llm.common import n_partitions, written
 
-TOGETHER = 1000  # runs of one name that are compared in one task, at most; those of other names are compared by windows
+TOGETHER = 20_000  # runs of one name that are compared in one task, at most (about 6 MB); those of other names by windows
 THRESHOLD = 200  # bytes of a string that must not repeat
 FIRST = 64  # bytes of the first distributed round
 SEGMENT = 1 << 22  # windows handled at a time; positions within fit 24 bits
