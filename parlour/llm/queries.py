@@ -57,7 +57,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1)))
-    return toxicity_scores(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+    return toxicity_scores(docs, model, carry=["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
                                                (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
 
 

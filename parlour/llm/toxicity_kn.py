@@ -9,8 +9,9 @@ the counts.
 
 Scale: a letter gram is 6 bytes packed in a long, so the counts are one combined aggregate over longs (each
 task sends its distinct grams once, however frequent they are). Lower orders follow from the gram table alone.
-The tables that scoring needs are hashed into 2**SLOT_BITS slots each, which bounds what is collected and
-broadcast at any input size; colliding slots add up, in both classes alike. Scoring is a map without shuffle.
+All counts are exact and stay in Spark tables that grow with the input. Each distinct word of the documents is
+given its ratio once, by joins on its grams; nothing of the model is collected or broadcast but the logistic
+function's few weights and the bounded sample that they are fitted on.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlour.llm.common import written
 
 ORDER = 6  # letters of a gram, the word's edges included
 SHARED = 2  # orders up to this one are shared by the classes
-SLOT_BITS = 20
 DISCOUNT = 0.75
+RATIO_UNIT = 2.0**-24  # ratios are whole numbers of it, so that sums do not depend on the order of rows
+CHUNK_CHARS = 8_000_000  # texts whose words are listed together, at most (but one text at least)
+SALTS = 16
 CALIBRATION_ROWS = 4000  # labelled rows, kept out of the counts, on which the logistic function is fitted, at most
 CALIBRATION_PART = 3  # of few labelled rows, one in so many is set aside for it
 TOP = 3
@@ -55,14 +58,6 @@ def gram_positions(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return gram[real], np.minimum(depth[real] + 1, ORDER), word[real]
 
 
-def slots(order: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
-    """Slot of a gram of an order: a fixed 64-bit mix."""
-    x = gram.astype(np.uint64) * np.uint64(8) + np.asarray(order, np.uint64)
-    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
-    return ((x ^ (x >> np.uint64(33))) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-
-
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(gram, class) counts; equal grams of a batch are summed before they leave the task. Class 2: all texts."""
     for b in batches:
@@ -96,81 +91,165 @@ def _lower(t: DataFrame, order: int, values: list[str]) -> DataFrame:
 
 
 def fit_counts(texts: DataFrame, labelled: DataFrame) -> dict:
-    """Slot tables of the two models. ``texts``: (text) of all documents; ``labelled``: (text, cls)."""
+    """Gram tables (gram, n0, n1) of the two models by order. ``texts``: (text) of all documents; ``labelled``: (text, cls)."""
     rows = labelled.select("text", F.col("cls").cast("int").alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
     top = (rows.groupBy("gram").agg(F.sum(F.when(F.col("cls") == 0, F.col("n")).otherwise(0)).alias("n0"),
                                     F.sum(F.when(F.col("cls") == 1, F.col("n")).otherwise(0)).alias("n1")))
-    top = written(top, "op8-grams")
-    tables = {ORDER: top}
+    tables = {ORDER: written(top, "op8-grams")}
     for k in range(ORDER - 1, SHARED, -1):
-        tables[k] = _lower(tables[k + 1], k, ["n0", "n1"])
+        tables[k] = written(_lower(tables[k + 1], k, ["n0", "n1"]), "op8-grams")
     # the shared orders come from all texts: their grams of SHARED + 1 letters, cut to continuation counts
     shared = (texts.select("text", F.lit(2).alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")))
     shared = written(shared, "op8-shared")
     for k in range(SHARED, 0, -1):
-        shared = _lower(shared, k, ["n"])
+        shared = written(_lower(shared, k, ["n"]), "op8-shared")
         tables[k] = shared.select("gram", F.col("n").alias("n0"), F.col("n").alias("n1"))
+    return tables
 
-    def to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            o, g = b["k"].to_numpy(), b["gram"].to_numpy()
-            yield pd.DataFrame({"kind": np.int32(0), "slot": slots(o, g), "a": b["n0"], "b": b["n1"], "c": 0, "d": 0})
-            h, n0, n1 = slots(o, g >> 8), b["n0"].to_numpy(), b["n1"].to_numpy()
-            yield pd.DataFrame({"kind": np.int32(1), "slot": h, "a": n0, "b": n1, "c": (n0 > 0).astype(np.int64), "d": (n1 > 0).astype(np.int64)})
-
-    every = None
-    for k, t in tables.items():
-        t = t.select(F.lit(k).alias("k"), "gram", "n0", "n1")
-        every = t if every is None else every.unionByName(t)
-    summed = written(every.mapInPandas(to_slots, "kind int, slot long, a long, b long, c long, d long")
-                     .groupBy("kind", "slot").agg(*[F.sum(v).cast("float").alias(v) for v in "abcd"]), "op8-slots")
-    model = {}
-    for kind, name, values in ((0, "gram", "ab"), (1, "history", "abcd")):
-        part = summed.filter(F.col("kind") == kind).select(F.col("slot").cast("int"), *values).toPandas()  # at most 2**SLOT_BITS rows
-        for v in values:
-            model[name, v] = np.zeros(1 << SLOT_BITS, np.float32)
-            model[name, v][part["slot"].to_numpy()] = part[v].to_numpy()
-        del part
-    return model
-
-
-def word_ratios(ws: list[bytes], model: dict) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) of each word."""
-    if not ws:
-        return np.zeros(0)
-    gram, length, word = gram_positions(ws)
-    p0, p1 = np.full(len(gram), 1 / 256), np.full(len(gram), 1 / 256)
+
+def _of_length(k: int) -> Column:
+    """Grams of exactly ``k`` bytes (no byte is 0)."""
+    return (F.shiftright("gram", 8 * (k - 1)) > 0) & (F.shiftright("gram", 8 * k) == 0)
+
+
+def gram_ratios(grams: DataFrame, tables: dict) -> DataFrame:
+    """(gram, r) for distinct ``grams`` (gram): log P(last letter | those before it, toxic) less the same for ordinary,
+    in units of RATIO_UNIT. One order after the other, each gram meets its own counts, those of its history and the
+    estimate of its suffix; a history has at most 256 grams and a suffix at most 256 extensions, so no key is hot."""
+    suffixes = [F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)) for k in range(1, ORDER)]
+    need = written(grams.select(F.explode(F.array("gram", *suffixes)).alias("gram")).distinct(), "op8-suffixes")
+    every, lower = None, None
     for k in range(1, ORDER + 1):
-        live = np.flatnonzero(length >= k)
-        g = gram[live] if k == ORDER else gram[live] & ((1 << (8 * k)) - 1)
-        s, h = slots(k, g), slots(k, g >> 8)
-        for p, n, t, m in ((p0, "a", "a", "c"), (p1, "b", "b", "d")):
-            total = model["history", t][h]
-            seen = total > 0
-            at, tot = live[seen], total[seen].astype(np.float64)
-            kinds = model["history", m][h][seen]
-            p[at] = np.minimum(np.maximum(model["gram", n][s][seen] - DISCOUNT, 0) / tot, 1) + DISCOUNT * kinds / tot * p[at]
-    return np.bincount(word, np.log(np.maximum(p1, 1e-12)) - np.log(np.maximum(p0, 1e-12)), len(ws))
-
-
-def document_features(texts: list[str], model: dict, cache: dict) -> np.ndarray:
-    """Length-normalised ratios of each text: per word, per root of words, of its TOP words. ``cache`` keeps
-    the ratio of words met before; it starts anew beyond 400,000 words."""
-    out = np.zeros((len(texts), 4))
-    for i0 in range(0, len(texts), 500):
-        toks = [words(t) for t in texts[i0 : i0 + 500]]
-        if len(cache) > 400_000:
-            cache.clear()
-        new = list({w for ws in toks for w in ws if w not in cache})
-        for j in range(0, len(new), 20_000):
-            cache.update(zip(new[j : j + 20_000], word_ratios(new[j : j + 20_000], model).tolist()))
-        for i, ws in enumerate(toks):
-            if ws:
-                r = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
-                most = np.sort(r)[-TOP:] if len(r) <= 64 else np.sort(np.partition(r, -TOP)[-TOP:])
-                out[i0 + i] = r.mean(), r.sum() / np.sqrt(len(r)), np.clip(most, 0, 12).sum() / TOP, np.log1p(len(ws))
-    return out
+        own = tables[k].filter(_of_length(k))
+        hist = own.groupBy(F.shiftright("gram", 8).alias("hist")).agg(
+            *[F.sum(v).alias(f"t{v}") for v in ("n0", "n1")], *[F.sum(F.signum(v)).alias(f"k{v}") for v in ("n0", "n1")])
+        at = need.filter(_of_length(k)).withColumn("hist", F.shiftright("gram", 8)).join(own, "gram", "left").join(hist, "hist", "left")
+        if lower is None:
+            at = at.withColumns({"ln0": F.lit(1 / 256), "ln1": F.lit(1 / 256)})
+        else:
+            at = at.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(lower, "suffix")
+        p = [F.when(F.col(f"t{v}") > 0, F.least(F.greatest(F.coalesce(v, F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"t{v}"), F.lit(1.0))
+                    + DISCOUNT * F.col(f"k{v}") / F.col(f"t{v}") * F.col(f"l{v}")).otherwise(F.col(f"l{v}")).alias(f"p{v}") for v in ("n0", "n1")]
+        at = written(at.select("gram", *p), "op8-order")
+        lower = at.select(F.col("gram").alias("suffix"), F.col("pn0").alias("ln0"), F.col("pn1").alias("ln1"))
+        every = at if every is None else every.unionByName(at)
+    least = lambda v: F.log(F.greatest(F.col(v), F.lit(1e-12)))
+    return every.select("gram", F.round((least("pn1") - least("pn0")) / RATIO_UNIT).cast("long").alias("r"))
+
+
+def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        at = 0
+        texts = b["word"].tolist()
+        while at < len(texts):  # about 1 MB at a time
+            end, size = at, 0
+            while end < len(texts) and size < 1_000_000:
+                size += len(texts[end])
+                end += 1
+            g, _, w = gram_positions([t.encode("utf-8", "replace") for t in texts[at:end]])
+            pairs, n = np.unique(np.stack([w, g]), axis=1, return_counts=True) if size > 100_000 and end - at == 1 else (np.stack([w, g]), 1)
+            yield pd.DataFrame({"word": b["word"].iloc[at:end].to_numpy()[pairs[0]], "gram": pairs[1], "n": n})
+            at = end
+
+
+def word_ratio_table(vocabulary: DataFrame, tables: dict) -> DataFrame:
+    """(word, r) for distinct words (word): log P(word | toxic) - log P(word | ordinary) in units of RATIO_UNIT.
+
+    Grams of two or three bytes at a word's opening edge are shared by very many words: their ratios are dealt over SALTS parts."""
+    parts = written(vocabulary.mapInPandas(_word_grams, "word string, gram long, n long"), "op8-word-grams")
+    ratios = gram_ratios(parts.select("gram").distinct(), tables)
+    short = F.shiftright("gram", 24) == 0
+    spread = F.when(short, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return (parts.withColumn("salt", spread).join(ratios.withColumn("salt", F.explode(copies)), ["gram", "salt"])
+            .groupBy("word").agg(F.sum(F.col("r") * F.col("n")).alias("r")))
+
+
+def word_ratios(ws: list[bytes], tables: dict) -> np.ndarray:
+    """The ratio of each of a few words."""
+    texts = [w.decode("utf-8", "replace") for w in ws]
+    spark = tables[ORDER].sparkSession
+    got = {r["word"]: r["r"] for r in word_ratio_table(spark.createDataFrame([(t,) for t in set(texts)], "word string"), tables).collect()}
+    return np.array([got[t] for t in texts], np.float64) * RATIO_UNIT
+
+
+def _counted_words(texts: list[str]) -> tuple[list[bytes], str]:
+    """Each text's words as numbers with their counts, and the numbered words, joined by spaces."""
+    number: dict = {}
+    out = []
+    for t in texts:
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.uint32)
+        u, n = np.unique(ids, return_counts=True)
+        # bytes of equal weight side by side: mostly zeros, which compress well
+        out.append(np.stack([u, n.astype(np.uint32)]).view(np.uint8).reshape(-1, 4).T.tobytes())
+    return out, b" ".join(number).decode("utf-8", "replace")
+
+
+def _chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """For each text the chunk (a run of texts of one task) and its counted words; on a chunk's first text the chunk's words."""
+    from pyspark import TaskContext
+
+    chunk = TaskContext.get().partitionId() << 32
+    for b in batches:
+        texts, at, frames = b.tolist(), 0, []
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < CHUNK_CHARS:
+                size += len(texts[end])
+                end += 1
+            counts, ws = _counted_words(texts[at:end])
+            frames.append(pd.DataFrame({"chunk": chunk, "counts": counts, "words": [ws] + [None] * (end - at - 1)}))
+            chunk += 1
+            at = end
+        yield pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"chunk": [], "counts": [], "words": []})
+
+
+def _features(counts: bytes, ratios: np.ndarray) -> tuple:
+    u, n = np.frombuffer(counts, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(2, -1)
+    total = int(n.sum())
+    if not total:
+        return 0.0, 0.0, 0.0, 0.0
+    r = ratios[u]
+    whole = float((r * n).sum())  # whole numbers: the same in any order
+    last = np.argsort(r, kind="stable")[-TOP:]
+    most = np.sort(np.repeat(r[last], np.minimum(n[last], TOP)))[-TOP:] * RATIO_UNIT
+    return whole * RATIO_UNIT / total, whole * RATIO_UNIT / np.sqrt(total), np.clip(most, 0, 12).sum() / TOP, np.log1p(total)
+
+
+def document_features(docs: DataFrame, tables: dict) -> DataFrame:
+    """(row, x): length-normalised ratios of each text of ``docs`` (row, text): per word, per root of words, of its
+    TOP words, and the logarithm of the number of words.
+
+    A chunk's texts keep numbers for their words; the chunk's words meet the ratios in a join on the word, to which a
+    word comes once a chunk however frequent it is, and go back to the chunk's texts in one array."""
+    chunked = F.pandas_udf(_chunked, "struct<chunk: long, counts: binary, words: string>").asNondeterministic()
+    held = written(docs.select("row", chunked("text").alias("c")).select("row", "c.chunk", "c.counts", "c.words"), "op8-counted")
+    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", F.posexplode(F.split("words", " ")).alias("at", "word"))
+    ratios = word_ratio_table(listed.select("word").distinct(), tables)
+    arrays = (listed.join(ratios, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("a"))
+              .select("chunk", F.transform("a", lambda e: e["r"]).alias("ratios")))
+    arrays = written(arrays, "op8-ratios")
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held_ratios = np.zeros(0)
+        for counts, given in batches:
+            out = []
+            for c, g in zip(counts, given):
+                if g is not None:  # a chunk's array comes before its texts
+                    held_ratios = np.asarray(g, np.float64)
+                    out.append(None)
+                else:
+                    out.append(_features(c, held_ratios))
+            yield pd.Series(out)
+
+    none = F.lit(None)
+    both = (held.select("chunk", F.lit(1).alias("kind"), "row", "counts", none.cast("array<bigint>").alias("ratios"))
+            .unionByName(arrays.select("chunk", F.lit(0).alias("kind"), none.cast(held.schema["row"].dataType).alias("row"), none.cast("binary").alias("counts"), "ratios")))
+    # the function follows the order of the rows: no filter may pass it, no sort be dropped before it
+    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return ordered.select("kind", "row", features.asNondeterministic()("counts", "ratios").alias("x")).filter("kind = 1").select("row", "x")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> dict:
@@ -205,31 +284,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     few = written(lab.orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(n), "op8-calibration")
     # labels grow with the documents: the same shuffled join at every size, never a broadcast
     counted = keyed.join(lab.join(F.broadcast(few.select("lab_id")), "lab_id", "left_anti").hint("merge"), "lab_id")
-    model = fit_counts(docs.select(text), counted)
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
-        tables = shared.value
-        for b in batches:
-            x = document_features(b["text"].tolist(), tables, cache)
-            yield pd.DataFrame({"lab_id": b["lab_id"], "y": b["cls"], **{f"x{j}": x[:, j] for j in range(4)}})
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    got = keyed.join(F.broadcast(few), "lab_id").mapInPandas(features, "lab_id long, y int, x0 double, x1 double, x2 double, x3 double").toPandas()
+    tables = fit_counts(docs.select(text), counted)
+    got = document_features(keyed.join(F.broadcast(few), "lab_id").select(F.struct("lab_id", F.col("cls").alias("y")).alias("row"), "text"), tables)
+    got = got.select("row.lab_id", "row.y", *[F.col("x")[j].alias(f"x{j}") for j in range(4)]).toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
-    return {"tables": shared, "fit": fit_logistic(got[["x0", "x1", "x2", "x3"]].to_numpy(), got["y"].to_numpy(float))}
+    return {"tables": tables, "fit": fit_logistic(got[["x0", "x1", "x2", "x3"]].to_numpy(), got["y"].to_numpy(float))}
 
 
-def toxicity_scores(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def toxicity_scores(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score",
+                    carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) appended. A null text counts as empty; a text without words has ratios
-    of zero; repeated rows get equal scores; an empty table stays empty. Other columns pass unread."""
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared, fit = model["tables"], model["fit"]
+    of zero; repeated rows get equal scores; an empty table stays empty. Other columns pass unread, through one
+    shuffle; ``carry`` names those to keep, if not all."""
+    fit = model["fit"]
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}
         for b in batches:
-            yield pd.Series(score_features(document_features(b.tolist(), shared.value, cache), fit))
+            yield pd.Series(score_features(np.stack(b.to_list()), fit) if len(b) else np.zeros(0))
 
-    return out.withColumn("score", score("text")).select("row.*", F.col("score").alias(score_col))
+    kept = docs.columns if carry is None else carry
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return document_features(rows, model["tables"]).select("row.*", score("x").alias(score_col))

@@ -108,6 +108,20 @@ def test_word_ratios_are_those_of_kneser_ney(spark):
     assert kn.word_ratios([b"idiot"], model)[0] > 3 > kn.word_ratios([b"you"], model)[0]
 
 
+def test_word_ratios_stay_exact_among_a_million_grams(spark):
+    rnd = np.random.default_rng(3)
+    fine = [bytes(w).decode() for w in rnd.integers(97, 123, (120_000, 8), np.uint8)]
+    toxic = ["zqxjkv wubbly"]
+    texts = [" ".join(fine[i : i + 1000]) for i in range(0, len(fine), 1000)]
+    labelled = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in texts], "text string, cls int")
+    model = kn.fit_counts(labelled.select("text"), labelled)
+    count = lambda ts: Counter(w for t in ts for w in kn.words(t))
+    tables = brute_tables([count(texts), count(toxic)], count(texts + toxic))
+    got = kn.word_ratios([b"zqxjkv", b"wubbly"], model)
+    for w, r in zip((b"zqxjkv", b"wubbly"), got):
+        assert abs(r - (brute_log(w, tables[1]) - brute_log(w, tables[0]))) < 1e-4, w
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = QUERIES["op8_toxicity_kneser_ney"](spark, "/root/testdata/sf0.1")
     rows = got.join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").filter("held_out").collect()
