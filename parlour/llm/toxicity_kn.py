@@ -4,8 +4,8 @@ Two letter models of order 6 (histories stay within a word) give each word a tox
 log-likelihood by interpolated Kneser-Ney: the highest order uses the class's own counts, lower orders its
 continuation counts, and the lowest two orders, on which rare expressions fall back, are shared counts over
 all documents. A document's score is a logistic function of its length-normalised log-likelihood ratios (per
-word, per root of words, and of its three most telling words), fitted on labelled rows that are kept out of
-the counts.
+word, per root of words, and of its three most telling words), fitted on labelled rows, each scored
+without the counts of its part of the labelled rows.
 
 Scale: a letter gram is 6 bytes packed in a long, so the counts are one combined aggregate over longs (each
 task sends its distinct grams once, however frequent they are). Lower orders follow from the gram table alone.
@@ -31,8 +31,8 @@ DISCOUNT = 0.75
 RATIO_UNIT = 2.0**-24  # ratios are whole numbers of it, so that sums do not depend on the order of rows
 CHUNK_CHARS = 8_000_000  # texts whose words are listed together, at most (but one text at least)
 SALTS = 16
-CALIBRATION_ROWS = 4000  # labelled rows, kept out of the counts, on which the logistic function is fitted, at most
-CALIBRATION_PART = 3  # of few labelled rows, one in so many is set aside for it
+CALIBRATION_ROWS = 4000  # labelled rows on which the logistic function is fitted, at most
+FOLDS = 4  # a calibration row is scored without the counts of its fold
 TOP = 3
 
 # letters and all non-ASCII bytes stay, everything else separates words; 1 and 2 mark a word's edges
@@ -59,7 +59,7 @@ def gram_positions(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, class) counts; equal grams of a batch are summed before they leave the task. Class 2: all texts."""
+    """(gram, class) counts; equal grams of a batch are summed before they leave the task. Class -1: all texts."""
     for b in batches:
         for cls, part in b.groupby("cls", sort=True):
             texts, chunk, size, sums = part["text"].tolist(), [], 0, []
@@ -71,7 +71,7 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     chunk, size = [], 0
                     if ws:
                         g, _, _ = gram_positions(ws)
-                        if cls == 2:
+                        if cls < 0:
                             short = g >> (8 * (SHARED + 1)) == 0
                             g = np.where(short, g, g & ((1 << (8 * (SHARED + 1))) - 1))
                         sums.append(np.unique(g, return_counts=True))
@@ -90,21 +90,32 @@ def _lower(t: DataFrame, order: int, values: list[str]) -> DataFrame:
             .groupBy("gram").agg(*[F.sum(v).alias(v) for v in values])
 
 
+def _names(model: int) -> tuple[str, str]:
+    return f"n0_{model}", f"n1_{model}"
+
+
 def fit_counts(texts: DataFrame, labelled: DataFrame) -> dict:
-    """Gram tables (gram, n0, n1) of the two models by order. ``texts``: (text) of all documents; ``labelled``: (text, cls)."""
-    rows = labelled.select("text", F.col("cls").cast("int").alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
-    top = (rows.groupBy("gram").agg(F.sum(F.when(F.col("cls") == 0, F.col("n")).otherwise(0)).alias("n0"),
-                                    F.sum(F.when(F.col("cls") == 1, F.col("n")).otherwise(0)).alias("n1")))
-    tables = {ORDER: written(top, "op8-grams")}
+    """Gram tables by order: (gram, n0_j, n1_j), the counts of both classes in model j. Model 0 counts all labelled
+    rows, model f + 1 all but those of fold f. ``texts``: (text) of all documents; ``labelled``: (text, cls) and
+    perhaps fold (0 to FOLDS - 1); without it there is model 0 alone."""
+    folds = FOLDS if "fold" in labelled.columns else 0
+    part = F.col("cls") + 2 * F.col("fold") if folds else F.col("cls")
+    rows = labelled.select("text", part.cast("int").alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
+    fold, sums = F.floor(F.col("cls") / 2), []
+    for j in range(folds + 1):
+        for c, name in enumerate(_names(j)):
+            sums.append(F.sum(F.when((F.col("cls") % 2 == c) & (fold != j - 1), F.col("n")).otherwise(0)).alias(name))
+    values = [v for j in range(folds + 1) for v in _names(j)]
+    tables = {ORDER: written(rows.groupBy("gram").agg(*sums), "op8-grams")}
     for k in range(ORDER - 1, SHARED, -1):
-        tables[k] = written(_lower(tables[k + 1], k, ["n0", "n1"]), "op8-grams")
+        tables[k] = written(_lower(tables[k + 1], k, values), "op8-grams")
     # the shared orders come from all texts: their grams of SHARED + 1 letters, cut to continuation counts
-    shared = (texts.select("text", F.lit(2).alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
+    shared = (texts.select("text", F.lit(-1).alias("cls")).mapInPandas(_gram_rows, "cls int, gram long, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")))
     shared = written(shared, "op8-shared")
     for k in range(SHARED, 0, -1):
         shared = written(_lower(shared, k, ["n"]), "op8-shared")
-        tables[k] = shared.select("gram", F.col("n").alias("n0"), F.col("n").alias("n1"))
+        tables[k] = shared.select("gram", *[F.col("n").alias(v) for v in values])
     return tables
 
 
@@ -113,29 +124,31 @@ def _of_length(k: int) -> Column:
     return (F.shiftright("gram", 8 * (k - 1)) > 0) & (F.shiftright("gram", 8 * k) == 0)
 
 
-def gram_ratios(grams: DataFrame, tables: dict) -> DataFrame:
-    """(gram, r) for distinct ``grams`` (gram): log P(last letter | those before it, toxic) less the same for ordinary,
-    in units of RATIO_UNIT. One order after the other, each gram meets its own counts, those of its history and the
-    estimate of its suffix; a history has at most 256 grams and a suffix at most 256 extensions, so no key is hot."""
+def gram_ratios(grams: DataFrame, tables: dict, models: list[int]) -> DataFrame:
+    """(gram, r) for distinct ``grams`` (gram): of each model, log P(last letter | those before it, toxic) less the same
+    for ordinary, in units of RATIO_UNIT. One order after the other, each gram meets its own counts, those of its history
+    and the estimate of its suffix; a history has at most 256 grams and a suffix 256 extensions, so no key is hot."""
     suffixes = [F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)) for k in range(1, ORDER)]
     need = written(grams.select(F.explode(F.array("gram", *suffixes)).alias("gram")).distinct(), "op8-suffixes")
+    values = [v for j in models for v in _names(j)]
     every, lower = None, None
     for k in range(1, ORDER + 1):
-        own = tables[k].filter(_of_length(k))
+        own = tables[k].filter(_of_length(k)).select("gram", *values)
         hist = own.groupBy(F.shiftright("gram", 8).alias("hist")).agg(
-            *[F.sum(v).alias(f"t{v}") for v in ("n0", "n1")], *[F.sum(F.signum(v)).alias(f"k{v}") for v in ("n0", "n1")])
+            *[F.sum(v).alias(f"t{v}") for v in values], *[F.sum(F.signum(v)).alias(f"k{v}") for v in values])
         at = need.filter(_of_length(k)).withColumn("hist", F.shiftright("gram", 8)).join(own, "gram", "left").join(hist, "hist", "left")
         if lower is None:
-            at = at.withColumns({"ln0": F.lit(1 / 256), "ln1": F.lit(1 / 256)})
+            at = at.withColumns({f"l{v}": F.lit(1 / 256) for v in values})
         else:
             at = at.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(lower, "suffix")
         p = [F.when(F.col(f"t{v}") > 0, F.least(F.greatest(F.coalesce(v, F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"t{v}"), F.lit(1.0))
-                    + DISCOUNT * F.col(f"k{v}") / F.col(f"t{v}") * F.col(f"l{v}")).otherwise(F.col(f"l{v}")).alias(f"p{v}") for v in ("n0", "n1")]
+                    + DISCOUNT * F.col(f"k{v}") / F.col(f"t{v}") * F.col(f"l{v}")).otherwise(F.col(f"l{v}")).alias(f"p{v}") for v in values]
         at = written(at.select("gram", *p), "op8-order")
-        lower = at.select(F.col("gram").alias("suffix"), F.col("pn0").alias("ln0"), F.col("pn1").alias("ln1"))
+        lower = at.select(F.col("gram").alias("suffix"), *[F.col(f"p{v}").alias(f"l{v}") for v in values])
         every = at if every is None else every.unionByName(at)
-    least = lambda v: F.log(F.greatest(F.col(v), F.lit(1e-12)))
-    return every.select("gram", F.round((least("pn1") - least("pn0")) / RATIO_UNIT).cast("long").alias("r"))
+    least = lambda v: F.log(F.greatest(F.col(f"p{v}"), F.lit(1e-12)))
+    ratio = [F.round((least(n1) - least(n0)) / RATIO_UNIT).cast("long") for n0, n1 in map(_names, models)]
+    return every.select("gram", F.array(*ratio).alias("r"))
 
 
 def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,24 +166,24 @@ def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = end
 
 
-def word_ratio_table(vocabulary: DataFrame, tables: dict) -> DataFrame:
-    """(word, r) for distinct words (word): log P(word | toxic) - log P(word | ordinary) in units of RATIO_UNIT.
+def word_ratio_table(vocabulary: DataFrame, tables: dict, models: list[int]) -> DataFrame:
+    """(word, r) for distinct words (word): log P(word | toxic) - log P(word | ordinary) of each model in units of RATIO_UNIT.
 
     Grams of two or three bytes at a word's opening edge are shared by very many words: their ratios are dealt over SALTS parts."""
     parts = written(vocabulary.mapInPandas(_word_grams, "word string, gram long, n long"), "op8-word-grams")
-    ratios = gram_ratios(parts.select("gram").distinct(), tables)
+    ratios = gram_ratios(parts.select("gram").distinct(), tables, models)
     short = F.shiftright("gram", 24) == 0
     spread = F.when(short, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int")
     copies = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return (parts.withColumn("salt", spread).join(ratios.withColumn("salt", F.explode(copies)), ["gram", "salt"])
-            .groupBy("word").agg(F.sum(F.col("r") * F.col("n")).alias("r")))
+            .groupBy("word").agg(F.array(*[F.sum(F.col("r")[j] * F.col("n")) for j in range(len(models))]).alias("r")))
 
 
 def word_ratios(ws: list[bytes], tables: dict) -> np.ndarray:
-    """The ratio of each of a few words."""
+    """The ratio of each of a few words in model 0."""
     texts = [w.decode("utf-8", "replace") for w in ws]
     spark = tables[ORDER].sparkSession
-    got = {r["word"]: r["r"] for r in word_ratio_table(spark.createDataFrame([(t,) for t in set(texts)], "word string"), tables).collect()}
+    got = {r["word"]: r["r"][0] for r in word_ratio_table(spark.createDataFrame([(t,) for t in set(texts)], "word string"), tables, [0]).collect()}
     return np.array([got[t] for t in texts], np.float64) * RATIO_UNIT
 
 
@@ -217,39 +230,39 @@ def _features(counts: bytes, ratios: np.ndarray) -> tuple:
     return whole * RATIO_UNIT / total, whole * RATIO_UNIT / np.sqrt(total), np.clip(most, 0, 12).sum() / TOP, np.log1p(total)
 
 
-def document_features(docs: DataFrame, tables: dict) -> DataFrame:
-    """(row, x): length-normalised ratios of each text of ``docs`` (row, text): per word, per root of words, of its
+def document_features(docs: DataFrame, tables: dict, models: list[int]) -> DataFrame:
+    """(row, x): length-normalised ratios of each text of ``docs`` (row, text, at), in the model ``models[at]``: per word, per root of words, of its
     TOP words, and the logarithm of the number of words.
 
     A chunk's texts keep numbers for their words; the chunk's words meet the ratios in a join on the word, to which a
     word comes once a chunk however frequent it is, and go back to the chunk's texts in one array."""
     chunked = F.pandas_udf(_chunked, "struct<chunk: long, counts: binary, words: string>").asNondeterministic()
-    held = written(docs.select("row", chunked("text").alias("c")).select("row", "c.chunk", "c.counts", "c.words"), "op8-counted")
-    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", F.posexplode(F.split("words", " ")).alias("at", "word"))
-    ratios = word_ratio_table(listed.select("word").distinct(), tables)
-    arrays = (listed.join(ratios, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("a"))
-              .select("chunk", F.transform("a", lambda e: e["r"]).alias("ratios")))
+    held = written(docs.select("row", "at", chunked("text").alias("c")).select("row", "at", "c.chunk", "c.counts", "c.words"), "op8-counted")
+    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", F.posexplode(F.split("words", " ")).alias("no", "word"))
+    ratios = word_ratio_table(listed.select("word").distinct(), tables, models)
+    arrays = (listed.join(ratios, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("no", "r"))).alias("a"))
+              .select("chunk", F.flatten(F.transform("a", lambda e: e["r"])).alias("ratios")))
     arrays = written(arrays, "op8-ratios")
 
     @F.pandas_udf("array<double>")
-    def features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        held_ratios = np.zeros(0)
-        for counts, given in batches:
+    def features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held_ratios = np.zeros((0, len(models)))
+        for counts, given, model in batches:
             out = []
-            for c, g in zip(counts, given):
+            for c, g, j in zip(counts, given, model):
                 if g is not None:  # a chunk's array comes before its texts
-                    held_ratios = np.asarray(g, np.float64)
+                    held_ratios = np.asarray(g, np.float64).reshape(-1, len(models))
                     out.append(None)
                 else:
-                    out.append(_features(c, held_ratios))
+                    out.append(_features(c, held_ratios[:, int(j)]))
             yield pd.Series(out)
 
     none = F.lit(None)
-    both = (held.select("chunk", F.lit(1).alias("kind"), "row", "counts", none.cast("array<bigint>").alias("ratios"))
-            .unionByName(arrays.select("chunk", F.lit(0).alias("kind"), none.cast(held.schema["row"].dataType).alias("row"), none.cast("binary").alias("counts"), "ratios")))
+    both = (held.select("chunk", F.lit(1).alias("kind"), "row", "at", "counts", none.cast("array<bigint>").alias("ratios"))
+            .unionByName(arrays.select("chunk", F.lit(0).alias("kind"), none.cast(held.schema["row"].dataType).alias("row"), F.lit(0).alias("at"), none.cast("binary").alias("counts"), "ratios")))
     # the function follows the order of the rows: no filter may pass it, no sort be dropped before it
     ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return ordered.select("kind", "row", features.asNondeterministic()("counts", "ratios").alias("x")).filter("kind = 1").select("row", "x")
+    return ordered.select("kind", "row", features.asNondeterministic()("counts", "ratios", "at").alias("x")).filter("kind = 1").select("row", "x")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> dict:
@@ -274,18 +287,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  calibration_rows: int = CALIBRATION_ROWS) -> dict:
     """Fit on ``docs`` (all texts count for the shared orders) and ``labels`` (the training rows alone).
 
-    Null labels and identifiers are left out; of repeated labels the largest holds. One labelled row in
-    CALIBRATION_PART, but ``calibration_rows`` at most, is kept out of the counts and fits the logistic function."""
+    Null labels and identifiers are left out; of repeated labels the largest holds. All labelled rows count. The
+    logistic function is fitted on at most ``calibration_rows`` of them, each scored by the model without its fold."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    fold = F.pmod(F.xxhash64("lab_id", F.lit(11)), F.lit(FOLDS)).cast("int")
     lab = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-           .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("cls")))
+           .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("cls")).withColumn("fold", fold))
     keyed = docs.select(F.col(id_col).alias("lab_id"), text)
-    n = min(calibration_rows, lab.count() // CALIBRATION_PART)
-    few = written(lab.orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(n), "op8-calibration")
+    few = written(lab.orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(calibration_rows), "op8-calibration")
     # labels grow with the documents: the same shuffled join at every size, never a broadcast
-    counted = keyed.join(lab.join(F.broadcast(few.select("lab_id")), "lab_id", "left_anti").hint("merge"), "lab_id")
-    tables = fit_counts(docs.select(text), counted)
-    got = document_features(keyed.join(F.broadcast(few), "lab_id").select(F.struct("lab_id", F.col("cls").alias("y")).alias("row"), "text"), tables)
+    tables = fit_counts(docs.select(text), keyed.join(lab.hint("merge"), "lab_id"))
+    held = keyed.join(F.broadcast(few), "lab_id").select(F.struct("lab_id", F.col("cls").alias("y")).alias("row"), "text", F.col("fold").alias("at"))
+    got = document_features(held, tables, list(range(1, FOLDS + 1)))
     got = got.select("row.lab_id", "row.y", *[F.col("x")[j].alias(f"x{j}") for j in range(4)]).toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)
     return {"tables": tables, "fit": fit_logistic(got[["x0", "x1", "x2", "x3"]].to_numpy(), got["y"].to_numpy(float))}
@@ -305,4 +318,4 @@ def toxicity_scores(docs: DataFrame, model: dict, text_col: str = "text", score_
 
     kept = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return document_features(rows, model["tables"]).select("row.*", score("x").alias(score_col))
+    return document_features(rows.withColumn("at", F.lit(0)), model["tables"], [0]).select("row.*", score("x").alias(score_col))

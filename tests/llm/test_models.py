@@ -122,6 +122,17 @@ def test_word_ratios_stay_exact_among_a_million_grams(spark):
         assert abs(r - (brute_log(w, tables[1]) - brute_log(w, tables[0]))) < 1e-4, w
 
 
+def test_all_labelled_rows_count_and_each_fold_is_left_out_once(spark, make_docs):
+    texts = [f"idiot number {'abcdefghijkl'[i]}" if i % 3 == 0 else f"plain text {'abcdefghijkl'[i]}" for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)], "doc_id long, toxic int")
+    top = kn.fit_toxicity(make_docs(texts), labels)["tables"][kn.ORDER]
+    total = top.agg(*[F.sum(c).alias(c) for c in top.columns if c != "gram"]).first().asDict()
+    for c in (0, 1):
+        letters = sum(len(w) + 1 for i, t in enumerate(texts) if (i % 3 == 0) == c for w in kn.words(t))
+        assert total[f"n{c}_0"] == letters
+        assert sum(letters - total[f"n{c}_{f + 1}"] for f in range(kn.FOLDS)) == letters
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = QUERIES["op8_toxicity_kneser_ney"](spark, "/root/testdata/sf0.1")
     rows = got.join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").filter("held_out").collect()
