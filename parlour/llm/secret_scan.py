@@ -12,6 +12,7 @@ part; compression is run on candidates alone, each against a bounded window of C
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import Iterator
 
 import pandas as pd
@@ -27,10 +28,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# Candidates: identifier characters with letters and digits, soon after a sensitive word.
-SENSITIVE = re.compile(r"(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(?:orization)?|bearer|client[_ -]?id|signature|session[_ -]?id|cookie|license[_ -]?key|encryption[_ -]?key)s?(?![a-z])", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-NEAR = 64  # characters between a sensitive word's end and a candidate's start, at most
+# Candidates: runs of identifier characters near a sensitive word, which may be part of a name in any case style.
+SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(?:orization)?|bearer|client[_ -]?id|signature|session[_ -]?id|cookie|license[_ -]?key|encryption[_ -]?key)s?", re.I | re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{10,}")  # fewer cannot add LEAST_BYTES
+NEAR = 64  # characters between a sensitive word and a candidate on either side, at most
 CONTEXT = 512  # characters either side that prime the compressor
 LEAST_BYTES, LEAST_SHARE = 10, 0.65  # added bytes, and added bytes per character, of an incompressible string
 
@@ -73,24 +74,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings in sensitive context that overlap no base span."""
-    ends = [m.end() for m in SENSITIVE.finditer(text)]
-    if not ends:
+    near = [m.span() for m in SENSITIVE.finditer(text)]
+    if not near:
         return []
+    starts, ends = [a for a, _ in near], [b for _, b in near]
     out = []
-    for e in ends:
-        for m in CANDIDATE.finditer(text, e, min(len(text), e + NEAR + 4096)):
-            if m.start() > e + NEAR:
-                break
-            a, b = m.span()
-            if b == e + NEAR + 4096:  # a longer run than the window: to its end
-                b = CANDIDATE.match(text, a).end()
-            s = text[a:b]
-            if out and a < out[-1][2] or any(x < b and y > a for x, _, y in base):
+    for m in CANDIDATE.finditer(text):
+        i, j = bisect_left(ends, m.start() - NEAR), bisect_right(starts, m.end() + NEAR)
+        if i >= j:
+            continue
+        inside = [(a, b) for a, b in near[i:j] if a < m.end() and b > m.start()]  # a name holds the word: its other parts
+        for a, b in zip([m.start(), *[b for _, b in inside]], [*[a for a, _ in inside], m.end()]):
+            if b - a < LEAST_BYTES or any(x < b and y > a for x, _, y in base):
                 continue
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-                n = novelty(text, a, b)
-                if n >= LEAST_BYTES and n >= LEAST_SHARE * len(s):
-                    out.append((a, 3, b))
+            n = novelty(text, a, b)
+            if n >= LEAST_BYTES and n >= LEAST_SHARE * (b - a):
+                out.append((a, 3, b))
     return out
 
 
