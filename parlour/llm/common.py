@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later job reads: what came of them must have been written itself."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession._jsc
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc.hadoopConfiguration()).delete(place, True)
 
 
 def worker_object(key: tuple, make):

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlour.llm.centroids import cluster, cluster_report
 from parlour.llm.common import table
 from parlour.llm.decontaminate import decontaminated
 from parlour.llm.exact_dedup import exact_dedup
 from parlour.llm.licenses import KNOWN, canonical_sql, licences
 from parlour.llm.packing import pack
+from parlour.llm.prefix_trie import prefix_trie
 from parlour.llm.quality_crf import fit_quality, held_out, quality_scores
 from parlour.llm.secret_scan import secret_report, secret_spans
 from parlour.llm.simhash import near_dedup
 from parlour.llm.suffix_dedup import remove_repeats, repeat_report
 from parlour.llm.toxicity_kn import fit_toxicity, toxicity_scores
 from parlour.llm.url_filter import filter_urls, fit_urls, labelled_urls
+from parlour.llm.winnowing import document_fingerprints, fingerprint_report
 
 QUALITY_THRESHOLD, TOXICITY_THRESHOLD = 0.3, 0.7
 
@@ -69,8 +72,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(*cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(document_fingerprints(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_suffix_array_dedup, op3_url_filter, op4_secret_scan, op5_quality_crf, op6_license_scan, op7_decontaminate,
-                                 op8_toxicity_kneser_ney, op9_pack, op10_exact_dedup)}
+                                 op8_toxicity_kneser_ney, op9_pack, op10_exact_dedup, op11_centroid_clustering, op12_prefix_trie, op13_winnowing)}
 
 _TEXT = lambda t: "'" + t.replace("'", "''") + "'"
 
