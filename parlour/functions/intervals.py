@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlour.functions.temporal import overlaps
+from parlour.functions.temporal import overlaps, ts_lit
+
+#: Seconds of a bucket, by level: an hour, a day, 32 days, some 3 years, some 90 years.
+LEVELS = (3600, 86400, 32 * 86400, 1024 * 86400, 32768 * 86400)
 
 
 def day_buckets(start: Column, end: Column) -> Column:
@@ -40,6 +43,48 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], l_span: tu
     return lx.join(rx, keys + ["_day"]).where(cond & first_day).drop("_day")
 
 
+def level_buckets(start: Column, end: Column) -> Column:
+    """Array of (level, bucket, home) of an interval: the buckets it touches on its home level, the lowest whose
+    buckets are as long as it is, and on every level above. At most two a level, however long it is (on the top level
+    one more for each 90 years)."""
+    sec = lambda c: F.timestamp_diff("SECOND", ts_lit("1970-01-01"), c)
+    lo, hi = sec(F.least(start, end)), sec(F.greatest(start, end))
+    none = F.array().cast("array<struct<level:int,bucket:bigint,home:boolean>>")
+
+    def touched(level: int, home: Column) -> Column:
+        size = LEVELS[level]
+        return F.transform(F.sequence(F.floor(lo / size), F.floor(hi / size)), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bucket"), home.alias("home")))
+
+    parts = []
+    for level, size in enumerate(LEVELS):
+        lower = F.lit(False) if level == 0 else hi - lo <= LEVELS[level - 1]
+        if level + 1 == len(LEVELS):
+            parts.append(touched(level, ~lower))
+        else:
+            parts.append(F.when(hi - lo <= size, touched(level, ~lower)).otherwise(none))
+    return F.flatten(F.array(*parts))
+
+
+def time_overlap_pairs(left: DataFrame, right: DataFrame, l_span: tuple[str, str], r_span: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
+    """As ``overlap_pairs``, also without any key: a pair meets on the home level of the longer interval, once.
+
+    Rows on their home level look for partners of that level or below (side 0 if the left one is at home, side 1 if
+    only the right one is), so that two intervals which merely share a coarse bucket never meet there. A busy day is
+    dealt over its hours, and a long interval is a few rows."""
+    (ls, le), (rs, re_) = l_span, r_span
+    keys = list(keys or [])
+    given = lambda df, a, b: df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_b", F.explode(level_buckets(F.col(a), F.col(b))))
+    lx = given(left, ls, le).withColumn("_side", F.when(F.col("_b.home"), 0).otherwise(1))
+    rx = given(right, rs, re_).withColumn("_side", F.explode(F.when(F.col("_b.home"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    meet = [F.col("_b.level").alias("_level"), F.col("_b.bucket").alias("_bucket")]
+    lx, rx = lx.select(*left.columns, "_side", *meet), rx.select(*right.columns, "_side", *meet)
+    begin = F.timestamp_diff("SECOND", ts_lit("1970-01-01"), F.greatest(F.col(ls), F.col(rs)))
+    size = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("_level") + 1)
+    once = F.floor(begin / size) == F.col("_bucket")
+    return (lx.join(rx, [*keys, "_side", "_level", "_bucket"])
+            .where(overlaps(F.col(rs), F.col(re_), F.col(ls), F.col(le)) & once).drop("_side", "_level", "_bucket"))
+
+
 def envelope_filter(df: DataFrame, start: str, end: str, requests: DataFrame, r_start: str, r_end: str) -> DataFrame:
     """Keep rows of ``df`` whose [start, end) can overlap some request: a one-row aggregate of
     the requests' time span is broadcast and used as a range filter before any shuffle."""

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlour.functions.intervals import overlap_pairs
-from parlour.functions.sequential import first_come
+from parlour.functions.sequential import serve_in_order
 from parlour.functions.temporal import add_minutes, today, ts_lit
 from parlour.operators import derive as dv
 from parlour.operators import slots
@@ -119,29 +118,27 @@ def book_items(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     accepted before it (requests are served by req_id). Therapist and room are not re-checked (as
     in the reference)."""
     reqs = slots.priced_requests(t, requests)
-    j = reqs.join(slots._first_conflict(t, reqs), "req_id", "left")
+    names = t["services"].select("sid", F.col("name").alias("_service"))
+    j = reqs.join(slots._first_conflict(t, reqs), "req_id", "left").join(names, "sid", "left")
     unknown = (F.when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND))
                .when(F.col("cid").isNull(), F.lit("Transaction not found")))
     j = j.withColumn("_reason", F.coalesce(unknown, _price_reason()))
-    span = ["req_id", "cid", "slot_start", "slot_end"]
-    able = j.where(F.col("_reason").isNull() & F.col("conflict_ttid").isNull()).select(*span)
-    later = able.select(F.col("req_id").alias("later"), "cid", F.col("slot_start").alias("l_start"), F.col("slot_end").alias("l_end"))
-    rivals = overlap_pairs(able, later, ["cid"], ("slot_start", "slot_end"), ("l_start", "l_end"), F.col("req_id") < F.col("later"))
-    served = first_come(rivals.select(F.col("req_id").alias("earlier"), "later"))
-    won = able.join(served.where(~F.col("accepted")).select("req_id"), "req_id", "left_anti")
-    won = won.join(reqs.select("req_id", "sid"), "req_id").join(t["services"].select("sid", F.col("name").alias("service")), "sid")
-    earlier = won.select(F.col("req_id").alias("won"), "cid", F.col("slot_start").alias("w_start"), F.col("slot_end").alias("w_end"), "service")
-    open_requests = j.where(F.col("_reason").isNull()).select(*span)
-    held = overlap_pairs(open_requests, earlier, ["cid"], ("slot_start", "slot_end"), ("w_start", "w_end"), F.col("won") < F.col("req_id"))
-    first = held.groupBy("req_id").agg(F.min(F.struct("w_start", "won", "w_end", "service")).alias("w"))
-    j = j.join(first, "req_id", "left")
-    in_batch = F.col("w").isNotNull() & (F.col("conflict_start").isNull() | (F.col("w.w_start") < F.col("conflict_start")))
-    j = j.withColumns({"conflict_service": F.when(in_batch, F.col("w.service")).otherwise(F.col("conflict_service")),
-                       "conflict_end": F.when(in_batch, F.col("w.w_end")).otherwise(F.col("conflict_end")),
-                       "conflict_start": F.when(in_batch, F.col("w.w_start")).otherwise(F.col("conflict_start"))})
+    none = F.lit(None).cast("timestamp_ntz")
+    asked = j.where(F.col("_reason").isNull() & F.col("slot_end").isNotNull()).select(
+        "req_id", F.col("cid").alias("grp"), F.col("req_id").alias("owner"), F.col("req_id").alias("party"), F.col("slot_start").alias("s"), F.col("slot_end").alias("e"),
+        F.col("_service").alias("name"), F.col("conflict_ttid").isNotNull().alias("blocked"), F.lit(True).alias("holds"),
+        none.alias("old_s"), none.alias("old_e"), F.lit(None).cast("string").alias("old_name"))
+    return _decided(j.join(serve_in_order(asked).select("req_id", "clash"), "req_id", "left"), ["tid"])
+
+
+def _decided(j: DataFrame, keys: list[str]) -> DataFrame:
+    """Priced requests with the outcome: a fault, the earliest place in the way, stored (``conflict_*``) or of this batch (``clash``), or neither."""
+    in_batch = F.col("clash").isNotNull() & (F.col("conflict_start").isNull() | (F.col("clash.s") < F.col("conflict_start")))
+    pick = lambda own, stored: F.when(in_batch, F.col(f"clash.{own}")).otherwise(F.col(stored))
+    j = j.withColumns({"conflict_service": pick("name", "conflict_service"), "conflict_end": pick("e", "conflict_end"), "conflict_start": pick("s", "conflict_start")})
     reason = F.coalesce("_reason", F.when(F.col("conflict_start").isNotNull(), _conflict_text()))
     return j.select(
-        "req_id", "tid", "sid", "therapist_eid", "rid", F.col("slot_start").alias("scheduled_start"),
+        "req_id", *keys, "sid", "therapist_eid", "rid", F.col("slot_start").alias("scheduled_start"),
         F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), _discount().alias("item_discount"),
         "item_discount_type", reason.isNull().alias("accepted"), reason.alias("reason"))
 
@@ -149,20 +146,29 @@ def book_items(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
 def edit_items(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
     """Re-price and move items not yet started. ``edits(req_id, ttid, sid, slot_start,
     therapist_eid, rid, item_discount, item_discount_type)``. Rejected when the item is unknown
-    or started, the service unknown, or the customer has an overlap outside this invoice (B2)."""
-    reqs = slots.edit_requests_priced(t, edits)
-    conflicts = slots._first_conflict(
-        t, reqs, (F.col("item_tid") != F.col("tid")) & (F.col("ttid") != F.col("req_ttid")))
-    cur = t["transaction_items"].select("ttid", F.col("actual_start").alias("_started"), F.lit(True).alias("_item"))
-    j = reqs.join(cur, "ttid", "left").join(conflicts, "req_id", "left")
+    or started, the service unknown, the price breaks a CHECK, or the customer has an overlap outside this invoice (B2).
+    Edits are served by req_id: an item whose edit was accepted is no longer at its old place but at its new one."""
+    items = t["transaction_items"]
+    names = t["services"].select("sid", F.col("name").alias("_service"))
+    cur = items.select("ttid", F.col("actual_start").alias("_started"), F.col("actual_end").alias("_ended"), F.col("scheduled_start").alias("_old_s"),
+                       F.col("scheduled_end").alias("_old_e"), F.col("sid").alias("_old_sid"), F.lit(True).alias("_item"))
+    j = slots.edit_requests_priced(t, edits).join(cur, "ttid", "left").join(names, "sid", "left")
     unknown = (F.when(F.col("_item").isNull(), F.lit("Item not found"))
                .when(F.col("_started").isNotNull(), F.lit(MSG_STARTED_EDIT))
                .when(F.col("duration_minutes").isNull(), F.lit(MSG_SERVICE_NOT_FOUND)))
-    reason = F.coalesce(unknown, _price_reason(), F.when(F.col("conflict_ttid").isNotNull(), _conflict_text()))
-    return j.select(
-        "req_id", "ttid", "tid", "sid", "therapist_eid", "rid", F.col("slot_start").alias("scheduled_start"),
-        F.col("slot_end").alias("scheduled_end"), F.col("base_cost").alias("cost"), _discount().alias("item_discount"),
-        "item_discount_type", reason.isNull().alias("accepted"), reason.alias("reason"))
+    j = j.withColumn("_reason", F.coalesce(unknown, _price_reason()))
+    able = j.where(F.col("_reason").isNull() & F.col("slot_end").isNotNull() & F.col("cid").isNotNull())
+    still = {**t, "transaction_items": items.join(able.select("ttid").distinct(), "ttid", "left_anti")}  # stays where it is
+    other = (F.col("item_tid") != F.col("tid")) & (F.col("ttid") != F.col("req_ttid"))
+    conflicts = slots._first_conflict(still, able.select("req_id", "ttid", "tid", "cid", "slot_start", "slot_end"), other)
+    opens = F.col("_ended").isNull()
+    asked = able.join(conflicts.select("req_id", "conflict_ttid"), "req_id", "left").join(
+        names.select(F.col("sid").alias("_old_sid"), F.col("_service").alias("_old_service")), "_old_sid", "left").select(
+        "req_id", F.col("cid").alias("grp"), F.col("ttid").alias("owner"), F.col("tid").alias("party"), F.col("slot_start").alias("s"), F.col("slot_end").alias("e"),
+        F.col("_service").alias("name"), F.col("conflict_ttid").isNotNull().alias("blocked"), opens.alias("holds"),
+        F.when(opens, F.col("_old_s")).alias("old_s"), F.when(opens, F.col("_old_e")).alias("old_e"), F.col("_old_service").alias("old_name"))
+    served = serve_in_order(asked).select("req_id", "clash")
+    return _decided(j.join(conflicts, "req_id", "left").join(served, "req_id", "left"), ["ttid", "tid"])
 
 
 def delete_items(t: dict[str, DataFrame], ttids: DataFrame) -> DataFrame:

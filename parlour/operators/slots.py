@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlour.functions.intervals import envelope_filter, overlap_pairs
+from parlour.functions.intervals import envelope_filter, overlap_pairs, time_overlap_pairs
 from parlour.functions.temporal import add_minutes, employed, role_active, today
 
 
@@ -58,77 +58,151 @@ def edit_conflicts(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
     return _first_conflict(t, reqs, extra)
 
 
-def _busy_pairs(t, pairs: DataFrame, key: str, item_key: str, span: tuple[str, str],
-                exclude_ttid: str | None = None, reqs: DataFrame | None = None) -> DataFrame:
-    """(req_id, key) pairs whose resource has an open item overlapping the request span.
-    The time envelope comes from ``reqs`` (the request table) when given: same span, far
-    fewer rows than the pairs."""
-    env_src = reqs if reqs is not None else pairs
-    items = envelope_filter(_open_items(t), "scheduled_start", "scheduled_end", env_src, span[0], span[1])
-    items = items.select(F.col(item_key).alias(key), "ttid", "scheduled_start", "scheduled_end")
-    cols = ["req_id", key, *span] + ([exclude_ttid] if exclude_ttid else [])
-    extra = (F.col("ttid") != F.col(exclude_ttid)) if exclude_ttid else None
-    hit = overlap_pairs(pairs.select(*cols), items, [key], span, ("scheduled_start", "scheduled_end"), extra)
-    return hit.select("req_id", key).distinct()
+PAGE, WORD = 4096, 64  # identifiers of a page and of a word of its bitmap
+SALTS = 16
 
 
-def _staff_pairs(t, reqs: DataFrame, as_of, exact_role: bool, inclusive: bool) -> DataFrame:
+def _slots(reqs: DataFrame, *classes: str) -> DataFrame:
+    return reqs.select("slot_start", "slot_end", *classes).distinct()
+
+
+def busy_sets(t: dict[str, DataFrame], slots: DataFrame, item_key: str) -> DataFrame:
+    """(slot_start, slot_end, page, busy) for distinct slots: the resources that an open item takes in the slot, as a
+    bitmap a page of identifiers (word -> its 64 bits)."""
+    spans = _slots(slots)
+    items = envelope_filter(_open_items(t), "scheduled_start", "scheduled_end", spans, "slot_start", "slot_end")
+    items = items.select(F.col(item_key).cast("long").alias("key"), "scheduled_start", "scheduled_end").where(F.col("key").isNotNull())
+    pairs = time_overlap_pairs(spans, items, ("slot_start", "slot_end"), ("scheduled_start", "scheduled_end"))
+    place = F.pmod("key", F.lit(PAGE))
+    words = pairs.groupBy("slot_start", "slot_end", F.floor(F.col("key") / PAGE).alias("page"), F.floor(place / WORD).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(WORD)).cast("int"))).alias("bits"))
+    return words.groupBy("slot_start", "slot_end", "page").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("busy"))
+
+
+def free_sets(t: dict[str, DataFrame], slots: DataFrame, resources: DataFrame, item_key: str) -> DataFrame:
+    """(slot_start, slot_end, cls, page, free): for each distinct slot of a class the class's resources that are not busy.
+
+    ``slots``: (slot_start, slot_end, cls); ``resources``: (cls, key, ...). The answer has a row a distinct slot, class and
+    page of identifiers, whatever the number of requests; ``free`` holds the page's free resources, at most PAGE identifiers.
+    Slots and pages meet by class, dealt over SALTS parts, as a class may be that of all slots."""
+    labels = [c for c in resources.columns if c != "cls"]
+    pages = (resources.withColumn("page", F.floor(F.col("key") / PAGE)).groupBy("cls", "page")
+             .agg(F.sort_array(F.collect_set(F.struct(*labels))).alias("entries"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    spread = F.pmod(F.xxhash64("slot_start", "slot_end"), F.lit(SALTS)).cast("int")
+    asked = _slots(slots, "cls").withColumn("salt", spread).join(pages, ["cls", "salt"]).drop("salt")
+    busy = busy_sets(t, slots, item_key).select(F.col("slot_start").alias("b_start"), F.col("slot_end").alias("b_end"), F.col("page").alias("b_page"), "busy")
+    held = asked.join(busy, F.col("slot_start").eqNullSafe(F.col("b_start")) & F.col("slot_end").eqNullSafe(F.col("b_end"))
+                      & (F.col("page") == F.col("b_page")), "left")
+
+    def is_free(e):
+        key = e["key"].cast("long")
+        bits = F.coalesce(F.try_element_at("busy", F.floor(F.pmod(key, F.lit(PAGE)) / WORD)), F.lit(0).cast("long"))
+        return F.call_function("shiftrightunsigned", bits, F.pmod(key, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 0
+
+    free = F.when(F.col("busy").isNull(), F.col("entries")).otherwise(F.filter("entries", is_free))
+    return held.select("slot_start", "slot_end", "cls", "page", free.alias("free"))
+
+
+def _listed(links: DataFrame, free: DataFrame) -> DataFrame:
+    """The free resources of every request: its slot's rows, one after another."""
+    f = free.select(F.col("slot_start").alias("f_start"), F.col("slot_end").alias("f_end"), F.col("cls").alias("f_cls"), "free")
+    on = F.col("slot_start").eqNullSafe(F.col("f_start")) & F.col("slot_end").eqNullSafe(F.col("f_end")) & (F.col("cls") == F.col("f_cls"))
+    return links.distinct().join(f, on).select("req_id", F.explode("free").alias("e"))
+
+
+def staff_of_role(t: dict[str, DataFrame], as_of, inclusive: bool, by_role: bool) -> DataFrame:
+    """(cls, key, work_name, role_type) of the employees on duty; the class is the role, or 0 for all."""
     d = today(as_of)
     e = t["employees"].where(employed(F.col("employment_end"), d, inclusive)).select("eid", "work_name")
     r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).select("eid", "rdid")
-    staff = e.join(r, "eid").join(t["role_definition"], "rdid")
-    if exact_role:
-        pairs = reqs.join(staff, reqs["req_rdid"] == staff["rdid"])
-    else:
-        # any active role: the answer is every on-duty employee per request, so the pairs are the output
-        # itself; staff and requests meet under each role, an equality join that AQE can split
-        roles = t["role_definition"].select("rdid")
-        pairs = staff.join(roles.crossJoin(reqs), "rdid")
-    return pairs.select("req_id", "eid", "work_name", "role_type", *[c for c in ("slot_start", "slot_end", "req_ttid")
-                                                                      if c in reqs.columns]).distinct()
+    cls = F.col("rdid") if by_role else F.lit(0)
+    return e.join(r, "eid").join(t["role_definition"], "rdid").select(cls.alias("cls"), F.col("eid").alias("key"), "work_name", "role_type").distinct()
 
 
-def candidate_therapists(t: dict[str, DataFrame], requests: DataFrame, as_of) -> DataFrame:
-    """Employees holding exactly the service's role (employed, exclusive) and free in the slot."""
-    reqs = priced_requests(t, requests).select("req_id", "req_rdid", "slot_start", "slot_end")
-    pairs = _staff_pairs(t, reqs, as_of, exact_role=True, inclusive=False)
-    busy = _busy_pairs(t, pairs, "eid", "therapist_eid", ("slot_start", "slot_end"), reqs=reqs)
-    return pairs.join(busy, ["req_id", "eid"], "left_anti").select("req_id", "eid", "work_name", "role_type")
+def _rooms(t: dict[str, DataFrame]) -> DataFrame:
+    return t["room"].select(F.lit(0).alias("cls"), F.col("rid").alias("key"), "room_name")
 
 
-def _room_pairs(t, reqs: DataFrame) -> DataFrame:
-    """Every request with every room, which the answer lists but for the busy ones."""
-    return reqs.crossJoin(t["room"].select("rid", "room_name"))
+def therapist_links(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
+    """(req_id, slot_start, slot_end, cls): the slot and the role that a request asks for."""
+    return priced_requests(t, requests).select("req_id", "slot_start", "slot_end", F.col("req_rdid").alias("cls"))
 
 
-def candidate_rooms(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
-    """Rooms with no open item overlapping the slot."""
-    reqs = priced_requests(t, requests).select("req_id", "slot_start", "slot_end")
-    pairs = _room_pairs(t, reqs)
-    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"), reqs=reqs)
-    return pairs.join(busy, ["req_id", "rid"], "left_anti").select("req_id", "rid", "room_name")
+def room_links(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
+    return priced_requests(t, requests).select("req_id", "slot_start", "slot_end", F.lit(0).alias("cls"))
+
 
+def edit_links(t: dict[str, DataFrame], edits: DataFrame, item_key: str) -> DataFrame:
+    """(req_id, slot_start, slot_end, cls, own): an edit's slot is the item's stored schedule. ``own`` is the item's resource
+    where this item alone keeps it busy: it is free to this edit though it is not in the slot's free set."""
+    stored = t["transaction_items"].select(
+        F.col("ttid").alias("req_ttid"), F.col("scheduled_start").alias("slot_start"), F.col("scheduled_end").alias("slot_end"),
+        F.when(F.col("actual_end").isNull() & (F.col("scheduled_start") < F.col("scheduled_end")), F.col(item_key)).alias("key"))
+    e = edits.select("req_id", F.col("ttid").alias("req_ttid")).join(stored, "req_ttid")
+    held = e.where(F.col("key").isNotNull())
+    items = envelope_filter(_open_items(t), "scheduled_start", "scheduled_end", held, "slot_start", "slot_end")
+    items = items.select(F.col(item_key).alias("key"), "ttid", "scheduled_start", "scheduled_end")
+    others = overlap_pairs(held, items, ["key"], ("slot_start", "slot_end"), ("scheduled_start", "scheduled_end"), F.col("ttid") != F.col("req_ttid"))
+    taken = others.select("req_id", "req_ttid").distinct().withColumn("_taken", F.lit(True))
+    return e.join(taken, ["req_id", "req_ttid"], "left").select(
+        "req_id", "slot_start", "slot_end", F.lit(0).alias("cls"), F.when(F.col("_taken").isNull(), F.col("key")).alias("own"))
 
-def _current_slots(t, edits: DataFrame) -> DataFrame:
-    """For B5/B6 the slot is the item's stored schedule, and the item itself is ignored."""
-    return edits.select("req_id", "ttid").join(
-        t["transaction_items"].select("ttid", F.col("scheduled_start").alias("slot_start"),
-                                      F.col("scheduled_end").alias("slot_end")), "ttid").withColumnRenamed(
-        "ttid", "req_ttid")
+
+def _with_own(links: DataFrame, free: DataFrame, resources: DataFrame) -> DataFrame:
+    entry = F.struct(*[c for c in resources.columns if c != "cls"])
+    own = links.where(F.col("own").isNotNull()).select("req_id", F.col("own").alias("key")).distinct().join(resources, "key").select("req_id", entry.alias("e"))
+    return _listed(links.drop("own"), free).unionByName(own)
+
+
+def candidate_therapists(t: dict[str, DataFrame], requests: DataFrame, as_of) -> DataFrame:
+    """Employees holding exactly the service's role (employed, exclusive) and free in the slot."""
+    links = therapist_links(t, requests)
+    staff = staff_of_role(t, as_of, inclusive=False, by_role=True)
+    return _listed(links, free_sets(t, links, staff, "therapist_eid")).select("req_id", F.col("e.key").alias("eid"), "e.work_name", "e.role_type")
+
+
+def candidate_rooms(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
+    """Rooms with no open item overlapping the slot."""
+    links = room_links(t, requests)
+    return _listed(links, free_sets(t, links, _rooms(t), "rid")).select("req_id", F.col("e.key").alias("rid"), "e.room_name")
 
 
 def edit_candidate_therapists(t: dict[str, DataFrame], edits: DataFrame, as_of) -> DataFrame:
-    """Any employee with an active role (employed, inclusive) free in the item's slot."""
-    reqs = _current_slots(t, edits)
-    pairs = _staff_pairs(t, reqs, as_of, exact_role=False, inclusive=True)
-    busy = _busy_pairs(t, pairs.select("req_id", "eid", "slot_start", "slot_end", "req_ttid").distinct(), "eid",
-                       "therapist_eid", ("slot_start", "slot_end"), exclude_ttid="req_ttid", reqs=reqs)
-    return pairs.join(busy, ["req_id", "eid"], "left_anti").select("req_id", "eid", "work_name", "role_type")
+    """Any employee with an active role (employed, inclusive) free in the item's slot, the item itself aside."""
+    links, staff = edit_links(t, edits, "therapist_eid"), staff_of_role(t, as_of, inclusive=True, by_role=False)
+    found = _with_own(links, free_sets(t, links, staff, "therapist_eid"), staff)
+    return found.select("req_id", F.col("e.key").alias("eid"), "e.work_name", "e.role_type")
 
 
 def edit_candidate_rooms(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
     """Rooms free in the item's slot, ignoring the item itself."""
-    reqs = _current_slots(t, edits)
-    pairs = _room_pairs(t, reqs)
-    busy = _busy_pairs(t, pairs, "rid", "rid", ("slot_start", "slot_end"), exclude_ttid="req_ttid", reqs=reqs)
-    return pairs.join(busy, ["req_id", "rid"], "left_anti").select("req_id", "rid", "room_name")
+    links = edit_links(t, edits, "rid")
+    return _with_own(links, free_sets(t, links, _rooms(t), "rid"), _rooms(t)).select("req_id", F.col("e.key").alias("rid"), "e.room_name")
+
+
+def free_set_rows(free: DataFrame) -> DataFrame:
+    """The free sets as plain rows: identifiers ascending, each once, joined by commas, and their number."""
+    keys = F.array_distinct(F.transform("free", lambda e: e["key"]))
+    return free.select("slot_start", "slot_end", "cls", "page", F.size(keys).cast("long").alias("n_free"), F.array_join(keys, ",").alias("free"))
+
+
+def therapist_slot_sets(t: dict[str, DataFrame], requests: DataFrame, as_of) -> DataFrame:
+    """B3 a distinct slot and role instead of a request; ``therapist_links`` says which requests ask for it."""
+    links = therapist_links(t, requests)
+    return free_set_rows(free_sets(t, links, staff_of_role(t, as_of, inclusive=False, by_role=True), "therapist_eid"))
+
+
+def room_slot_sets(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
+    """B4 a distinct slot instead of a request."""
+    return free_set_rows(free_sets(t, room_links(t, requests), _rooms(t), "rid"))
+
+
+def edit_therapist_slot_sets(t: dict[str, DataFrame], edits: DataFrame, as_of) -> DataFrame:
+    """B5 a distinct slot instead of an edit; ``edit_links`` adds to each edit what only its own item keeps busy."""
+    return free_set_rows(free_sets(t, edit_links(t, edits, "therapist_eid"), staff_of_role(t, as_of, inclusive=True, by_role=False), "therapist_eid"))
+
+
+def edit_room_slot_sets(t: dict[str, DataFrame], edits: DataFrame) -> DataFrame:
+    """B6 a distinct slot instead of an edit."""
+    return free_set_rows(free_sets(t, edit_links(t, edits, "rid"), _rooms(t), "rid"))
