@@ -13,7 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 
-GROUPS = 1024
+GROUPS = 256
 SMALL = (0.15, 0.2, 0.25, 0.3)  # lengths up to this share of a sequence are small; the best plan of these holds
 
 
