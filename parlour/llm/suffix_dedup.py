@@ -32,6 +32,7 @@ from parlour.llm.bloom import may_hold, members
 from parlour.llm.common import n_partitions, written
 
 TOGETHER = 20_000  # runs of one name that are compared in one task, at most (about 6 MB); those of other names by windows
+PORTION = 2000  # runs that are compared at a time, but for those of one name, which stay together
 THRESHOLD = 200  # bytes of a string that must not repeat
 FIRST = 64  # bytes of the first distributed round
 SEGMENT = 1 << 22  # windows handled at a time; positions within fit 24 bits
@@ -139,7 +140,7 @@ def _strings(threshold: int):
             for i, k, text, todo in zip(b["id"], b["key"], b["text"], b["runs"]):
                 at, lo, hi = _unpack(np.array([r["place"] for r in todo], np.int64))
                 out = pd.DataFrame({c: [r[c] for r in todo] for c in ("name", "m", "many")})
-                yield out.assign(id=i, key=np.int32(k), start=lo, before=(at - lo).astype(np.int32), bytes=[text[x : y + threshold] for x, y in zip(lo.tolist(), hi.tolist())])
+                yield out.assign(id=i, key=[k] * len(out), start=lo, before=(at - lo).astype(np.int32), bytes=[text[x : y + threshold] for x, y in zip(lo.tolist(), hi.tolist())])
 
     return rows
 
@@ -159,11 +160,7 @@ def _named_windows(b: pd.DataFrame, threshold: int) -> tuple[np.ndarray, ...]:
 def _compared(threshold: int):
     """Intervals of the runs of weight 1 whose windows occur again among the rows of their name."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]  # a partition of names that few runs share
-        if not parts:
-            return
-        b = pd.concat(parts, ignore_index=True)
+    def compared(b: pd.DataFrame) -> pd.DataFrame:
         row, at, window = _named_windows(b, threshold)
         m = b["m"].to_numpy(np.int64)[row]
         _, which = np.unique(_pair(window, b["name"].to_numpy(np.int64).view(np.uint64)[row], _MULTIPLY[6]), return_inverse=True)
@@ -172,8 +169,20 @@ def _compared(threshold: int):
         first = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))[: len(row)]
         last = np.concatenate((first[1:], [True]))[: len(row)]
         start = b["start"].to_numpy(np.int64)
-        yield pd.DataFrame({"id": b["id"].take(row[first]).array, "key": b["key"].take(row[first]).array,
-                            "start": start[row[first]] + at[first], "end": start[row[last]] + at[last] + threshold})
+        return pd.DataFrame({"id": b["id"].take(row[first]).array, "key": b["key"].take(row[first]).array,
+                             "start": start[row[first]] + at[first], "end": start[row[last]] + at[last] + threshold})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows sorted by name; whole names, some PORTION rows at a time
+        for b in batches:
+            if len(b):
+                held = b if held is None else pd.concat([held, b], ignore_index=True)
+                whole = held["name"].to_numpy() != held["name"].iloc[-1]
+                if whole.sum() >= PORTION:
+                    yield compared(held[whole].reset_index(drop=True))
+                    held = held[~whole].reset_index(drop=True)
+        if held is not None:
+            yield compared(held)
 
     return rows
 
@@ -208,7 +217,7 @@ def repeated_intervals(keyed: DataFrame, threshold: int = THRESHOLD) -> DataFram
     id_type = dict(keyed.dtypes)["id"]
     ranks = (keyed.mapInPandas(_run_rows(threshold, False), "name long").groupBy("name").agg(F.count("*").alias("n"))
              .filter("n > 1").select("name"))
-    placed = keyed.mapInPandas(_run_rows(threshold, True), f"name long, span long, id {id_type}, key int, place long")
+    placed = keyed.mapInPandas(_run_rows(threshold, True), f"name long, span long, id {id_type}, key binary, place long")
     met = written(placed.join(ranks, "name"), "op2-met")
 
     spans = written(met.groupBy("name", "span").agg(F.count("*").alias("m"), F.min(F.struct("id", "key", "place")).alias("first")), "op2-spans")
@@ -218,12 +227,12 @@ def repeated_intervals(keyed: DataFrame, threshold: int = THRESHOLD) -> DataFram
     wanted = spans.join(open_names, "name").select("name", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.place").alias("place"), "m")
     many = spans.join(open_names, "name").groupBy("name").count().filter(F.col("count") > TOGETHER).select("name", F.lit(True).alias("many"))
     wanted = wanted.join(many, "name", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    strings = written(with_text(keyed, wanted).mapInPandas(_strings(threshold), f"name long, m long, many boolean, id {id_type}, key int, start long, before int, bytes binary"), "op2-strings")
+    strings = written(with_text(keyed, wanted).mapInPandas(_strings(threshold), f"name long, m long, many boolean, id {id_type}, key binary, start long, before int, bytes binary"), "op2-strings")
 
     # windows of names that few runs share are compared in the task that has these runs
-    few = strings.filter("not many").repartition(n_partitions(keyed.sparkSession), "name").mapInPandas(_compared(threshold), f"id {id_type}, key int, start long, end long")
+    few = strings.filter("not many").repartition(n_partitions(keyed.sparkSession), "name").sortWithinPartitions("name").mapInPandas(_compared(threshold), f"id {id_type}, key binary, start long, end long")
     # of a name that very many runs share each window is a row: counted in part before the shuffle, then joined, where Spark splits it
-    each = written(strings.filter("many").mapInPandas(_windows(threshold), f"name long, window long, m long, id {id_type}, key int, start long"), "op2-windows")
+    each = written(strings.filter("many").mapInPandas(_windows(threshold), f"name long, window long, m long, id {id_type}, key binary, start long"), "op2-windows")
     again = each.groupBy("name", "window").agg(F.sum("m").alias("total")).filter("total > 1").select("name", "window")
     most = each.filter("m = 1").join(again, ["name", "window"]).select("id", "key", "start", (F.col("start") + threshold).alias("end"))
 
@@ -232,7 +241,7 @@ def repeated_intervals(keyed: DataFrame, threshold: int = THRESHOLD) -> DataFram
             _, lo, hi = _unpack(b["place"].to_numpy(np.int64))
             yield pd.DataFrame({"id": b["id"], "key": b["key"], "start": lo, "end": hi + threshold})
 
-    return (whole.mapInPandas(to_intervals, f"id {id_type}, key int, start long, end long")
+    return (whole.mapInPandas(to_intervals, f"id {id_type}, key binary, start long, end long")
             .unionByName(few).unionByName(most))
 
 
@@ -253,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that all of a text of ``threshold`` bytes or more that occurs twice is removed from both. Null identifiers are
     carried along. An empty table gives an empty result. Other columns are not read."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("key"), text.cast("binary").alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.cast("binary").alias("text"))
     found = repeated_intervals(keyed, threshold)
     per_doc = written(found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "op2-intervals")  # at most a document's own intervals
 

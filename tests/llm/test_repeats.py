@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlour.llm.suffix_dedup import THRESHOLD, remove_repeats, repeat_report, repeated_intervals
 
@@ -70,3 +71,23 @@ def test_repeated_rows_null_identifiers_and_empty_tables(spark, make_docs):
 def test_threshold_is_checked(make_docs):
     with pytest.raises(ValueError):
         repeated_intervals(make_docs(["a"], clash=False).selectExpr("doc_id as id", "1 as key", "cast(text as binary) as text"), 64)
+
+
+def test_texts_without_identifier_are_told_apart(spark):
+    """Two texts of one 32-bit hash and no identifier: what repeats in one is not removed from the other."""
+    part = lambda k: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}")), 512)
+    df = spark.range(300_000).select(F.concat(*[part(k) for k in range(3)]).alias("text"))
+    a, b = df.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").first()["texts"][:2]
+    texts = [a, b, a[50:300]]
+    docs = spark.createDataFrame([(None, a), (None, b), (7, texts[2])], "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in repeat_report(remove_repeats(docs)).collect())
+    assert got == sorted(brute(texts)) and [n for _, n, *_ in brute(texts)] == [250, 0, 250]
+
+
+def test_names_are_compared_in_portions(spark, monkeypatch):
+    from parlour.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "PORTION", 3)
+    texts = corpus()
+    got = repeat_report(remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute(texts)
