@@ -7,6 +7,8 @@ written: callers union/anti-join the accepted rows into their tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from parlour.functions.sequential import serve_in_order
 from parlour.functions.temporal import add_minutes, today, ts_lit
 from parlour.operators import derive as dv
 from parlour.operators import slots
-from parlour.sources.schemas import MONEY, PAYMENT_METHOD
+from parlour.operators.quality import FOREIGN_KEYS
+from parlour.sources.schemas import MONEY, PAYMENT_METHOD, SCHEMAS
 
 # The reference's messages.
 MSG_END_BEFORE_START = "end date before start date"
@@ -32,6 +35,7 @@ MSG_DISCOUNT = "discount below zero"
 MSG_COST = "cost not above zero"
 MSG_AMOUNT = "malformed amount"
 MSG_METHOD = "unknown payment method"
+MSG_REFERENCED = "still referenced"
 CONFLICT_MSG = "Customer already has a booking during this time: %s (%s - %s)"
 
 
@@ -192,11 +196,66 @@ def delete_items_totals(t: dict[str, DataFrame], ttids: DataFrame) -> DataFrame:
     return dv.invoice_totals({**t, "transaction_items": items, "transactions": t["transactions"].join(touched, "tid", "left_semi")})
 
 
-def cascade_delete(t: dict[str, DataFrame], tids: DataFrame) -> dict[str, DataFrame]:
-    """Deleting invoices removes their items, payments and refunds (ON DELETE CASCADE)."""
-    k = tids.select("tid")
-    return {**t, **{n: t[n].join(k, "tid", "left_anti")
-                    for n in ("transactions", "transaction_items", "payments", "refunds")}}
+# The references that are deleted with their parent; all others refuse its deletion while they stand.
+CASCADES = {("roles", "eid"), ("transaction_items", "tid"), ("payments", "tid"), ("refunds", "tid")}
+
+
+def _key(table: str) -> str:
+    return SCHEMAS[table].fieldNames()[0]
+
+
+def _cascade(t: dict[str, DataFrame], table: str, keys: DataFrame) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """Level by level along the foreign keys: for each table the rows (root, key) that go with a root, and the references
+    met: (root, child, fk_column, action, n_rows)."""
+    gone, met = {table: keys.select(F.col("root"), F.col("root").alias("key"))}, []
+    level, refusing = [table], []
+    while level:
+        below = []
+        for child, col, parent, pcol in FOREIGN_KEYS:
+            if parent not in level:
+                continue
+            refs = t[child].select(F.col(_key(child)).alias("child_key"), F.col(col).alias("key")).join(gone[parent], "key").select("root", F.col("child_key").alias("key"))
+            if (child, col) in CASCADES:
+                gone[child] = refs if child not in gone else gone[child].unionByName(refs).distinct()
+                below.append(child)
+                met.append(_counted(refs, child, col, "cascade"))
+            else:
+                refusing.append((child, col, refs))
+        level = below
+    for child, col, refs in refusing:  # rows that go themselves refuse nothing
+        met.append(_counted(refs.join(gone[child], ["root", "key"], "left_anti") if child in gone else refs, child, col, "restrict"))
+    return gone, met
+
+
+def _counted(refs: DataFrame, child: str, col: str, action: str) -> DataFrame:
+    return refs.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "root", F.lit(child).alias("child"), F.lit(col).alias("fk_column"), F.lit(action).alias("action"), "n_rows")
+
+
+def cascade_delete(t: dict[str, DataFrame], table: str, keys: DataFrame) -> DataFrame:
+    """U6 for parents: deleting the rows ``keys`` (key) of ``table``. A row a requested key and foreign key met: child,
+    fk_column, action, n_rows (rows that go with it, or that refuse it), accepted, reason; one row without a child if no
+    reference is met. A key is refused if it is unknown or rows that do not go with it refer to it. Repeated keys count once."""
+    roots = keys.select(F.col(keys.columns[0]).alias("root")).distinct()
+    _, met = _cascade(t, table, roots)
+    refs = reduce(DataFrame.unionByName, met) if met else None
+    known = t[table].select(F.col(_key(table)).alias("root"), F.lit(True).alias("_known"))
+    j = roots.join(known, "root", "left")
+    if refs is None:
+        j = j.withColumns({c: F.lit(None).cast("string") for c in ("child", "fk_column", "action")}).withColumn("n_rows", F.lit(None).cast("long"))
+    else:
+        j = j.join(refs, "root", "left")
+    refused = F.bool_or(F.coalesce(F.col("action") == "restrict", F.lit(False))).over(Window.partitionBy("root"))
+    reason = F.when(F.col("_known").isNull(), F.lit(MSG_NOT_FOUND)).when(refused, F.lit(MSG_REFERENCED))
+    return j.select(F.col("root").alias("key"), "child", "fk_column", "action", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
+                    reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def after_cascade(t: dict[str, DataFrame], table: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the accepted rows of ``keys`` and all that goes with them."""
+    accepted = cascade_delete(t, table, keys).where("accepted").select(F.col("key").alias("root")).distinct()
+    gone, _ = _cascade(t, table, accepted)
+    return {**t, **{name: t[name].join(rows.select(F.col("key").alias(_key(name))).distinct(), _key(name), "left_anti").select(*t[name].columns) for name, rows in gone.items()}}
 
 
 def service_clock(t: dict[str, DataFrame], events: DataFrame) -> DataFrame:

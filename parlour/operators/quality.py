@@ -108,16 +108,20 @@ def audit_unique(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def audit_foreign_keys(t: dict[str, DataFrame]) -> DataFrame:
-    """Q3: child rows whose (non-NULL) reference has no parent row. A child's keys are counted before the
-    anti join, so that a key many rows share is one row of the shuffle and of the join."""
-    out = []
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        c = t[child].where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("n_rows"))
-        p = t[parent].select(F.col(pcol).alias("_k"))
-        out.append(c.join(p, "_k", "left_anti").select(
-            F.lit(child).alias("table_name"), F.lit(col).alias("column_name"), F.lit(parent).alias("parent_table"),
-            F.col("_k").cast("string").alias("value"), "n_rows"))
-    return _union(out)
+    """Q3: child rows whose (non-NULL) reference has no parent row. Each table is read once: its references and, if others
+    refer to it, its own keys come out stacked as (parent, value, constraint). They are counted by key before the shuffle,
+    so that a key many rows share is one row, and a value without a parent's row among its rows is reported."""
+    stacked = []
+    for name in dict.fromkeys([fk[0] for fk in FOREIGN_KEYS] + [fk[2] for fk in FOREIGN_KEYS]):
+        refs = [(parent, col, i) for i, (child, col, parent, _) in enumerate(FOREIGN_KEYS) if child == name]
+        own = dict.fromkeys((name, pcol, -1) for _, _, parent, pcol in FOREIGN_KEYS if parent == name)
+        entries = [F.struct(F.lit(parent).alias("parent"), F.col(col).cast("string").alias("value"), F.lit(i).alias("fk")) for parent, col, i in [*refs, *own]]
+        stacked.append(t[name].select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull()))
+    counted = _union(stacked).groupBy("parent", "value", "fk").agg(F.count(F.lit(1)).alias("n"))
+    met = counted.groupBy("parent", "value").agg(F.collect_list(F.struct("fk", "n")).alias("refs"), F.min("fk").alias("least"))  # a row a constraint at most
+    lost = met.where("least >= 0").select("parent", "value", F.explode("refs").alias("r"))
+    named = lambda k: F.element_at(F.array(*[F.lit(fk[k]) for fk in FOREIGN_KEYS]), F.col("r.fk") + 1)
+    return lost.select(named(0).alias("table_name"), named(1).alias("column_name"), F.col("parent").alias("parent_table"), "value", F.col("r.n").alias("n_rows"))
 
 
 def audit_domains(t: dict[str, DataFrame]) -> DataFrame:

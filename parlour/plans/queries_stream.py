@@ -11,7 +11,7 @@ from parlour.streaming.net_paid import stream_net_paid
 register("stream_net_paid", """
 SELECT t.tid, CAST(COALESCE((SELECT SUM(payment_amount) FROM payments p WHERE p.tid = t.tid), 0)
                  - COALESCE((SELECT SUM(refund_amount) FROM refunds r WHERE r.tid = t.tid), 0) AS DOUBLE) AS total_paid
-FROM transactions t""")(stream_net_paid)
+FROM transactions t""")(lambda s, d: stream_net_paid(s, tables(s, d)))
 
 register("invoices_json", """
 SELECT tid, to_json({'cid': cid, 'tid': tid, 'entry_time': strftime(entry_time, '%Y-%m-%dT%H:%M:%S'),

@@ -1,12 +1,16 @@
 """Invoice paid totals kept current from streams of payments and refunds.
 
-The reference updates ``total_paid`` with AFTER triggers as each payment or refund row arrives, changes or
-goes. Here every change is a signed amount (:func:`signed_changes`), a Structured Streaming query keeps a
-running ``sum`` per invoice (stateful aggregation in ``update`` mode, no watermark: an invoice can be paid at
-any time), and ``foreachBatch`` writes each micro-batch's changed totals to a folder of its own under the sink.
-The current state is the latest row per invoice; :func:`compact` folds all batches so far into one snapshot.
-
-A batch that is run again after a failure overwrites its own folder, so the sink is idempotent.
+The reference updates ``total_paid`` with AFTER triggers as each payment or refund row arrives, changes or goes. Here the
+changes are rows as a change feed gives them: an update carries the new row alone, a delete the key alone. Two
+Structured Streaming queries follow one another. :func:`keep_rows` holds the current row of each payment and refund in
+keyed state and turns a change into signed amounts, what the old row gave is taken off and what the new one gives is
+added, also where a row moves to another invoice. :func:`keep_totals` holds a running ``sum`` per invoice (stateful
+aggregation in ``update`` mode, no watermark: an invoice can be paid at any time), and writes each micro-batch's changed
+totals to a folder of its own under the sink. The current state is the latest row per invoice; :func:`compact` folds all
+batches so far into one snapshot.
+
+Nothing is counted twice after a failure: the signed amounts go through the file sink, which commits a batch once, a
+batch of totals that is run again overwrites its own folder, and a change that is not newer than its row's last is ignored.
 """
 
 from __future__ import annotations
@@ -43,27 +47,52 @@ def keep_totals(changes: DataFrame, sink: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def signed_amounts(orders: DataFrame) -> DataFrame:
-    """Payments (+) and refunds (-) derived from order rows, as one signed stream. Same rules as
-    the fixture payments/refunds tables; one ``explode`` instead of a union of two streams."""
-    tid = F.col("o_orderkey")
-    price = F.col("o_totalprice").cast(MONEY)
-    pay = F.when(tid % 7 != 0, (price * F.when(tid % 4 == 0, F.lit(0.5).cast("decimal(2,1)"))
-                                .otherwise(F.lit(1.0).cast("decimal(2,1)"))).cast(MONEY))
-    ref = F.when((F.col("o_orderstatus") != "F") & (tid % 10 == 0) & (tid % 7 != 0),
-                 -(price * F.lit(0.5).cast("decimal(2,1)")).cast(MONEY))
-    return orders.select(tid.alias("tid"), F.explode(F.array_compact(F.array(pay, ref))).alias("amount"))
-
-
-def run_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
-               source_glob: str = "orders.parquet", files_per_batch: int = 1) -> str:
-    """Run the fixture's stream over everything available in ``source_dir`` and return the sink path. Without
-    ``out_dir`` sink and checkpoint go to the shared folder of ``spark.checkpoint.dir``."""
-    base = out_dir or f"{checkpoint_dir(spark)}/net_paid-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{source_dir}/{source_glob}").schema
-    orders = (spark.readStream.schema(schema).option("pathGlobFilter", source_glob)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
-    keep_totals(signed_amounts(orders), f"{base}/state", f"{base}/_checkpoint")
+CHANGE = "kind string, key long, seq long, op string, tid long, amount decimal(10,2)"
+
+
+def change_rows(payments: DataFrame, refunds: DataFrame) -> DataFrame:
+    """Changes (``CHANGE``) of payments (pid, seq, op, tid, payment_amount) and refunds (refid, seq, op, tid, refund_amount),
+    streams or tables. ``seq`` orders the changes of a row, ``op`` is insert, update or delete."""
+    def rows(df: DataFrame, kind: str, key: str, amount: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "seq", "op", "tid", F.col(amount).cast(MONEY).alias("amount"))
+
+    return rows(payments, "payment", "pid", "payment_amount").unionByName(rows(refunds, "refund", "refid", "refund_amount"))
+
+
+def _apply_changes(key, frames, state):
+    """One payment's or refund's changes of a micro-batch: the signed amounts, in cents, that its invoices gain."""
+    import pandas as pd
+
+    seq, tid, cents = state.get if state.exists else (None, None, 0)
+    old_tid, old_cents = tid, cents
+    for f in frames:
+        at = f["seq"].idxmax()
+        if seq is None or f["seq"][at] > seq:
+            gone = f["op"][at] == "delete"
+            seq, tid, cents = int(f["seq"][at]), None if gone else int(f["tid"][at]), 0 if gone else int(f["cents"][at])
+    state.update((seq, tid, cents))  # a deleted row leaves its last seq behind, against late changes
+    rows = [(t, c) for t, c in ((old_tid, -old_cents), (tid, cents)) if t is not None and c]
+    if old_tid == tid and rows:
+        rows = [(tid, cents - old_cents)] if cents != old_cents else []
+    yield pd.DataFrame(rows, columns=["tid", "cents"]).astype("int64")
+
+
+def keep_rows(changes: DataFrame, sink: str, checkpoint: str) -> None:
+    """Run the stream ``changes`` (``CHANGE``) over everything available: the signed amounts (tid, cents) go to ``sink``."""
+    cents = (F.col("amount") * F.when(F.col("kind") == "refund", -100).otherwise(100)).cast("long")
+    deltas = (changes.select("kind", "key", "seq", "op", "tid", cents.alias("cents")).groupBy("kind", "key")
+              .applyInPandasWithState(_apply_changes, "tid long, cents long", "seq long, tid long, cents long", "append", "NoTimeout"))
+    q = (deltas.writeStream.outputMode("append").format("parquet").option("path", sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def run_changes(spark: SparkSession, source: str, base: str) -> str:
+    """Bring the totals under ``base`` up to date with the change files (``CHANGE``) in ``source``, from where the last run
+    left off, and return the sink of the totals."""
+    keep_rows(spark.readStream.schema(CHANGE).parquet(source), f"{base}/amounts", f"{base}/_rows")
+    amounts = spark.readStream.schema("tid long, cents long").parquet(f"{base}/amounts")
+    keep_totals(amounts.select("tid", (F.col("cents").cast("decimal(18,0)") / 100).cast(MONEY).alias("amount")), f"{base}/state", f"{base}/_totals")
     return f"{base}/state"
 
 
@@ -82,9 +111,33 @@ def compact(spark: SparkSession, sink: str, into: str) -> str:
     return into
 
 
-def stream_net_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D9 end to end: every invoice with its streamed total_paid (0 when nothing arrived)."""
-    sink = run_stream(spark, sf_dir)
-    inv = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("tid"))
-    return inv.join(current_totals(spark, sink), "tid", "left").select(
+def change_feed(t: dict[str, DataFrame]) -> list[DataFrame]:
+    """Two parts of changes that end in the given payments and refunds: rows entered wrongly or on another invoice and
+    corrected later, rows entered and deleted, rows deleted and entered again, a change that comes late."""
+    def parts(df: DataFrame, key: str, amount: str) -> list[DataFrame]:
+        k, own = F.col(key), [F.col("tid"), F.col(amount)]
+
+        def change(seq: int, op: str, at=k, tid=own[0], value=own[1]):
+            return F.struct(at.alias(key), F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), tid.cast("long").alias("tid"), value.cast(MONEY).alias(amount))
+
+        wrong, moved, late, again, ghost = k % 3 == 0, k % 5 == 0, k % 4 == 3, k % 7 == 2, -k - 1
+        none = F.lit(None)
+        first = [F.when(~late, change(1, "insert", tid=F.when(moved, own[0] + 1).otherwise(own[0]), value=F.when(wrong, own[1] + 10).otherwise(own[1]))),
+                 F.when(k % 11 == 0, change(1, "insert", ghost))]
+        later = [F.when(~late & (wrong | moved), change(2, "update")), F.when(k % 11 == 0, change(2, "delete", ghost, none, none)),
+                  F.when(again, change(3, "delete", k, none, none)),
+                 F.when(late & ~again, change(4, "insert")), F.when(again, change(4, "insert")), F.when(~late & wrong, change(1, "update", value=own[1] + 99))]
+        return [df.select(F.explode(F.array_compact(F.array(*p))).alias("c")).select("c.*") for p in (first, later)]
+
+    return [change_rows(p, r) for p, r in zip(parts(t["payments"], "pid", "payment_amount"), parts(t["refunds"], "refid", "refund_amount"))]
+
+
+def stream_net_paid(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+    """D9 end to end: the change feed of ``t`` arrives in two parts, the streams stop and start again between them; every
+    invoice with its streamed total_paid (0 when nothing arrived)."""
+    base = f"{checkpoint_dir(spark)}/net_paid-{uuid.uuid4().hex}"
+    for part in change_feed(t):
+        part.write.mode("append").parquet(f"{base}/changes")
+        sink = run_changes(spark, f"{base}/changes", base)
+    return t["transactions"].select("tid").join(current_totals(spark, sink), "tid", "left").select(
         "tid", F.coalesce("total_paid", F.lit(0).cast(MONEY)).cast(MONEY).alias("total_paid"))
