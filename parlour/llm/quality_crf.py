@@ -17,7 +17,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 2500  # documents the field is fitted on, at most
@@ -165,15 +165,20 @@ def held_out(id_col, folds: int, fold: int):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
                 sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> dict:
-    """Fit on at most ``sample_docs`` of the labelled documents, taken in the order of a hash of their identifier.
+    """Fit on at most ``sample_docs`` of the labelled documents and ``sample_lines`` of their lines, taken in the order of a
+    hash of their identifier; a document with over a tenth of these lines is passed over.
 
-    Null labels and identifiers are left out. The sample (bounded, so broadcast) selects its texts in one
-    scan; only their line features reach the driver."""
+    Null labels and identifiers are left out. The sample (bounded, so broadcast) selects its texts; lines are counted
+    in Spark, so that only line features within the bound reach the driver."""
     lab = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("lab_y"))
            .orderBy(F.xxhash64("lab_id"), "lab_id").limit(sample_docs))
     rows = (docs.select(F.col(id_col).alias("lab_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .join(F.broadcast(lab), "lab_id"))
+    size = rows.groupBy("lab_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("lines")).filter(F.col("lines") <= sample_lines // 10)
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("lab_id"), "lab_id"))  # of the sample: at most sample_docs rows
+    rows = rows.join(F.broadcast(size.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_lines).select("lab_id")), "lab_id")
+    id_type = dict(rows.dtypes)["lab_id"]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,13 +188,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                                 "x": [x[e - k : e].astype(np.float32).tobytes() for e, k in zip(ends, n)],
                                 "size": [size[e - k : e].tobytes() for e, k in zip(ends, n)]})
 
-    got = rows.mapInPandas(features, "lab_id long, y int, x binary, size binary").toPandas().sort_values(["lab_id", "x"], ignore_index=True)
+    got = rows.mapInPandas(features, f"lab_id {id_type}, y int, x binary, size binary").toPandas().sort_values(["lab_id", "x"], ignore_index=True)
     dim = 3 * N_OWN + 1
     parts = [np.frombuffer(b, np.float32).reshape(-1, dim) for b in got["x"]]
     n = np.array([len(p) for p in parts], np.int64)
-    fits = int(np.searchsorted(np.cumsum(n), sample_lines, "right"))
-    x = np.concatenate(parts[:fits]) if fits else np.zeros((0, dim), np.float32)
-    return calibrated(fit_crf(x, n[:fits], got["y"].to_numpy(np.int64)[:fits]), parts[:fits], got["size"][:fits], got["y"].to_numpy(float)[:fits])
+    x = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
+    return calibrated(fit_crf(x, n, got["y"].to_numpy(np.int64)), parts, got["size"], got["y"].to_numpy(float))
 
 
 def calibrated(model: dict, parts: list[np.ndarray], sizes, y: np.ndarray) -> dict:

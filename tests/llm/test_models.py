@@ -161,3 +161,14 @@ def test_held_out_is_the_crc32_of_the_identifier_as_text(spark):
 
     rows = spark.range(50).select("id", held_out(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def test_quality_of_string_identifiers_and_an_overlong_document(spark):
+    """Identifiers of any type; a document beyond the bound on lines is passed over, and the others are still learnt from."""
+    good, bad = "The old mill stands by the river and turns slowly.\n", "$$$ >>> 0x9f ### ||| 77 !!\n"
+    rows = [(f"d{i}", (good if i % 2 else bad) * 6, i % 2) for i in range(80)] + [("long", bad * 500, 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, quality int")
+    model = fit_quality(docs, labels, sample_lines=2000)
+    got = {r.doc_id: r.score for r in quality_scores(docs, model).collect()}
+    assert min(got[f"d{i}"] for i in range(1, 80, 2)) > 0.5 > max(got[f"d{i}"] for i in range(0, 80, 2))
