@@ -51,8 +51,9 @@ def billlevel_discount_change(t: dict[str, DataFrame], changes: DataFrame) -> Da
 
     Invoices without a change keep their discount; only changed invoices are returned.
     """
+    items = t["transaction_items"].join(changes.select("tid"), "tid", "left_semi")  # no item of another invoice is summed
     j = changes.select("tid", F.col("billlevel_discount").cast(MONEY).alias("new_bill")).join(
-        t["transactions"].select("tid"), "tid", "inner").join(item_sums(t), "tid", "left")
+        t["transactions"].select("tid"), "tid", "inner").join(item_sums({"transaction_items": items}), "tid", "left")
     return j.select(
         "tid", F.col("new_bill").alias("billlevel_discount"),
         (F.coalesce(F.col("items_discount"), _zero()) + F.coalesce(F.col("new_bill"), _zero())).cast(MONEY)

@@ -26,7 +26,7 @@ def active_transactions(t: dict[str, DataFrame]) -> DataFrame:
     """L1: open invoices (pending/partial/paid, no exit) with customer, expected exit = latest
     scheduled end of their items, and what is still owed."""
     tx = t["transactions"].where(F.col("status").isin(*OPEN) & F.col("exit_time").isNull())
-    exp = t["transaction_items"].groupBy("tid").agg(F.max("scheduled_end").alias("expected_exit"))
+    exp = t["transaction_items"].join(tx.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.max("scheduled_end").alias("expected_exit"))
     j = tx.join(t["customers"].select("cid", "name"), "cid").join(exp, "tid", "left")
     return j.select("tid", "cid", "name", "entry_time", "expected_exit",
                     outstanding_col(F.col("total_cost"), F.col("total_discount"), F.col("total_paid")).alias("outstanding"),

@@ -66,24 +66,26 @@ def therapist_period_stats(t: dict[str, DataFrame], as_of) -> DataFrame:
     return out.select(*cols)
 
 
-def therapist_revenue(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False) -> DataFrame:
-    """Month-to-date revenue of ended items per employee holding a therapist/beautician/doctor
-    role, zero kept. As in the reference an employee with two such roles counts twice, and the
-    invoice status is not applied; ``dedupe_roles=True`` counts each employee once."""
+def _board(t: dict[str, DataFrame], as_of) -> DataFrame:
+    """(eid, work_name, n_roles) of the employees on the board: one row each."""
     d = today(as_of)
     e = t["employees"].where(employed(F.col("employment_end"), d, inclusive=True)).select("eid", "work_name")
     rd = t["role_definition"].where(F.greatest(*[F.lower("role_type").contains(k) for k in LEADERBOARD_ROLES]))
     r = t["roles"].where(role_active(F.col("start_date"), F.col("end_date"), d)).join(rd, "rdid", "left_semi")
-    roles_per_eid = r.groupBy("eid").agg(F.count(F.lit(1)).alias("n_roles"))
-    if dedupe_roles:
-        roles_per_eid = roles_per_eid.select("eid", F.lit(1).cast("long").alias("n_roles"))
+    return e.join(r.groupBy("eid").agg(F.count(F.lit(1)).alias("n_roles")), "eid")
+
+
+def therapist_revenue(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False) -> DataFrame:
+    """Month-to-date revenue of ended items per employee holding a therapist/beautician/doctor
+    role, zero kept. As in the reference an employee with two such roles counts twice, and the
+    invoice status is not applied; ``dedupe_roles=True`` counts each employee once."""
     ti = t["transaction_items"].where(
         (F.col("actual_start") >= ts_lit(period_starts(as_of)["month"])) & F.col("actual_end").isNotNull())
     # aggregate items first (one row per therapist), then multiply by the role fan-out
     per = ti.groupBy(F.col("therapist_eid").alias("eid")).agg(F.sum(_net()).alias("rev"))
-    j = e.join(roles_per_eid, "eid").join(per, "eid", "left")
-    return j.select("eid", "work_name",
-                    (F.coalesce("rev", F.lit(0).cast(MONEY)) * F.col("n_roles")).cast("decimal(24,2)").alias("revenue"))
+    n_roles = F.lit(1).cast("long") if dedupe_roles else F.col("n_roles")
+    return _board(t, as_of).join(per, "eid", "left").select("eid", "work_name",
+                    (F.coalesce("rev", F.lit(0).cast(MONEY)) * n_roles).cast("decimal(24,2)").alias("revenue"))
 
 
 def leaderboard(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False) -> DataFrame:
@@ -121,7 +123,7 @@ def leaderboard_gaps(t: dict[str, DataFrame], as_of, dedupe_roles: bool = False)
         .otherwise(F.format_string("Needs $%.2f more", gap8k)).alias("bonus_status"),
         (F.col("rank") == 1).alias("is_leader"))
     # fixed values: what an employee who is not on the board sees
-    absent = t["employees"].select("eid", "work_name").join(board.select("eid"), "eid", "left_anti")
+    absent = t["employees"].select("eid", "work_name").join(_board(t, as_of).select("eid"), "eid", "left_anti")
     zero, none, n = F.lit(0.0), F.lit(None).cast("double"), F.lit(0).cast("long")
     return board.unionByName(absent.select(
         "eid", "work_name", zero.alias("revenue"), n.alias("rank"), n.alias("total_therapists"), zero.alias("leader_revenue"),
