@@ -9,13 +9,14 @@ without the counts of its part of the labelled rows.
 
 Scale: a letter gram is 6 bytes packed in a long, so the counts are one combined aggregate over longs (each
 task sends its distinct grams once, however frequent they are). Lower orders follow from the gram table alone.
-All counts are exact and stay in Spark tables that grow with the input. Each distinct word of the documents is
-given its ratio once, by joins on its grams; nothing of the model is collected or broadcast but the logistic
-function's few weights and the bounded sample that they are fitted on.
+All counts are exact and stay in Spark tables that grow with the input. Each distinct gram of a chunk of documents is
+given its ratio by a join; nothing of the model is collected or broadcast but the logistic function's few weights and
+the bounded sample that they are fitted on.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -23,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlour.llm.common import written
+from parlour.llm.common import dropped, written
 
 ORDER = 6  # letters of a gram, the word's edges included
 SHARED = 2  # orders up to this one are shared by the classes
 DISCOUNT = 0.75
 RATIO_UNIT = 2.0**-24  # ratios are whole numbers of it, so that sums do not depend on the order of rows
+PORTION_CHARS = 2_000_000  # texts whose grams are counted together, about
 CHUNK_CHARS = 8_000_000  # texts whose words are listed together, at most (but one text at least)
-SALTS = 16
 CALIBRATION_ROWS = 4000  # labelled rows on which the logistic function is fitted, at most
 FOLDS = 4  # a calibration row is scored without the counts of its fold
 TOP = 3
@@ -58,27 +59,41 @@ def gram_positions(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return gram[real], np.minimum(depth[real] + 1, ORDER), word[real]
 
 
+def _word_counts(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of texts and how often each occurs."""
+    count: Counter = Counter()
+    for t in texts:
+        count.update(words(t))
+    return list(count), np.fromiter(count.values(), np.int64, len(count))
+
+
 def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, class) counts; equal grams of a batch are summed before they leave the task. Class -1: all texts."""
+    """(gram, class) counts, made of the distinct words of some texts at a time. Class -1: all texts, and the grams
+    that the shared orders need."""
     for b in batches:
         for cls, part in b.groupby("cls", sort=True):
-            texts, chunk, size, sums = part["text"].tolist(), [], 0, []
-            for i, t in enumerate(texts):
-                chunk.append(t)
-                size += len(t)
-                if size >= 1_000_000 or i + 1 == len(texts):
-                    ws = [w for x in chunk for w in words(x)]
-                    chunk, size = [], 0
-                    if ws:
-                        g, _, _ = gram_positions(ws)
-                        if cls < 0:
-                            short = g >> (8 * (SHARED + 1)) == 0
-                            g = np.where(short, g, g & ((1 << (8 * (SHARED + 1))) - 1))
-                        sums.append(np.unique(g, return_counts=True))
-            if sums:
-                u, at = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([x for _, x in sums]), len(u)).astype(np.int64)
-                yield pd.DataFrame({"cls": np.int32(cls), "gram": u, "n": n})
+            for texts in _portions(part["text"].tolist()):
+                ws, n = _word_counts(texts)
+                if not ws:
+                    continue
+                g, _, w = gram_positions(ws)
+                if cls < 0:
+                    short = g >> (8 * (SHARED + 1)) == 0
+                    g = np.where(short, g, g & ((1 << (8 * (SHARED + 1))) - 1))
+                u, at = np.unique(g, return_inverse=True)
+                yield pd.DataFrame({"cls": np.int32(cls), "gram": u, "n": np.bincount(at, n[w], len(u)).astype(np.int64)})
+
+
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Texts of PORTION_CHARS together, about."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < PORTION_CHARS:
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
 
 
 def _lower(t: DataFrame, order: int, values: list[str]) -> DataFrame:
@@ -114,7 +129,9 @@ def fit_counts(texts: DataFrame, labelled: DataFrame) -> dict:
               .groupBy("gram").agg(F.sum("n").alias("n")))
     shared = written(shared, "op8-shared")
     for k in range(SHARED, 0, -1):
-        shared = written(_lower(shared, k, ["n"]), "op8-shared")
+        above, shared = shared, written(_lower(shared, k, ["n"]), "op8-shared")
+        if k == SHARED:
+            dropped(above)
         tables[k] = shared.select("gram", *[F.col("n").alias(v) for v in values])
     return tables
 
@@ -125,13 +142,13 @@ def _of_length(k: int) -> Column:
 
 
 def gram_ratios(grams: DataFrame, tables: dict, models: list[int]) -> DataFrame:
-    """(gram, r) for distinct ``grams`` (gram): of each model, log P(last letter | those before it, toxic) less the same
+    """(gram, r0, r1, ...) for distinct ``grams`` (gram): of each model, log P(last letter | those before it, toxic) less the same
     for ordinary, in units of RATIO_UNIT. One order after the other, each gram meets its own counts, those of its history
     and the estimate of its suffix; a history has at most 256 grams and a suffix 256 extensions, so no key is hot."""
     suffixes = [F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)) for k in range(1, ORDER)]
     need = written(grams.select(F.explode(F.array("gram", *suffixes)).alias("gram")).distinct(), "op8-suffixes")
     values = [v for j in models for v in _names(j)]
-    every, lower = None, None
+    every, lower, made = None, None, [need]
     for k in range(1, ORDER + 1):
         own = tables[k].filter(_of_length(k)).select("gram", *values)
         hist = own.groupBy(F.shiftright("gram", 8).alias("hist")).agg(
@@ -144,47 +161,22 @@ def gram_ratios(grams: DataFrame, tables: dict, models: list[int]) -> DataFrame:
         p = [F.when(F.col(f"t{v}") > 0, F.least(F.greatest(F.coalesce(v, F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"t{v}"), F.lit(1.0))
                     + DISCOUNT * F.col(f"k{v}") / F.col(f"t{v}") * F.col(f"l{v}")).otherwise(F.col(f"l{v}")).alias(f"p{v}") for v in values]
         at = written(at.select("gram", *p), "op8-order")
+        made.append(at)
         lower = at.select(F.col("gram").alias("suffix"), *[F.col(f"p{v}").alias(f"l{v}") for v in values])
         every = at if every is None else every.unionByName(at)
     least = lambda v: F.log(F.greatest(F.col(f"p{v}"), F.lit(1e-12)))
     ratio = [F.round((least(n1) - least(n0)) / RATIO_UNIT).cast("long") for n0, n1 in map(_names, models)]
-    return every.select("gram", F.array(*ratio).alias("r"))
-
-
-def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        at = 0
-        texts = b["word"].tolist()
-        while at < len(texts):  # about 1 MB at a time
-            end, size = at, 0
-            while end < len(texts) and size < 1_000_000:
-                size += len(texts[end])
-                end += 1
-            g, _, w = gram_positions([t.encode("utf-8", "replace") for t in texts[at:end]])
-            pairs, n = np.unique(np.stack([w, g]), axis=1, return_counts=True) if size > 100_000 and end - at == 1 else (np.stack([w, g]), 1)
-            yield pd.DataFrame({"word": b["word"].iloc[at:end].to_numpy()[pairs[0]], "gram": pairs[1], "n": n})
-            at = end
-
-
-def word_ratio_table(vocabulary: DataFrame, tables: dict, models: list[int]) -> DataFrame:
-    """(word, r) for distinct words (word): log P(word | toxic) - log P(word | ordinary) of each model in units of RATIO_UNIT.
-
-    Grams of two or three bytes at a word's opening edge are shared by very many words: their ratios are dealt over SALTS parts."""
-    parts = written(vocabulary.mapInPandas(_word_grams, "word string, gram long, n long"), "op8-word-grams")
-    ratios = gram_ratios(parts.select("gram").distinct(), tables, models)
-    short = F.shiftright("gram", 24) == 0
-    spread = F.when(short, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int")
-    copies = F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return (parts.withColumn("salt", spread).join(ratios.withColumn("salt", F.explode(copies)), ["gram", "salt"])
-            .groupBy("word").agg(F.array(*[F.sum(F.col("r")[j] * F.col("n")) for j in range(len(models))]).alias("r")))
+    out = written(every.select("gram", *[r.alias(f"r{i}") for i, r in enumerate(ratio)]), "op8-ratios")
+    dropped(*made)
+    return out
 
 
 def word_ratios(ws: list[bytes], tables: dict) -> np.ndarray:
     """The ratio of each of a few words in model 0."""
-    texts = [w.decode("utf-8", "replace") for w in ws]
+    g, _, w = gram_positions(ws)
     spark = tables[ORDER].sparkSession
-    got = {r["word"]: r["r"][0] for r in word_ratio_table(spark.createDataFrame([(t,) for t in set(texts)], "word string"), tables, [0]).collect()}
-    return np.array([got[t] for t in texts], np.float64) * RATIO_UNIT
+    got = {r["gram"]: r["r0"] for r in gram_ratios(spark.createDataFrame([(int(x),) for x in np.unique(g)], "gram long"), tables, [0]).collect()}
+    return np.bincount(w, [got[x] for x in g.tolist()], len(ws)) * RATIO_UNIT
 
 
 def _counted_words(texts: list[str]) -> tuple[list[bytes], str]:
@@ -200,7 +192,8 @@ def _counted_words(texts: list[str]) -> tuple[list[bytes], str]:
 
 
 def _chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """For each text the chunk (a run of texts of one task) and its counted words; on a chunk's first text the chunk's words."""
+    """For each text the chunk (a run of texts of one task), its place there and its counted words; on a chunk's first text
+    the chunk's words."""
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
@@ -212,10 +205,10 @@ def _chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 size += len(texts[end])
                 end += 1
             counts, ws = _counted_words(texts[at:end])
-            frames.append(pd.DataFrame({"chunk": chunk, "counts": counts, "words": [ws] + [None] * (end - at - 1)}))
+            frames.append(pd.DataFrame({"chunk": chunk, "place": np.arange(end - at), "counts": counts, "words": [ws] + [None] * (end - at - 1)}))
             chunk += 1
             at = end
-        yield pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"chunk": [], "counts": [], "words": []})
+        yield pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"chunk": [], "place": [], "counts": [], "words": []})
 
 
 def _features(counts: bytes, ratios: np.ndarray) -> tuple:
@@ -230,39 +223,43 @@ def _features(counts: bytes, ratios: np.ndarray) -> tuple:
     return whole * RATIO_UNIT / total, whole * RATIO_UNIT / np.sqrt(total), np.clip(most, 0, 12).sum() / TOP, np.log1p(total)
 
 
+def _chunk_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(chunk, gram): the distinct grams of each chunk's words."""
+    for b in batches:
+        for chunk, ws in zip(b["chunk"].tolist(), b["words"]):
+            g, _, _ = gram_positions(ws.encode("utf-8", "replace").split(b" "))
+            yield pd.DataFrame({"chunk": chunk, "gram": np.unique(g)})
+
+
 def document_features(docs: DataFrame, tables: dict, models: list[int]) -> DataFrame:
     """(row, x): length-normalised ratios of each text of ``docs`` (row, text, at), in the model ``models[at]``: per word, per root of words, of its
     TOP words, and the logarithm of the number of words.
 
-    A chunk's texts keep numbers for their words; the chunk's words meet the ratios in a join on the word, to which a
-    word comes once a chunk however frequent it is, and go back to the chunk's texts in one array."""
-    chunked = F.pandas_udf(_chunked, "struct<chunk: long, counts: binary, words: string>").asNondeterministic()
-    held = written(docs.select("row", "at", chunked("text").alias("c")).select("row", "at", "c.chunk", "c.counts", "c.words"), "op8-counted")
-    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", F.posexplode(F.split("words", " ")).alias("no", "word"))
-    ratios = word_ratio_table(listed.select("word").distinct(), tables, models)
-    arrays = (listed.join(ratios, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("no", "r"))).alias("a"))
-              .select("chunk", F.flatten(F.transform("a", lambda e: e["r"])).alias("ratios")))
-    arrays = written(arrays, "op8-ratios")
-
-    @F.pandas_udf("array<double>")
-    def features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        held_ratios = np.zeros((0, len(models)))
-        for counts, given, model in batches:
-            out = []
-            for c, g, j in zip(counts, given, model):
-                if g is not None:  # a chunk's array comes before its texts
-                    held_ratios = np.asarray(g, np.float64).reshape(-1, len(models))
-                    out.append(None)
-                else:
-                    out.append(_features(c, held_ratios[:, int(j)]))
-            yield pd.Series(out)
-
-    none = F.lit(None)
-    both = (held.select("chunk", F.lit(1).alias("kind"), "row", "at", "counts", none.cast("array<bigint>").alias("ratios"))
-            .unionByName(arrays.select("chunk", F.lit(0).alias("kind"), none.cast(held.schema["row"].dataType).alias("row"), F.lit(0).alias("at"), none.cast("binary").alias("counts"), "ratios")))
-    # the function follows the order of the rows: no filter may pass it, no sort be dropped before it
-    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return ordered.select("kind", "row", features.asNondeterministic()("counts", "ratios", "at").alias("x")).filter("kind = 1").select("row", "x")
+    A chunk's texts keep numbers for their words. The distinct grams of a chunk meet the ratios in a join on the gram, to
+    which a gram comes once a chunk however frequent it is; ratios and texts of a chunk then meet in one group, bounded by
+    the chunk, and the features go back to the rows by chunk and place."""
+    chunked = F.pandas_udf(_chunked, "struct<chunk: long, place: long, counts: binary, words: string>").asNondeterministic()
+    held = written(docs.select("row", "at", chunked("text").alias("c")).select("row", "at", "c.*"), "op8-counted")
+    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", "words")
+    grams = written(listed.mapInPandas(_chunk_grams, "chunk long, gram long"), "op8-chunk-grams")
+    ratios = gram_ratios(grams.select("gram").distinct(), tables, models)
+    names = [f"r{j}" for j in range(len(models))]
+
+    def features(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("place", ignore_index=True)
+        ws = (texts["words"][0] or "").encode("utf-8", "replace").split()
+        ratio = np.zeros((len(names), len(ws)))
+        if ws:
+            g, _, w = gram_positions(ws)
+            given = given.sort_values("gram", ignore_index=True)
+            where = np.searchsorted(given["gram"].to_numpy(), g)
+            ratio = np.stack([np.bincount(w, given[r].to_numpy()[where], len(ws)) for r in names])  # whole numbers: exact in any order
+        x = [_features(c, ratio[int(j)]) for c, j in zip(texts["counts"], texts["at"])]
+        return pd.DataFrame({"chunk": texts["chunk"], "place": texts["place"], "x": x})
+
+    met = (held.select("chunk", "place", "at", "counts", "words").groupBy("chunk")
+           .cogroup(grams.join(ratios, "gram").groupBy("chunk")).applyInPandas(features, "chunk long, place long, x array<double>"))
+    return held.select("row", "chunk", "place").join(met, ["chunk", "place"]).select("row", "x")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> dict:
