@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlour.functions.listing import in_order
 from parlour.plans.oracle_views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,7 @@ def money_to_double(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return money_to_double(fn(spark, sf_dir))
+            return in_order(money_to_double(fn(spark, sf_dir)), name)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

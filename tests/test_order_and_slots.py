@@ -130,3 +130,25 @@ def test_a_slot_is_free_to_an_edit_whose_item_alone_takes_it(spark, t):  # noqa:
     listed = {(r.req_id, r.eid) for r in sl.edit_candidate_therapists(t, e, now).collect()}
     assert {(i, eid) in listed for i in (1, 2)} == {False} and {(i, eid) in listed for i in (3, 4)} == {True}
     assert str(eid) not in free[at(600)].split(",") and str(eid) in free[at(900)].split(",")
+
+
+def test_a_thousand_instants_equal_single_answers(spark, t):  # noqa: F811
+    from parlour.operators import live, live_at
+
+    rng = random.Random(12)
+    rows = [item(i, rng.choice((1, 2, 3)), at(m := rng.randrange(0, 2000)), at(m + rng.choice((0, 30, 600))), None, at(m) if i % 9 == 0 else None, eid=rng.choice((1, 2))) for i in range(60)]
+    t["transaction_items"] = _df(spark, "transaction_items", rows)
+    asked = [at(rng.randrange(-10, 2700)) for _ in range(1000)] + [None]
+    df = spark.createDataFrame([(a,) for a in asked], "at timestamp_ntz")
+    going = {a: {r[0] for r in rows if r[7] is None and r[4] <= a <= r[5]} for a in asked if a}
+    got = {}
+    for r in live_at.busy_at(t, df).collect():
+        got.setdefault(r.at, set()).add(r.ttid)
+    assert got == {a: v for a, v in going.items() if v}
+    assert {r.at: r.in_progress for r in live_at.busy_counts_at(t, df).collect()} == {a: len(v) for a, v in going.items()}
+    free = {r.at: r.free for r in live_at.rooms_available_at(t, df).collect()}
+    staff = {r.at: r.free for r in live_at.staff_available_at(t, df).collect()}
+    for a in rng.sample(sorted(going), 3):
+        assert free[a] == ",".join(str(r.rid) for r in live.rooms_available_now(t, a).collect())
+        assert staff[a] == ",".join(str(r.eid) for r in live.staff_available_now(t, a).collect())
+        assert got.get(a, set()) == {r.ttid for r in live.busy_now(t, a).collect()}

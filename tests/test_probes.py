@@ -15,7 +15,7 @@ from parlour.operators import staff as st
 from parlour.operators import therapist as th
 from parlour.sources.fixtures import ROLE_TYPES
 from parlour.sources.sinks import json_ready, json_rows
-from parlour.sources.tables import load_tables, save_tables
+from parlour.sources.tables import key_ranges, load_tables, save_tables
 from parlour.streaming.net_paid import compact, current_totals, keep_totals, signed_changes
 
 T0 = datetime(2002, 1, 1, 9)
@@ -163,3 +163,16 @@ def test_streamed_totals_over_files_a_restart_and_corrections(spark, tmp_path):
     refunds = spark.createDataFrame([(1, Decimal("3"))], "tid long, refund_amount decimal(10,2)")
     rows = signed_changes(spark.createDataFrame([(1, Decimal("4"))], "tid long, payment_amount decimal(10,2)"), refunds).groupBy("tid").agg(F.sum("amount").alias("s")).collect()
     assert [(r.tid, float(r.s)) for r in rows] == [(1, 1.0)]
+
+
+@pytest.mark.parametrize("low,high,n", [(1, 100, 7), (-5, 5, 3), (0, 2, 8), (10, 10, 4), (None, None, 4)])
+def test_ranges_of_a_database_key_hold_every_row_once(low, high, n):
+    import sqlite3
+
+    ranges = key_ranges("k", low, high, n)
+    db = sqlite3.connect(":memory:")  # SQL of the standard library alone: no server
+    db.execute("CREATE TABLE t (k INTEGER)")
+    rows = [None, -1000, 1000, *range(low or 0, (high or 0) + 1)]
+    db.executemany("INSERT INTO t VALUES (?)", [(k,) for k in rows])
+    got = [k for r in ranges for (k,) in db.execute(f"SELECT k FROM t WHERE {r}")]
+    assert len(ranges) <= n and sorted(got, key=str) == sorted(rows, key=str)
