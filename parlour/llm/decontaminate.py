@@ -23,13 +23,17 @@ from pyspark.sql import functions as F
 
 from parlour.llm.common import written
 
-# Fixed masks (1: looked at), of weight 8 over 13 tokens; the third looks at 8 tokens side by side.
-MASKS = ("1101100110101", "1011010110011", "11111111")
+# Fixed masks (1: looked at) and the item lengths, in tokens, that they serve. Three of weight 8 serve all items of 8 tokens
+# or more; three of weight 5 join them for short items, so that every choice of up to a fifth substituted tokens leaves a
+# seed intact. Items of 3 to 7 tokens are hashed whole.
+LONGEST_SHORT = 31
+MASKS = (("1101100110101", 8, None), ("1011010110011", 8, None), ("11111111", 8, None),
+         ("111011", 8, LONGEST_SHORT), ("11000111", 8, LONGEST_SHORT), ("1101101", 8, LONGEST_SHORT),
+         *(("1" * n, n, n) for n in range(3, 8)))
 SPAN = 13
 REACH = 32  # tokens verified either side of a hit
 MIN_SHARE = 0.8
 MIN_TOKENS = 13  # of a verified stretch; an item with fewer must match whole
-SHORTEST = 8  # items with fewer tokens carry too little to be searched for
 FILTER_BITS = 23
 SEED_SALTS, SALTS = 4, 16  # parts over which items' seeds (with their tokens) and verified windows are dealt
 
@@ -63,7 +67,7 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
     """The mask's hash at every token position at which it fits."""
-    m = MASKS[mask]
+    m = MASKS[mask][0]
     n = len(tokens) - len(m) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -102,12 +106,12 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for item, e, k in zip(b["item"], ends, n):
             toks = h[e - k : e]
-            if k >= SHORTEST:
-                for m in range(len(MASKS)):
+            for m, (shape, least, most) in enumerate(MASKS):
+                if least <= k <= (most or k):
                     for at, s in enumerate(seed_hashes(toks, m).view(np.int64).tolist()):
                         lo = max(0, at - REACH)
-                        rows.append((s, item, at - lo, toks[lo : at + len(MASKS[m]) + REACH].tobytes(), len(MASKS[m]), int(k)))
-        yield pd.DataFrame(rows, columns=["seed", "item", "i_at", "i_tokens", "span", "i_n"])
+                        rows.append((s, item, at - lo, toks[lo : at + len(shape) + REACH].tobytes(), len(shape), int(k), m))
+        yield pd.DataFrame(rows, columns=["seed", "item", "i_at", "i_tokens", "span", "i_n", "mask"])
 
 
 class Filter:
@@ -145,26 +149,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, equal_tokens, verified_tokens) for every document and item with a verified
     overlap: the stretch with the most equal tokens. ``text_key`` is the hash of the text, which tells rows of
-    one identifier apart. Null texts and texts or items too short to hold a seed never match; a null item_id
+    one identifier apart. Null texts and texts or items too short to hold a seed (under 3 tokens) never match, items of 3 to 7 tokens word for word; a null item_id
     is an item like any other; repeated rows give one result."""
     item_type = dict(benchmark.dtypes)[item_col]
     seeds = written(benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-                    .mapInPandas(_item_rows, f"seed long, item {item_type}, i_at int, i_tokens binary, span int, i_n int"), "op7-seeds")
+                    .mapInPandas(_item_rows, f"seed long, item {item_type}, i_at int, i_tokens binary, span int, i_n int, mask int"), "op7-seeds")
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # those that some item has
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(seeds)))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Filter(np.unpackbits(bits.value).view(bool))
         for b in batches:
             texts = b["text"].tolist()
-            for i0, i1 in _chunks(texts, 1_000_000):
+            for i0, i1 in _chunks(texts, 500_000):
                 h, n = token_hashes(texts[i0:i1])
                 ends = np.cumsum(n)
                 rows = []
-                for m in range(len(MASKS)):
+                for m in masks:
                     s = seed_hashes(h, m)
                     at = held.has(s)
                     doc = np.searchsorted(ends, at, "right")
-                    span = len(MASKS[m])
+                    span = len(MASKS[m][0])
                     for p, d in zip(at.tolist(), doc.tolist()):
                         lo, hi = ends[d] - n[d], ends[d]
                         if p + span <= hi:  # not across two documents

@@ -1,5 +1,6 @@
 """Operators 7 and 9."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from parlour.llm.decontaminate import MIN_SHARE, decontaminated, seed_hashes, stretch, token_hashes
+from parlour.llm.decontaminate import LONGEST_SHORT, MASKS, MIN_SHARE, decontaminated, seed_hashes, stretch, token_hashes
 from parlour.llm.packing import CAPACITY, default_tokenizer, pack
 from parlour.llm.packing_plan import best_fit, groups_of, plan
 from parlour.llm.token_ids import TokenIds
@@ -28,6 +29,44 @@ def test_masks_ignore_their_zero_positions():
     assert a.tolist() == b.tolist() and token_hashes([])[0].size == token_hashes(["", " . "])[0].size == 0
 
 
+@pytest.mark.parametrize("n", range(8, 21))
+def test_every_permitted_choice_of_substitutions_leaves_a_seed(n):
+    """All choices of up to a fifth of an item's tokens."""
+    lost = 0
+    places = [[a + i for i, c in enumerate(m) if c == "1"] for m, least, most in MASKS if least <= n <= (most or n) for a in range(n - len(m) + 1)]
+    for gone in itertools.combinations(range(n), int((1 - MIN_SHARE) * n + 1e-9)):
+        lost += all(set(gone).intersection(p) for p in places)
+    assert lost == 0
+
+
+@pytest.mark.parametrize("n", [24, 28, LONGEST_SHORT, 40, 60])
+def test_longer_items_seldom_lose_all_seeds(n):
+    rnd = random.Random(n)
+    places = [[a + i for i, c in enumerate(m) if c == "1"] for m, least, most in MASKS if least <= n <= (most or n) for a in range(n - len(m) + 1)]
+    lost = sum(all(set(gone).intersection(p) for p in places) for gone in (rnd.sample(range(n), int((1 - MIN_SHARE) * n + 1e-9)) for _ in range(4000)))
+    assert lost <= (0 if n <= LONGEST_SHORT else 40)
+
+
+def test_short_items_with_substitutions_against_all_diagonals(spark, make_docs):
+    rnd = random.Random(21)
+    items = [words(rnd, n) for n in range(3, 21)]
+    docs = []
+    for w in items * 4:
+        w = list(w)
+        for at in rnd.sample(range(len(w)), int((1 - MIN_SHARE) * len(w) + 1e-9) if len(w) >= 8 else 0):
+            w[at] = "zzzzzz"
+        body = words(rnd, rnd.choice([0, 5, 200]))
+        at = rnd.randint(0, len(body))
+        docs.append(" ".join(body[:at] + w + body[at:]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: set(r.item_ids) for r in decontaminated(make_docs(docs), bench).collect()}
+    for i, t in enumerate(docs):
+        d = t.split(" ")
+        whole = {k for k, w in enumerate(items) for a in range(len(d) - len(w) + 1)
+                 if sum(x == y for x, y in zip(d[a : a + len(w)], w)) >= (MIN_SHARE if len(w) >= 8 else 1) * len(w)}
+        assert whole <= got[i] and i % len(items) in got[i], (i, whole, got[i])
+
+
 def test_stretch_finds_the_longest_tolerant_overlap():
     rnd = np.random.default_rng(1)
     for _ in range(300):
@@ -57,8 +96,8 @@ def test_leaks_with_substitutions_are_found_and_clean_documents_are_not(spark, m
             body[at:at] = w
             want.append([which])
         else:
-            body += items[5] if which == 5 else []  # too short to be searched for
-            want.append([])
+            body += items[5] if which == 5 else []  # five tokens: found word for word
+            want.append([5] if which == 5 else [])
         docs.append(("; " if k % 2 else " ").join(body).title())
     bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(items)] + [(6, None, "x"), (7, "", "x")], "item_id long, text string, window string")
     got = decontaminated(make_docs(docs + [None, ""]), bench).orderBy("doc_id").collect()
