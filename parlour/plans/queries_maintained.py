@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from parlour.functions.temporal import ts_lit
 from parlour.operators import changes as ch
 from parlour.operators import maintained as mt
+from parlour.operators import rollup as ru
 from parlour.plans.queries_staff import STATUS_CASE
-from parlour.plans.registry import register
+from parlour.plans import queries_management, queries_people  # noqa: F401  (their oracles serve here too)
+from parlour.plans.registry import register, register_as
 from parlour.plans.tables import AS_OF, tables
 from parlour.session import checkpoint_dir
 
@@ -101,3 +103,15 @@ register("cascade_delete_transactions", f"""WITH {_asked_sql('transactions', 'ti
 register("cascade_delete_employees", f"""WITH {_asked_sql('employees', 'eid', 'key % 3 = 1')},
 {_met_sql('employees', 'eid', [('roles', 'eid', 'cascade'), ('transactions', 'cashier_eid', 'restrict'), ('transaction_items', 'therapist_eid', 'restrict')])}""")(
     lambda s, d: (lambda t: ch.cascade_delete(t, "employees", _asked(t, "employees", "eid", "key % 3 = 1")))(tables(s, d)))
+
+
+# ---- M2-M4 and T2 from the daily summary -------------------------------------------------
+def _summary(spark, t):
+    path = f"{checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    ru.refresh(t, path)
+    return path
+
+
+for _name in ("service_counts", "revenue", "payment_breakdown", "therapist_period_stats"):
+    register_as(f"{_name}_from_days", _name)(
+        (lambda name: lambda s, d: (lambda t: getattr(ru, name)(s, t, _summary(s, t), AS_OF))(tables(s, d)))(_name))

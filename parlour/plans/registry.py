@@ -35,3 +35,13 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return deco
+
+
+def register_as(name: str, other: str):
+    """Another way to the rows of the query ``other``: its oracle holds for ``name`` as well."""
+    def deco(fn: Callable[[SparkSession, str], DataFrame]):
+        register(name)(fn)
+        ORACLE[name] = ORACLE[other]
+        return fn
+
+    return deco

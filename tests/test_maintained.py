@@ -1,6 +1,7 @@
 """Totals kept current from changes: streamed (D9) and by batches (D2, D4-D6), against recomputation."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -111,3 +112,36 @@ def test_deletions_cascade_or_are_refused(spark, t):  # noqa: F811
     free = ch.after_cascade(ch.after_cascade(t, "transactions", keys(2)), "employees", keys(1, 2))
     assert [r.eid for r in free["employees"].collect()] == [1] and free["roles"].count() == 1
     assert ch.after_cascade(t, "customers", keys(1, 2))["customers"].count() == 1  # customer 1 has invoices
+
+
+def test_a_refresh_of_one_day_reads_that_day_and_changes_it_alone(spark, t, tmp_path):  # noqa: F811
+    from parlour.operators import management as m
+    from parlour.operators import rollup as ru
+    from parlour.operators import therapist as th
+    from parlour.sources.tables import load_tables, save_tables
+
+    now, path = datetime(2002, 1, 10, 12), str(tmp_path / "daily")
+    begin = [now - timedelta(hours=7 * k) for k in range(60)]
+    t["transactions"] = t["transactions"].withColumn("status", F.lit("paid"))
+    t["payments"] = _df(spark, "payments", [(k, 1 + k % 3, ("Cash", "NETS")[k % 2], k + 1, a) for k, a in enumerate(begin)])
+    t["transaction_items"] = _df(spark, "transaction_items", [item(k, 1 + k % 3, a, None, a, a, eid=1 + k % 2) for k, a in enumerate(begin)])
+    ru.refresh(t, path)
+
+    def same(t):
+        rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        for name, module in (("service_counts", m), ("revenue", m), ("payment_breakdown", m), ("therapist_period_stats", th)):
+            assert rows(getattr(ru, name)(spark, t, path, now)) == rows(getattr(module, name)(t, now)), name
+
+    same(t)
+    day = date(2002, 1, 4)
+    moved = {**t, "payments": t["payments"].withColumn("payment_amount", F.when(F.to_date("payment_time") == F.lit(day), F.col("payment_amount") + 100).otherwise(F.col("payment_amount"))),
+             "transaction_items": t["transaction_items"].where(F.to_date("actual_start") != F.lit(day))}
+    save_tables({k: moved[k] for k in ("payments", "transaction_items", "transactions")}, str(tmp_path / "facts"))
+    facts = {k: spark.read.parquet(f"{tmp_path}/facts/{k}.parquet") for k in ("payments", "transaction_items", "transactions")}
+    plan = ru.summed(facts, ru._in_days("payment_time", [day]), ru._in_days("actual_start", [day]))["payments"]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"DataFilters: \[isnotnull\(payment_time#\d+\), \(payment_time#\d+ >= 2002-01-04 00:00:00\), \(payment_time#\d+ < 2", plan), plan
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "daily").rglob("*.parquet")}
+    ru.refresh(moved, path, [day])
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "daily").rglob("*.parquet")}
+    assert {f.parent.name for f in before.items() ^ after.items() for f in [f[0]]} == {"_day=2002-01-04"}
+    same(moved)
