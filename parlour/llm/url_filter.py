@@ -39,21 +39,21 @@ class Rule:
 # The rules as given.
 RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-# A small labelled URL table: words that mark pages a text corpus does not want, and ordinary ones.
-UNWANTED = ("casino", "poker", "slots", "jackpot", "betting", "free-bets", "pills", "pharmacy", "viagra", "cialis", "payday-loans", "casino-win", "cheap-pills",
-            "quick-cash", "xxx", "porn", "adult-videos", "escort", "ads-track", "adserver", "clicktrack", "popunder", "banner-ads", "affiliate-deals",
-            "cheap-watches", "replica-bags", "win-prizes", "lottery", "crypto-doubler", "torrent-warez", "keygen-crack", "spin-win", "adult-x", "adult-chat", "track-ads", "ads-serve", "ad-network", "bet-now",
-            "best-bets", "win-big", "buy-pills", "sex-dates", "hot-singles", "gambling", "roulette", "blackjack", "tracking-pixel", "promo-codes")
-ORDINARY = ("library", "museum", "weather", "gardening", "recipes", "history", "physics", "university", "school", "news", "travel", "music", "theater", "books",
-            "science", "nature", "health", "sports", "letters", "thesis", "thatched", "therapy", "another", "winter", "trackside", "freedom", "better", "station",
-            "ringing", "ended", "other", "notion", "tinker", "herons", "threads", "shore", "theme", "there", "thermal", "father", "mother", "brother", "ether",
-            "gather", "leather", "together", "northern", "southern", "teller", "header", "anther", "zither", "motion", "nation", "mention", "thin", "thing",
-            "third", "thirty", "this", "thistle", "thorn", "thorough", "those", "thought", "thousand", "thread", "three", "thrive", "throne", "through", "thumb",
-            "thunder", "thus", "tooth", "north", "south", "earth", "truth", "hearth", "smooth", "width", "wealth", "birth", "cloth", "growth", "method", "author",
-            "athlete", "atlas", "ocean", "island", "river", "forest", "garden", "castle", "bridge", "paint", "drawing", "cooking", "learning", "teaching", "reading",
-            "writing", "running", "sailing", "kitchen", "family", "village", "capital", "market", "harbor", "engine", "rail", "theory", "hour", "out", "and", "are", "pages",
-            "articles", "houses", "images", "services", "places", "trees", "notes", "stories", "clothes", "waters", "table", "cable", "noble", "trouble", "stable",
-            "visible", "able", "double", "theatre", "thou", "you", "youth", "thesaurus", "ideas", "areas", "seas", "rent", "gentle", "often", "then", "theirs")
+# A small labelled URL table: words of hosts that a text corpus does not want, and of ordinary ones, by subject.
+UNWANTED = ("casino", "poker", "slots", "jackpot", "betting", "best-bets", "bet-now", "roulette", "blackjack", "gambling", "lottery", "win-prizes", "big-win", "spin-to-win",
+            "pills", "buy-pills", "diet-pills", "pharmacy", "viagra", "cialis", "cheap-watches", "cheap-meds", "replica-bags", "payday-loans", "quick-cash", "fast-loans",
+            "crypto-doubler", "xxx", "porn", "adult", "adult-chat", "adult-videos", "escort", "sex-dates", "hot-singles", "ads", "my-ads", "ads-serve", "adserver", "ad-network",
+            "banner-ads", "click-ads", "clicktrack", "track-clicks", "tracking-pixel", "popunder", "affiliate-deals", "promo-codes", "free-spins", "free-money", "spam",
+            "torrent-warez", "keygen-crack")
+ORDINARY = ("library", "museum", "university", "school", "college", "lecture", "reading", "writing", "poetry", "novels", "books", "magazine", "news", "journal", "archive",
+            "weather", "climate", "ocean", "river", "forest", "island", "mountain", "garden", "nature", "birds", "animals", "flowers", "earth", "planets", "astronomy",
+            "science", "physics", "chemistry", "biology", "history", "geography", "philosophy", "language", "grammar", "mathematics", "statistics", "research", "thesis",
+            "health", "hospital", "nursing", "therapy", "nutrition", "recipes", "cooking", "kitchen", "bakery", "restaurant", "coffee", "travel", "railway", "station",
+            "airport", "harbor", "bridge", "castle", "village", "city", "council", "government", "law", "justice", "community", "family", "children", "parents", "friends",
+            "music", "theater", "cinema", "dance", "painting", "drawing", "photography", "design", "fashion", "clothes", "leather", "carpenter", "engine", "software",
+            "computer", "network", "database", "tools", "workshop", "farming", "weaving", "knitting", "sailing", "running", "football", "tennis", "sports", "athletics",
+            "market", "bank", "insurance", "energy", "water", "housing", "rent", "jobs", "teaching", "learning", "another", "together", "north", "south", "father",
+            "mother", "brother", "thought", "method", "author", "nation", "notion", "motion", "table", "stable", "winter", "summer", "morning", "evening", "stories")
 SITES, FORMS = ("www.{w}.example.com", "m.{w}.example.net", "blog.{w}.example.com", "{w}.example.net", "{w}.example.org"), ("/", ".html", "")
 PLACES = ("en", "de", "article")
 
