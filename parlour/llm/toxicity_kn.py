@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlour.llm.bloom import may_hold, members
 from parlour.llm.common import dropped, written
 
 ORDER = 6  # letters of a gram, the word's edges included
@@ -31,7 +32,7 @@ SHARED = 2  # orders up to this one are shared by the classes
 DISCOUNT = 0.75
 RATIO_UNIT = 2.0**-24  # ratios are whole numbers of it, so that sums do not depend on the order of rows
 PORTION_CHARS = 2_000_000  # texts whose grams are counted together, about
-CHUNK_CHARS = 8_000_000  # texts whose words are listed together, at most (but one text at least)
+CHUNK_CHARS = 16_000_000  # texts whose words are listed together, at most (but one text at least)
 CALIBRATION_ROWS = 4000  # labelled rows on which the logistic function is fitted, at most
 FOLDS = 4  # a calibration row is scored without the counts of its fold
 TOP = 3
@@ -292,8 +293,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
            .groupBy(F.col(id_col).alias("lab_id")).agg(F.max(label_col).cast("int").alias("cls")).withColumn("fold", fold))
     keyed = docs.select(F.col(id_col).alias("lab_id"), text)
     few = written(lab.orderBy(F.xxhash64("lab_id", F.lit(7)), "lab_id").limit(calibration_rows), "op8-calibration")
-    # labels grow with the documents: the same shuffled join at every size, never a broadcast
-    tables = fit_counts(docs.select(text), keyed.join(lab.hint("merge"), "lab_id"))
+    # labels grow with the documents: the same shuffled join at every size, never a broadcast, but texts that a filter
+    # of fixed size says have no label stay out of it
+    labelled = may_hold(members(lab.select(F.xxhash64("lab_id").alias("h"))))
+    tables = fit_counts(docs.select(text), keyed.filter(labelled(F.xxhash64("lab_id"))).join(lab.hint("merge"), "lab_id"))
     held = keyed.join(F.broadcast(few), "lab_id").select(F.struct("lab_id", F.col("cls").alias("y")).alias("row"), "text", F.col("fold").alias("at"))
     got = document_features(held, tables, list(range(1, FOLDS + 1)))
     got = got.select("row.lab_id", "row.y", *[F.col("x")[j].alias(f"x{j}") for j in range(4)]).toPandas()
