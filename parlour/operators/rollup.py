@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from parlour.functions.temporal import PERIODS, as_datetime, period_starts, today, ts_lit
 from parlour.operators.management import DONE
-from parlour.sources.schemas import MONEY
+
+SUMMED = "decimal(38,2)"  # sums of money of any number of rows
 
 SCHEMA = {
-    "payments": "payment_method string, known boolean, amount decimal(38,2), n long, _day date",
-    "items": "eid long, known boolean, done boolean, net decimal(38,2), n long, _day date",
+    "payments": f"payment_method string, known boolean, amount {SUMMED}, n long, _day date",
+    "items": f"eid long, known boolean, done boolean, net {SUMMED}, n long, _day date",
 }
 
 
@@ -39,9 +40,9 @@ def summed(t: dict[str, DataFrame], payments: F.Column, items: F.Column) -> dict
     known = F.col("_done").isNotNull().alias("known")
     return {
         "payments": pay.groupBy("payment_method", known, F.to_date("payment_time").alias("_day"))
-        .agg(F.sum("payment_amount").cast("decimal(38,2)").alias("amount"), F.count(F.lit(1)).alias("n")),
+        .agg(F.sum("payment_amount").cast(SUMMED).alias("amount"), F.count(F.lit(1)).alias("n")),
         "items": it.groupBy(F.col("therapist_eid").alias("eid"), known, F.coalesce("_done", F.lit(False)).alias("done"), F.to_date("actual_start").alias("_day"))
-        .agg(F.sum(F.col("cost") - F.col("item_discount")).cast("decimal(38,2)").alias("net"), F.count(F.lit(1)).alias("n")),
+        .agg(F.sum(F.col("cost") - F.col("item_discount")).cast(SUMMED).alias("net"), F.count(F.lit(1)).alias("n")),
     }
 
 
@@ -54,7 +55,8 @@ def refresh(t: dict[str, DataFrame], path: str, days: list[date] | None = None)
         if not whole:
             zero = df.sparkSession.createDataFrame([(d,) for d in sorted(set(days))], "_day date")
             df = df.unionByName(zero, allowMissingColumns=True).fillna(0, ["n"])
-        df.hint("rebalance", "_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(f"{path}/{name}")
+        # a day's rows are at most a few for each therapist or method: days are dealt over all tasks, as each is a file to write
+        df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day").parquet(f"{path}/{name}")
 
 
 def _parts(spark: SparkSession, t: dict[str, DataFrame], path: str, as_of, name: str, open_end: bool = False) -> DataFrame:
@@ -84,14 +86,14 @@ def service_counts(spark: SparkSession, t: dict[str, DataFrame], path: str, as_o
 def revenue(spark: SparkSession, t: dict[str, DataFrame], path: str, as_of) -> DataFrame:
     """M3 from the summary."""
     parts = _parts(spark, t, path, as_of, "payments")
-    return _by_period(parts.agg(*[F.coalesce(F.sum(F.when(f, F.col("amount"))), F.lit(0)).cast(MONEY).alias(p) for p, f in _flags(as_of).items()]), "revenue")
+    return _by_period(parts.agg(*[F.coalesce(F.sum(F.when(f, F.col("amount"))), F.lit(0)).cast(SUMMED).alias(p) for p, f in _flags(as_of).items()]), "revenue")
 
 
 def payment_breakdown(spark: SparkSession, t: dict[str, DataFrame], path: str, as_of) -> DataFrame:
     """M4 from the summary."""
     parts = _parts(spark, t, path, as_of, "payments").where("known AND n > 0")
     tags = F.array_compact(F.array(*[F.when(f, F.lit(p)) for p, f in _flags(as_of).items()]))
-    return parts.select(F.explode(tags).alias("period"), "payment_method", "amount").groupBy("period", "payment_method").agg(F.sum("amount").cast("decimal(20,2)").alias("total"))
+    return parts.select(F.explode(tags).alias("period"), "payment_method", "amount").groupBy("period", "payment_method").agg(F.sum("amount").cast(SUMMED).alias("total"))
 
 
 def therapist_period_stats(spark: SparkSession, t: dict[str, DataFrame], path: str, as_of) -> DataFrame:
@@ -101,4 +103,4 @@ def therapist_period_stats(spark: SparkSession, t: dict[str, DataFrame], path: s
     parts = _parts(spark, t, path, as_of, "items", open_end=True).where("done AND n > 0")
     sums = parts.groupBy("eid").agg(*[a for p, f in flags.items() for a in (F.sum(F.when(f, F.col("n"))).alias(f"{p}_count"), F.sum(F.when(f, F.col("net"))).alias(f"{p}_revenue"))])
     out = t["employees"].select("eid").join(sums, "eid", "left")
-    return out.select("eid", *[c for p in flags for c in (F.coalesce(f"{p}_count", F.lit(0)).cast("long").alias(f"{p}_count"), F.coalesce(f"{p}_revenue", F.lit(0)).cast(MONEY).alias(f"{p}_revenue"))])
+    return out.select("eid", *[c for p in flags for c in (F.coalesce(f"{p}_count", F.lit(0)).cast("long").alias(f"{p}_count"), F.coalesce(f"{p}_revenue", F.lit(0)).cast(SUMMED).alias(f"{p}_revenue"))])

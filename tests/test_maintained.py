@@ -145,3 +145,20 @@ def test_a_refresh_of_one_day_reads_that_day_and_changes_it_alone(spark, t, tmp_
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "daily").rglob("*.parquet")}
     assert {f.parent.name for f in before.items() ^ after.items() for f in [f[0]]} == {"_day=2002-01-04"}
     same(moved)
+
+
+def test_sums_of_a_period_are_wider_than_one_amount(spark, t, tmp_path):  # noqa: F811
+    from parlour.operators import management as m
+    from parlour.operators import rollup as ru
+    from parlour.operators import therapist as th
+
+    now, path, big = datetime(2002, 1, 10, 12), str(tmp_path / "daily"), Decimal("90000000.25")
+    begin = [now - timedelta(hours=20 * k) for k in range(1, 6)]
+    t["transactions"] = t["transactions"].withColumn("status", F.lit("paid"))
+    t["payments"] = _df(spark, "payments", [(k, 1 + k % 3, "Cash", big, a) for k, a in enumerate(begin)])
+    t["transaction_items"] = _df(spark, "transaction_items", [item(k, 1 + k % 3, a, None, a, a) for k, a in enumerate(begin)]).withColumn("cost", F.lit(big).cast("decimal(10,2)"))
+    ru.refresh(t, path)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for name, module in (("revenue", m), ("payment_breakdown", m), ("therapist_period_stats", th)):
+        assert rows(getattr(ru, name)(spark, t, path, now)) == rows(getattr(module, name)(t, now)), name
+    assert max(r.revenue for r in ru.revenue(spark, t, path, now).collect()) == 5 * big
