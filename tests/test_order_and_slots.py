@@ -152,3 +152,23 @@ def test_a_thousand_instants_equal_single_answers(spark, t):  # noqa: F811
         assert free[a] == ",".join(str(r.rid) for r in live.rooms_available_now(t, a).collect())
         assert staff[a] == ",".join(str(r.eid) for r in live.staff_available_now(t, a).collect())
         assert got.get(a, set()) == {r.ttid for r in live.busy_now(t, a).collect()}
+
+
+def test_lists_of_free_resources_are_not_shuffled(spark, t, request):  # noqa: F811
+    from final_plan import _walk
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    now = datetime(1995, 6, 1)
+    t["transaction_items"] = _df(spark, "transaction_items", [item(i, 1 + i % 3, at(30 * i)) for i in range(1, 9)])
+    e = spark.createDataFrame([(i, i) for i in range(1, 9)], "req_id long, ttid long")
+    for df in (sl.edit_therapist_slot_sets(t, e, now), sl.edit_candidate_therapists(t, e, now), sl.edit_candidate_rooms(t, e)):
+        df.collect()
+        columns = [[a.name() for a in _seq(node.output())] for node in _walk(df._jdf.queryExecution().executedPlan()) if node.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        assert any("busy" in c for c in columns)
+        assert all("slot_start" not in c and "req_id" not in c and "free" not in c for c in columns if "entries" in c), columns
+
+
+def _seq(s):
+    return [s.apply(i) for i in range(s.size())]
