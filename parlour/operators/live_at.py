@@ -14,6 +14,9 @@ from parlour.functions.temporal import duration_micros, employed
 from parlour.operators.slots import free_set_rows, free_sets
 
 
+DAY_SALTS = 2  # parts to which a day's staff is sent: there are many days of few instants each
+
+
 def _open_items(t: dict[str, DataFrame]) -> DataFrame:
     return t["transaction_items"].where(F.col("actual_end").isNull())
 
@@ -49,9 +52,13 @@ def rooms_available_at(t: dict[str, DataFrame], instants: DataFrame) -> DataFram
 def staff_on_days(t: dict[str, DataFrame], days: DataFrame) -> DataFrame:
     """(day, eid) of those employed (to the last day) with an active role on each of ``days`` (day)."""
     d = days.select("day", F.col("day").cast("timestamp_ntz").alias("d0"), F.timestamp_add("MICROSECOND", F.lit(1), F.col("day").cast("timestamp_ntz")).alias("d1"))
-    far = F.lit("9999-12-31").cast("date")
-    roles = t["roles"].select("eid", F.col("start_date").cast("timestamp_ntz").alias("r0"), F.coalesce("end_date", far).cast("timestamp_ntz").alias("r1"))
-    active = time_overlap_pairs(d, roles, ("d0", "d1"), ("r0", "r1")).select("day", "eid").distinct()
+    # the days go to the roles, as they are at most those of a calendar; a role is cut to the days asked for, since an open
+    # end would put it into the buckets of some 8,000 years
+    env = days.agg(F.min("day").alias("_lo"), F.date_add(F.max("day"), 1).alias("_hi"))
+    cut = t["roles"].crossJoin(F.broadcast(env)).select("eid", F.greatest("start_date", "_lo").alias("r0"), F.least(F.coalesce("end_date", "_hi"), "_hi").alias("r1"),
+                                                        F.col("start_date").isNotNull().alias("_given")).where("_given AND r0 < r1")
+    roles = cut.select("eid", F.col("r0").cast("timestamp_ntz").alias("r0"), F.col("r1").cast("timestamp_ntz").alias("r1"))
+    active = time_overlap_pairs(F.broadcast(d), roles, ("d0", "d1"), ("r0", "r1")).select("day", "eid").distinct()
     e = t["employees"].select("eid", "employment_end")
     return active.join(e, "eid").where(employed(F.col("employment_end"), F.col("day"), inclusive=True)).select("day", "eid")
 
@@ -61,7 +68,7 @@ def staff_available_at(t: dict[str, DataFrame], instants: DataFrame) -> DataFram
     number = lambda day: F.datediff(day, F.lit("1970-01-01").cast("date"))
     slots = _slots(instants).withColumn("cls", number(F.to_date("at")))
     staff = staff_on_days(t, slots.select(F.to_date("at").alias("day")).distinct())
-    free = free_sets(t, slots, staff.select(number(F.col("day")).alias("cls"), F.col("eid").alias("key")), "therapist_eid")
+    free = free_sets(t, slots, staff.select(number(F.col("day")).alias("cls"), F.col("eid").alias("key")), "therapist_eid", salts=DAY_SALTS)
     return free_set_rows(free).select(_at(), "page", "n_free", "free")
 
 

@@ -172,3 +172,16 @@ def test_lists_of_free_resources_are_not_shuffled(spark, t, request):  # noqa: F
 
 def _seq(s):
     return [s.apply(i) for i in range(s.size())]
+
+
+def test_an_open_role_is_cut_to_the_days_asked_for(spark, t, monkeypatch):  # noqa: F811
+    from parlour.operators import live_at
+
+    given = []
+    plain = live_at.time_overlap_pairs
+    monkeypatch.setattr(live_at, "time_overlap_pairs", lambda left, right, a, b: given.append(right) or plain(left, right, a, b))
+    days = spark.createDataFrame([(at(0).date(),), (at(60 * 24 * 40).date(),)], "day date")
+    got = {(r.day, r.eid) for r in live_at.staff_on_days(t, days).collect()}
+    assert got and all(r.r1.year < 2100 for r in given[0].collect())
+    held = given[0].select(F.size(level_buckets(F.col("r0"), F.col("r1"))).alias("n")).collect()
+    assert all(r.n <= 8 for r in held)
