@@ -3,7 +3,7 @@
 The reference updates ``total_paid`` with AFTER triggers as each payment or refund row arrives, changes or goes. Here the
 changes are rows as a change feed gives them: an update carries the new row alone, a delete the key alone. Two
 Structured Streaming queries follow one another. :func:`keep_rows` holds the current row of each payment and refund in
-keyed state and turns a change into signed amounts, what the old row gave is taken off and what the new one gives is
+keyed state, a page of neighbouring keys together, and turns a change into signed amounts, what the old row gave is taken off and what the new one gives is
 added, also where a row moves to another invoice. :func:`keep_totals` holds a running ``sum`` per invoice (stateful
 aggregation in ``update`` mode, no watermark: an invoice can be paid at any time), and writes each micro-batch's changed
 totals to a folder of its own under the sink. The current state is the latest row per invoice; :func:`compact` folds all
@@ -59,29 +59,43 @@ def change_rows(payments: DataFrame, refunds: DataFrame) -> DataFrame:
     return rows(payments, "payment", "pid", "payment_amount").unionByName(rows(refunds, "refund", "refid", "refund_amount"))
 
 
+PAGE_BITS = 10  # rows of a kind are held together by pages of as many keys
+
+
 def _apply_changes(key, frames, state):
-    """One payment's or refund's changes of a micro-batch: the signed amounts, in cents, that its invoices gain."""
+    """One page's changes of a micro-batch: the signed amounts, in cents, that invoices gain. The state holds the page's rows,
+    sorted by key, as five rows of whole numbers: key, seq, tid, cents and whether the row is there (a deleted row leaves its
+    last seq behind, against late changes)."""
+    import numpy as np
     import pandas as pd
 
-    seq, tid, cents = state.get if state.exists else (None, None, 0)
-    old_tid, old_cents = tid, cents
+    held = np.frombuffer(state.get[0], np.int64).reshape(5, -1) if state.exists else np.zeros((5, 0), np.int64)
+    newest = None
     for f in frames:
-        at = f["seq"].idxmax()
-        if seq is None or f["seq"][at] > seq:
-            gone = f["op"][at] == "delete"
-            seq, tid, cents = int(f["seq"][at]), None if gone else int(f["tid"][at]), 0 if gone else int(f["cents"][at])
-    state.update((seq, tid, cents))  # a deleted row leaves its last seq behind, against late changes
-    rows = [(t, c) for t, c in ((old_tid, -old_cents), (tid, cents)) if t is not None and c]
-    if old_tid == tid and rows:
-        rows = [(tid, cents - old_cents)] if cents != old_cents else []
-    yield pd.DataFrame(rows, columns=["tid", "cents"]).astype("int64")
+        f = f if newest is None else pd.concat([newest, f], ignore_index=True)
+        newest = f.sort_values("seq", ascending=False, kind="stable").drop_duplicates("key")  # of equal seq the first
+    new = newest.sort_values("key")[["key", "seq", "tid", "cents", "there"]].to_numpy(np.int64).T
+    at = np.searchsorted(held[0], new[0])
+    known = np.isin(new[0], held[0])
+    old = held[:, np.where(known, at, 0)] if held.shape[1] else np.zeros_like(new)
+    newer = ~known | (new[1] > old[1])
+    new, old, known = new[:, newer], old[:, newer], known[newer]
+    kept = np.concatenate([held[:, ~np.isin(held[0], new[0])], new], 1)
+    state.update((np.ascontiguousarray(kept[:, np.argsort(kept[0])]).tobytes(),))
+    was, now = old[:, known & (old[4] == 1)], new[:, new[4] == 1]
+    gained = pd.DataFrame({"tid": np.concatenate([was[2], now[2]]), "cents": np.concatenate([-was[3], now[3]])}).groupby("tid", as_index=False).sum()
+    yield gained[gained["cents"] != 0].astype("int64")
 
 
 def keep_rows(changes: DataFrame, sink: str, checkpoint: str) -> None:
     """Run the stream ``changes`` (``CHANGE``) over everything available: the signed amounts (tid, cents) go to ``sink``."""
     cents = (F.col("amount") * F.when(F.col("kind") == "refund", -100).otherwise(100)).cast("long")
-    deltas = (changes.select("kind", "key", "seq", "op", "tid", cents.alias("cents")).groupBy("kind", "key")
-              .applyInPandasWithState(_apply_changes, "tid long, cents long", "seq long, tid long, cents long", "append", "NoTimeout"))
+    there = ~F.col("op").eqNullSafe("delete") & F.col("tid").isNotNull()
+    none = F.lit(0).cast("long")
+    rows = changes.where(F.col("seq").isNotNull()).select(
+        "kind", F.shiftright("key", PAGE_BITS).alias("page"), F.coalesce("key", none).alias("key"), "seq",
+        F.coalesce("tid", none).alias("tid"), F.coalesce(cents, none).alias("cents"), there.cast("long").alias("there"))
+    deltas = rows.groupBy("kind", "page").applyInPandasWithState(_apply_changes, "tid long, cents long", "rows binary", "append", "NoTimeout")
     q = (deltas.writeStream.outputMode("append").format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

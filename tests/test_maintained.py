@@ -162,3 +162,15 @@ def test_sums_of_a_period_are_wider_than_one_amount(spark, t, tmp_path):  # noqa
     for name, module in (("revenue", m), ("payment_breakdown", m), ("therapist_period_stats", th)):
         assert rows(getattr(ru, name)(spark, t, path, now)) == rows(getattr(module, name)(t, now)), name
     assert max(r.revenue for r in ru.revenue(spark, t, path, now).collect()) == 5 * big
+
+
+def test_rows_of_neighbouring_keys_are_held_together(spark, tmp_path):
+    keys = 3000
+    for part, (seq, op) in enumerate([(5, "insert"), (5, "update"), (4, "update"), (6, "delete")]):
+        rows = [("payment", k, seq, op, None if op == "delete" else k % 7, None if op == "delete" else Decimal(100 + part)) for k in range(-20, keys, 1 + part)]
+        spark.createDataFrame(rows, CHANGE).repartition(3).write.mode("append").parquet(f"{tmp_path}/changes")
+        sink = run_changes(spark, f"{tmp_path}/changes", str(tmp_path))
+        left = [k for k in range(-20, keys) if part < 3 or (k + 20) % 4]  # equal and older seqs change nothing
+        got = {r.tid: r.total_paid for r in current_totals(spark, sink).collect()}
+        assert got == {d: 100 * sum(k % 7 == d for k in left) for d in range(7)}
+    assert spark.read.format("statestore").load(f"{tmp_path}/_rows").count() <= keys / 1024 + 2
