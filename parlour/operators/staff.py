@@ -68,11 +68,28 @@ def role_history(t: dict[str, DataFrame], as_of) -> DataFrame:
 def search_employees(t: dict[str, DataFrame], terms: DataFrame, as_of, k: int = 10) -> DataFrame:
     """For each ``terms(term_id, q)``: employees whose work name or name ILIKE %q%, first
     ``k`` by work name, labelled Active/Inactive (exclusive). ``%`` and ``_`` in q stay wildcards."""
-    q = terms.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat"))
-    j = pattern_join(t["employees"], ["work_name", "name"], q, "pat").select("term_id", "eid", "work_name", "name", "mobile_number",
+    q = terms.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("asked"))
+    j = pattern_join(t["employees"], ["work_name", "name"], _patterns(q), "pat").select("asked", "eid", "work_name", "name", "mobile_number",
                  F.when(employed_pred(F.col("employment_end"), today(as_of), inclusive=False), "Active")
                  .otherwise("Inactive").alias("status"))
-    return top_k_per_group(j, ["term_id"], [F.asc("work_name"), F.asc("eid")], k)
+    return _first_for_each(q, j, [F.asc("work_name"), F.asc("eid")], k)
+
+
+def _patterns(asked: DataFrame) -> DataFrame:
+    """(asked, pat): the distinct patterns. Each is searched for once, however many ask for it."""
+    return asked.select("asked").where(F.col("asked").isNotNull()).distinct().withColumn("pat", F.col("asked"))
+
+
+def _for_each(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """What was ``found`` for a pattern, for each row of ``asked`` that asks for it."""
+    return asked.join(found, "asked").drop("asked")
+
+
+def _first_for_each(asked: DataFrame, found: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows for each term of ``asked`` (term_id, asked): the first of each pattern, then of each term_id,
+    which may come with several patterns."""
+    first = top_k_per_group(found, ["asked"], order, k).drop("rn")
+    return top_k_per_group(_for_each(asked, first), ["term_id"], order, k)
 
 
 def search_customers(t: dict[str, DataFrame], terms: DataFrame, by: str = "name", k: int = 10) -> DataFrame:
@@ -80,10 +97,10 @@ def search_customers(t: dict[str, DataFrame], terms: DataFrame, by: str = "name"
     first ``k`` by name; a term shorter than 2 characters after trimming finds nothing."""
     col = "mobile_number" if by == "mobile" else "name"
     q = terms.select("term_id", F.regexp_replace("q", r"(?U)^\s+|\s+$", "").alias("q")).where(F.length("q") >= 2)
-    q = q.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("pat"))
-    j = pattern_join(t["customers"], [col], q, "pat").select(
-        "term_id", "cid", "name", "mobile_number", "nric_fin_passport_no", "country_code")
-    return top_k_per_group(j, ["term_id"], [F.asc("name"), F.asc("cid")], k)
+    q = q.select("term_id", F.concat(F.lit("%"), F.col("q"), F.lit("%")).alias("asked"))
+    j = pattern_join(t["customers"], [col], _patterns(q), "pat").select(
+        "asked", "cid", "name", "mobile_number", "nric_fin_passport_no", "country_code")
+    return _first_for_each(q, j, [F.asc("name"), F.asc("cid")], k)
 
 
 def find_customer(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
@@ -92,14 +109,15 @@ def find_customer(t: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     requests with an empty term are absent."""
     r = requests.select("req_id", "by", "term").where(F.length("term") > 0)
     c = t["customers"].select("cid", "name", "mobile_number")
-    pat = r.withColumn("pat", F.concat(F.lit("%"), F.col("term"), F.lit("%")))
     by_cid = r.where(~F.col("by").eqNullSafe("mobile") & ~F.col("by").eqNullSafe("name")).select(
         "req_id", F.col("term").try_cast("long").alias("cid"))
     j = c.join(by_cid, "cid").select("req_id", *c.columns)
+    first = F.min(F.struct("cid", "name", "mobile_number")).alias("m")
     for by, col in (("mobile", "mobile_number"), ("name", "name")):
-        j = j.unionByName(pattern_join(c, [col], pat.where(F.col("by") == by), "pat").select("req_id", *c.columns))
-    best = j.groupBy("req_id").agg(F.min(F.struct("cid", "name", "mobile_number")).alias("m"))
-    return best.select("req_id", "m.cid", "m.name", "m.mobile_number")
+        q = r.where(F.col("by") == by).select("req_id", F.concat(F.lit("%"), F.col("term"), F.lit("%")).alias("asked"))
+        found = pattern_join(c, [col], _patterns(q), "pat").groupBy("asked").agg(first)
+        j = j.unionByName(_for_each(q, found).select("req_id", "m.*"))
+    return j.groupBy("req_id").agg(first).select("req_id", "m.cid", "m.name", "m.mobile_number")
 
 
 def service_catalog(t: dict[str, DataFrame], as_of, check_active_from: bool = False) -> DataFrame:

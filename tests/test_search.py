@@ -33,3 +33,28 @@ def test_rows_multiply_only_under_the_rarest_asked_pairs(spark):
     assert {"01", "19"} <= set(held) and len(held) <= 4
     got = joins.pattern_join(rows, ["name"], terms, "pat").collect()
     assert sorted((r.term_id, r.id) for r in got) == [(1, 1)] + [(2, i) for i in range(1900, 2000)]
+
+
+def test_a_pattern_is_searched_once_however_many_ask_for_it(spark, monkeypatch):
+    from parlour.operators import staff as st
+
+    people = spark.createDataFrame([(i, f"Ann {i % 30:02}", f"9{i:07}", "x", "SG") for i in range(90)], "cid long, name string, mobile_number string, nric_fin_passport_no string, country_code string")
+    searched = []
+
+    def recorded(rows, columns, terms, pattern):
+        searched.append(terms.count())
+        return joins.pattern_join(rows, columns, terms, pattern)
+
+    monkeypatch.setattr(st, "pattern_join", recorded)
+    terms = [(i, f" 0{i % 3}") for i in range(60)] + [(0, "07"), (None, "08"), (None, "08"), (99, "\\07"), (98, None)]
+    got = st.search_customers({"customers": people}, spark.createDataFrame(terms, "term_id long, q string"), k=4).collect()
+    want = []
+    for term in {i for i, q in terms}:
+        found = [(f"Ann {c % 30:02}", c) for i, q in terms if i == term and q for c in range(90) if q.strip().replace("\\", "") in f"Ann {c % 30:02}"]
+        want += [(term, n + 1, *x) for n, x in enumerate(sorted(found)[:4])]
+    assert sorted(((r.term_id, r.rn, r.name, r.cid) for r in got), key=repr) == sorted(want, key=repr)
+    assert searched == [6]
+    requests = [(i, "name", "07") for i in range(40)] + [(i, "mobile", "9000000") for i in range(40, 60)] + [(0, "cid", "5")]
+    best = st.find_customer({"customers": people}, spark.createDataFrame(requests, "req_id long, by string, term string")).collect()
+    assert sorted((r.req_id, r.cid) for r in best) == [(0, 5)] + [(i, 7) for i in range(1, 40)] + [(i, 0) for i in range(40, 60)]
+    assert searched[1:] == [1, 1]
