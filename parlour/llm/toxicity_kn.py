@@ -33,6 +33,7 @@ DISCOUNT = 0.75
 RATIO_UNIT = 2.0**-24  # ratios are whole numbers of it, so that sums do not depend on the order of rows
 PORTION_CHARS = 2_000_000  # texts whose grams are counted together, about
 CHUNK_CHARS = 16_000_000  # texts whose words are listed together, at most (but one text at least)
+WORD_BYTES = 250_000  # words whose letters are looked at together: some 60 bytes of arrays for each
 CALIBRATION_ROWS = 4000  # labelled rows on which the logistic function is fitted, at most
 FOLDS = 4  # a calibration row is scored without the counts of its fold
 TOP = 3
@@ -85,12 +86,12 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"cls": np.int32(cls), "gram": u, "n": np.bincount(at, n[w], len(u)).astype(np.int64)})
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
-    """Texts of PORTION_CHARS together, about."""
+def _portions(texts: list, most: int = PORTION_CHARS) -> Iterator[list]:
+    """Texts (or words) of ``most`` characters together, about."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and size < PORTION_CHARS:
+        while end < len(texts) and size < most:
             size += len(texts[end])
             end += 1
         yield texts[at:end]
@@ -228,8 +229,8 @@ def _chunk_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(chunk, gram): the distinct grams of each chunk's words."""
     for b in batches:
         for chunk, ws in zip(b["chunk"].tolist(), b["words"]):
-            g, _, _ = gram_positions(ws.encode("utf-8", "replace").split(b" "))
-            yield pd.DataFrame({"chunk": chunk, "gram": np.unique(g)})
+            some = [np.unique(gram_positions(part)[0]) for part in _portions(ws.encode("utf-8", "replace").split(b" "), WORD_BYTES)]
+            yield pd.DataFrame({"chunk": chunk, "gram": np.unique(np.concatenate(some))})
 
 
 def document_features(docs: DataFrame, tables: dict, models: list[int]) -> DataFrame:
@@ -251,10 +252,13 @@ def document_features(docs: DataFrame, tables: dict, models: list[int]) -> DataF
         ws = (texts["words"][0] or "").encode("utf-8", "replace").split()
         ratio = np.zeros((len(names), len(ws)))
         if ws:
-            g, _, w = gram_positions(ws)
-            given = given.sort_values("gram", ignore_index=True)
-            where = np.searchsorted(given["gram"].to_numpy(), g)
-            ratio = np.stack([np.bincount(w, given[r].to_numpy()[where], len(ws)) for r in names])  # whole numbers: exact in any order
+            given, done = given.sort_values("gram", ignore_index=True), 0
+            for part in _portions(ws, WORD_BYTES):
+                g, _, w = gram_positions(part)
+                where = np.searchsorted(given["gram"].to_numpy(), g)
+                for j, r in enumerate(names):  # whole numbers: exact in any order
+                    ratio[j, done:done + len(part)] = np.bincount(w, given[r].to_numpy()[where], len(part))
+                done += len(part)
         x = [_features(c, ratio[int(j)]) for c, j in zip(texts["counts"], texts["at"])]
         return pd.DataFrame({"chunk": texts["chunk"], "place": texts["place"], "x": x})
 

@@ -172,3 +172,18 @@ def test_quality_of_string_identifiers_and_an_overlong_document(spark):
     model = fit_quality(docs, labels, sample_lines=2000)
     got = {r.doc_id: r.score for r in quality_scores(docs, model).collect()}
     assert min(got[f"d{i}"] for i in range(1, 80, 2)) > 0.5 > max(got[f"d{i}"] for i in range(0, 80, 2))
+
+
+def test_a_chunk_of_many_words_is_looked_at_in_portions(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from parlour.llm import toxicity_kn as kn
+
+    ws = sorted({f"{a}{b}{c}" * 3 for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"})
+    whole, most, plain = kn.gram_positions([w.encode() for w in ws])[0], [], kn.gram_positions
+    monkeypatch.setattr(kn, "WORD_BYTES", 500)
+    monkeypatch.setattr(kn, "gram_positions", lambda part: most.append(sum(map(len, part))) or plain(part))
+    got = pd.concat(kn._chunk_grams(iter([pd.DataFrame({"chunk": [7], "words": [" ".join(ws)]})])))
+    assert got["gram"].tolist() == np.unique(whole).tolist() and set(got["chunk"]) == {7}
+    assert len(most) > 5 and max(most) < 600
