@@ -56,6 +56,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def written_freed(df: DataFrame, tag: str) -> DataFrame:
+    """``written``, after which the shuffle files of its job are deleted at once. Else they stay on disk until the
+    driver's garbage collector finds that nothing refers to them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, tag)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

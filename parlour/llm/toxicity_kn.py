@@ -16,6 +16,7 @@ the bounded sample that they are fitted on.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from typing import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlour.llm.bloom import may_hold, members
-from parlour.llm.common import dropped, written
+from parlour.llm.common import dropped, written_freed as written
 
 ORDER = 6  # letters of a gram, the word's edges included
 SHARED = 2  # orders up to this one are shared by the classes
@@ -181,16 +182,38 @@ def word_ratios(ws: list[bytes], tables: dict) -> np.ndarray:
     return np.bincount(w, [got[x] for x in g.tolist()], len(ws)) * RATIO_UNIT
 
 
-def _counted_words(texts: list[str]) -> tuple[list[bytes], str]:
-    """Each text's words as numbers with their counts, and the numbered words, joined by spaces."""
+def _counted_words(texts: list[str]) -> tuple[list[bytes], bytes]:
+    """Each text's words as numbers with their counts, and the numbered words, joined by spaces; all of it deflated.
+
+    Words of many texts have the lowest numbers, so that a text's numbers lie close together; those of about as many texts
+    stand in the order of their letters."""
     number: dict = {}
-    out = []
+    held = []
     for t in texts:
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.uint32)
         u, n = np.unique(ids, return_counts=True)
+        held.append((u, n.astype(np.uint32)))
+    ws = list(number)
+    in_texts = np.zeros(len(ws), np.int64)
+    for u, _ in held:
+        in_texts[u] += 1
+    order = np.array(sorted(range(len(ws)), key=ws.__getitem__), np.int64)
+    order = order[np.argsort(-np.frexp(in_texts[order])[1], kind="stable")]
+    rank = np.empty(len(ws), np.uint32)
+    rank[order] = np.arange(len(ws), dtype=np.uint32)
+    out = []
+    for u, n in held:
+        at = np.argsort(rank[u])
         # bytes of equal weight side by side: mostly zeros, which compress well
-        out.append(np.stack([u, n.astype(np.uint32)]).view(np.uint8).reshape(-1, 4).T.tobytes())
-    return out, b" ".join(number).decode("utf-8", "replace")
+        both = np.stack([np.diff(rank[u][at], prepend=np.uint32(0)), n[at]])
+        out.append(zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes()))
+    return out, zlib.compress(b" ".join(ws[i] for i in order))
+
+
+def _uncounted(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's words, ascending, and their counts."""
+    step, n = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(2, -1)
+    return np.cumsum(step, dtype=np.int64), n
 
 
 def _chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -214,7 +237,7 @@ def _chunked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def _features(counts: bytes, ratios: np.ndarray) -> tuple:
-    u, n = np.frombuffer(counts, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(2, -1)
+    u, n = _uncounted(counts)
     total = int(n.sum())
     if not total:
         return 0.0, 0.0, 0.0, 0.0
@@ -233,23 +256,31 @@ def _chunk_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"chunk": chunk, "gram": np.unique(np.concatenate(some))})
 
 
+def _inflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks with their words as text; those without words are left out."""
+    for b in batches:
+        for chunk, ws in zip(b["chunk"].tolist(), b["words"]):
+            if plain := zlib.decompress(ws).decode("utf-8", "replace"):
+                yield pd.DataFrame({"chunk": [chunk], "words": [plain]})
+
+
 def document_features(docs: DataFrame, tables: dict, models: list[int]) -> DataFrame:
     """(row, x): length-normalised ratios of each text of ``docs`` (row, text, at), in the model ``models[at]``: per word, per root of words, of its
     TOP words, and the logarithm of the number of words.
 
-    A chunk's texts keep numbers for their words. The distinct grams of a chunk meet the ratios in a join on the gram, to
+    A chunk's texts keep numbers for their words; numbers and words are deflated, as they are stored once and shuffled once. The distinct grams of a chunk meet the ratios in a join on the gram, to
     which a gram comes once a chunk however frequent it is; ratios and texts of a chunk then meet in one group, bounded by
     the chunk, and the features go back to the rows by chunk and place."""
-    chunked = F.pandas_udf(_chunked, "struct<chunk: long, place: long, counts: binary, words: string>").asNondeterministic()
+    chunked = F.pandas_udf(_chunked, "struct<chunk: long, place: long, counts: binary, words: binary>").asNondeterministic()
     held = written(docs.select("row", "at", chunked("text").alias("c")).select("row", "at", "c.*"), "op8-counted")
-    listed = held.filter(F.col("words").isNotNull() & (F.col("words") != "")).select("chunk", "words")
-    grams = written(listed.mapInPandas(_chunk_grams, "chunk long, gram long"), "op8-chunk-grams")
+    listed = held.filter(F.col("words").isNotNull()).select("chunk", "words")
+    grams = written(listed.mapInPandas(lambda batches: _chunk_grams(_inflated(batches)), "chunk long, gram long"), "op8-chunk-grams")
     ratios = gram_ratios(grams.select("gram").distinct(), tables, models)
     names = [f"r{j}" for j in range(len(models))]
 
     def features(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values("place", ignore_index=True)
-        ws = (texts["words"][0] or "").encode("utf-8", "replace").split()
+        ws = zlib.decompress(texts["words"][0]).split()
         ratio = np.zeros((len(names), len(ws)))
         if ws:
             given, done = given.sort_values("gram", ignore_index=True), 0

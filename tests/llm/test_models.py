@@ -187,3 +187,35 @@ def test_a_chunk_of_many_words_is_looked_at_in_portions(monkeypatch):
     got = pd.concat(kn._chunk_grams(iter([pd.DataFrame({"chunk": [7], "words": [" ".join(ws)]})])))
     assert got["gram"].tolist() == np.unique(whole).tolist() and set(got["chunk"]) == {7}
     assert len(most) > 5 and max(most) < 600
+
+
+def test_counted_words_are_stored_in_few_bytes_and_read_back():
+    rnd = np.random.default_rng(5)
+    vocabulary = [bytes(w).decode() for w in rnd.integers(97, 123, (20_000, 7), np.uint8)]
+    texts = [" ".join(vocabulary[i] for i in rnd.zipf(1.2, 400) % len(vocabulary)) for _ in range(300)] + ["", "12 !!"]
+    counts, ws = kn._counted_words(texts)
+    numbered = list(kn._inflated(iter([kn.pd.DataFrame({"chunk": [3], "words": [ws]})])))[0]["words"][0].encode().split()
+    for t, c in zip(texts, counts):
+        u, n = kn._uncounted(c)
+        assert {numbered[i]: m for i, m in zip(u, n.tolist())} == Counter(kn.words(t)) and (np.diff(u) > 0).all()
+    assert sum(map(len, counts)) < 3 * sum(len(set(kn.words(t))) for t in texts)  # 8 bytes a word before
+
+
+def test_a_freed_write_leaves_no_shuffle_files(spark):
+    import time
+
+    from parlour.llm.common import dropped, written_freed
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, None)
+    out = written_freed(spark.range(10_000).groupBy((F.col("id") % 500).alias("k")).agg(F.sum("id").alias("n")), "test-freed")
+    for _ in range(50):  # files are deleted soon after, not before the write returns
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and out.count() == 500 and spark.conf.get(key, None) == held
+    dropped(out)
