@@ -182,12 +182,18 @@ def refunds(raw) -> DataFrame:
     ), "refunds")
 
 
-def transactions_base(raw, items: DataFrame) -> DataFrame:
-    """Invoice headers before the stored totals are filled in (totals NULL)."""
+def transactions(raw, items: DataFrame, payments: DataFrame, refunds: DataFrame) -> DataFrame:
+    """Invoice headers with the totals as the triggers keep them: per-tid aggregates joined straight onto the orders (no
+    self join), so Catalyst drops each join when its columns are not read. One aggregate of the items tells both their
+    sums and whether there are any."""
+    money0 = F.lit(0).cast(MONEY)
     o = raw["orders"]
     tid = o.o_orderkey
-    has_items = items.select(F.col("tid").alias("o_orderkey")).distinct().withColumn("_has", F.lit(True))
-    o = o.join(has_items, "o_orderkey", "left")
+    item_sums = items.groupBy(F.col("tid").alias("o_orderkey")).agg(F.sum("cost").alias("_c"), F.sum("item_discount").alias("_d"))
+    paid = payments.groupBy(F.col("tid").alias("o_orderkey")).agg(F.sum("payment_amount").alias("_p"))
+    refunded = refunds.groupBy(F.col("tid").alias("o_orderkey")).agg(F.sum("refund_amount").alias("_r"))
+    o = (o.join(item_sums.withColumn("_has", F.lit(True)), "o_orderkey", "left")
+         .join(paid, "o_orderkey", "left").join(refunded, "o_orderkey", "left"))
     created = add_hours(o.o_orderdate, 9 + tid % 10)
     status = (F.when(o.o_orderstatus == "F", "completed").when(tid % 10 == 0, "refunded").when(tid % 10 == 1, "cancelled")
               .when(o.o_orderstatus == "P", "paid").when(tid % 2 == 0, "partial").otherwise("pending"))
@@ -196,7 +202,8 @@ def transactions_base(raw, items: DataFrame) -> DataFrame:
         tid.alias("tid"), o.o_custkey.alias("cid"), (tid % 10).alias("cashier_eid"),
         bill.alias("billlevel_discount"),
         F.when(bill > 0, "promo").otherwise("none").alias("billlevel_discount_type"),
-        F.lit(None).alias("total_cost"), F.lit(None).alias("total_discount"), F.lit(None).alias("total_paid"),
+        F.coalesce("_c", money0).alias("total_cost"), (F.coalesce("_d", money0) + bill).alias("total_discount"),
+        (F.coalesce("_p", money0) - F.coalesce("_r", money0)).alias("total_paid"),
         F.when(tid % 97 != 0, created).alias("entry_time"),
         F.when((o.o_orderstatus != "O") & (tid % 97 != 0), add_hours(o.o_orderdate, 11 + tid % 10)).alias("exit_time"),
         status.alias("status"), created.alias("created_at"), created.alias("updated_at"),
@@ -218,17 +225,5 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["transaction_items"] = transaction_items(raw, t["services"])
     t["payments"] = payments(raw)
     t["refunds"] = refunds(raw)
-    base = transactions_base(raw, t["transaction_items"])
-    # stored totals as the triggers keep them: per-tid aggregates joined straight onto the
-    # header (no self join), so Catalyst drops each join when its columns are not read
-    money0 = F.lit(0).cast(MONEY)
-    items = t["transaction_items"].groupBy("tid").agg(F.sum("cost").alias("_c"), F.sum("item_discount").alias("_d"))
-    paid = t["payments"].groupBy("tid").agg(F.sum("payment_amount").alias("_p"))
-    refunded = t["refunds"].groupBy("tid").agg(F.sum("refund_amount").alias("_r"))
-    j = (base.drop("total_cost", "total_discount", "total_paid").join(items, "tid", "left")
-         .join(paid, "tid", "left").join(refunded, "tid", "left"))
-    t["transactions"] = conform(j.select(
-        "*", F.coalesce("_c", money0).alias("total_cost"),
-        (F.coalesce("_d", money0) + F.coalesce("billlevel_discount", money0)).alias("total_discount"),
-        (F.coalesce("_p", money0) - F.coalesce("_r", money0)).alias("total_paid")), "transactions")
+    t["transactions"] = transactions(raw, t["transaction_items"], t["payments"], t["refunds"])
     return t

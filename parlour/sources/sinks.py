@@ -19,6 +19,12 @@ def _plain(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+def _time_text(c: Column) -> Column:
+    """A time as ISO text. Most times are whole seconds: their pattern has no fraction, which else has to be cut off again."""
+    with_fraction = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    return F.when(F.date_trunc("second", c) == c, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(with_fraction)
+
+
 def _ready(c: Column, kind: T.DataType) -> Column:
     """``c`` with decimals as doubles, dates and times as ISO text (microseconds if there are any), also inside
     structs, arrays and map values."""
@@ -29,7 +35,7 @@ def _ready(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+        text = _time_text(c)
         return text if isinstance(kind, T.TimestampNTZType) else F.concat(text, F.date_format(c, "xxx"))
     if isinstance(kind, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[_ready(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))

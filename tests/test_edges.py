@@ -163,3 +163,24 @@ def test_distributed_ranking_equals_single_task_window(spark, parts):
         "eid", F.rank().over(w1).alias("rk"), F.lag("revenue").over(w2).alias("a"),
         F.lead("revenue").over(w2).alias("b")).collect()}
     assert got == exp
+
+
+def test_invoice_headers_read_the_items_once(spark):
+    from parlour.plans.tables import tables
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scans = lambda df: len([s for s in plan(df).split("FileScan ") if "lineitem.parquet" in s])
+    assert scans(t["transactions"]) == 1 and scans(cu.transaction_detail(t)) == 2  # the headers' totals, the lists
+    assert scans(t["transactions"].select("tid", "cid", "status")) == 0
+
+
+def test_times_as_json_text_with_and_without_a_fraction(spark):
+    from parlour.sources.sinks import json_ready
+
+    at = [datetime(2000, 6, 14, 10), datetime(2000, 6, 14, 10, 0, 0, 500), datetime(1961, 1, 2, 3, 4, 5), datetime(1961, 1, 2, 3, 4, 5, 999999), None]
+    df = spark.createDataFrame([(i, [x], x) for i, x in enumerate(at)], "i int, l array<timestamp_ntz>, x timestamp_ntz")
+    got = json_ready(df).orderBy("i").collect()
+    assert [r.x for r in got] == [x and x.isoformat() for x in at] == [r.l[0] for r in got]
+    text = json_ready(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_trunc" in text.lower() or "trunctimestamp" in text.lower()  # whole seconds take the short pattern
