@@ -198,12 +198,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = found.groupBy("window").agg(F.first("seed").alias("seed"), F.first("d_at").alias("d_at"), F.first("d_tokens").alias("d_tokens"))
     windows = windows.withColumn("salt", F.pmod(F.col("window"), F.lit(SEED_SALTS)))
     dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SEED_SALTS - 1).cast("long"))))
-    met = windows.join(dealt, ["seed", "salt"]).mapInPandas(verify, f"window long, item {item_type}, eq long, n long")
+    # the hint: salted sides are sized from the file before the explode, and would be broadcast SEED_SALTS or SALTS times as large
+    met = windows.join(dealt.hint("merge"), ["seed", "salt"]).mapInPandas(verify, f"window long, item {item_type}, eq long, n long")
     met = written(met, "op7-verified")
     spread = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     keyed = found.select("id", "text_key", "window", spread.alias("salt")).distinct()
     dealt = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return (keyed.join(dealt, ["window", "salt"]).groupBy("id", "text_key", "item")
+    return (keyed.join(dealt.hint("merge"), ["window", "salt"]).groupBy("id", "text_key", "item")
             .agg(F.max(F.struct("eq", "n")).alias("best"))
             .select(F.col("id").alias("doc_id"), "text_key", F.col("item").alias("item_id"),
                     F.col("best.eq").alias("equal_tokens"), F.col("best.n").alias("verified_tokens")))

@@ -95,7 +95,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         value = F.shiftrightunsigned("cell", 2 * j).bitwiseAND(F.lit(3))
         steps += [F.when(value < 2, cell + F.lit(1 << (2 * j))), F.when(value > 0, cell - F.lit(1 << (2 * j)))]
     probes = own.select("fp", "pc", "half", F.explode(F.array_compact(F.array(*steps))).alias("cell"))
-    a, b = probes.alias("a"), own.alias("b")
+    # sides are sized from the points' file, not from what is exploded: without the hint a few MB of points are broadcast as 66 rows each
+    a, b = probes.alias("a").hint("merge"), own.alias("b")
     met = a.join(b, [F.col("a.half") == F.col("b.half"), F.col("a.cell") == F.col("b.cell"), F.col("a.fp") < F.col("b.fp"),
                      manhattan(F.col("a.pc"), F.col("b.pc")) <= max_bits,
                      F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits])

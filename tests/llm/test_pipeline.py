@@ -65,3 +65,22 @@ def test_stages_take_nulls_repeated_rows_and_empty_tables(spark, make_docs, rows
         assert k == len(cp.STAGES) - 1 or out.columns == docs.columns
         docs = out
     assert (docs.count() > 0) == bool(rows)
+
+
+def test_exploded_sides_are_not_broadcast(spark, monkeypatch):
+    """Points, seeds and verified windows are small files, but not once they are exploded."""
+    from parlour.llm import decontaminate, simhash
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, tag: plans.append((tag, plan(df))) or plain(df, tag))
+    points = plain(spark.createDataFrame([(i * 977,) for i in range(50)], "fp long"), "test-points")
+    passage = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage), (2, "nothing of it")], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(7, passage)], "item_id long, text string"))
+    plans += [("links", plan(simhash.near_links(points))), ("found", plan(found))]
+    joined = {tag: p for tag, p in plans if "Join" in p}
+    assert set(joined) == {"op7-verified", "links", "found"}
+    assert not [tag for tag, p in joined.items() if "Broadcast" in p]
+    assert [r.doc_id for r in found.collect()] == [1]
