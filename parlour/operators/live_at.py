@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlour.functions.bitmaps import member_sets, overlapping_sets, page_of
 from parlour.functions.intervals import envelope_filter, time_overlap_pairs
 from parlour.functions.temporal import duration_micros, employed
-from parlour.operators.slots import free_set_rows, free_sets
+from parlour.operators.slots import SALTS, free_set_rows, free_sets
 
 
 DAY_SALTS = 2  # parts to which a day's staff is sent: there are many days of few instants each
@@ -46,29 +47,48 @@ def rooms_available_at(t: dict[str, DataFrame], instants: DataFrame) -> DataFram
     """L3 at each instant: (at, page, n_free, free), the rooms without an item in progress."""
     slots = _slots(instants).withColumn("cls", F.lit(0))
     rooms = t["room"].select(F.lit(0).alias("cls"), F.col("rid").alias("key"))
-    return free_set_rows(free_sets(t, slots, rooms, "rid")).select(_at(), "page", "n_free", "free")
+    return free_set_rows(free_sets(t, slots, member_sets(rooms), "rid")).select(_at(), "page", "n_free", "free")
 
 
-def staff_on_days(t: dict[str, DataFrame], days: DataFrame) -> DataFrame:
-    """(day, eid) of those employed (to the last day) with an active role on each of ``days`` (day)."""
-    d = days.select("day", F.col("day").cast("timestamp_ntz").alias("d0"), F.timestamp_add("MICROSECOND", F.lit(1), F.col("day").cast("timestamp_ntz")).alias("d1"))
-    # the days go to the roles, as they are at most those of a calendar; a role is cut to the days asked for, since an open
-    # end would put it into the buckets of some 8,000 years
+def _instants_of(days: DataFrame) -> DataFrame:
+    first = F.col("day").cast("timestamp_ntz")
+    return days.select("day", first.alias("d0"), F.timestamp_add("MICROSECOND", F.lit(1), first).alias("d1"))
+
+
+def _roles_cut(t: dict[str, DataFrame], days: DataFrame) -> DataFrame:
+    """(eid, r0, r1) of the roles, cut to the days asked for, since an open end would put a role into the buckets of some 8,000 years."""
     env = days.agg(F.min("day").alias("_lo"), F.date_add(F.max("day"), 1).alias("_hi"))
     cut = t["roles"].crossJoin(F.broadcast(env)).select("eid", F.greatest("start_date", "_lo").alias("r0"), F.least(F.coalesce("end_date", "_hi"), "_hi").alias("r1"),
                                                         F.col("start_date").isNotNull().alias("_given")).where("_given AND r0 < r1")
-    roles = cut.select("eid", F.col("r0").cast("timestamp_ntz").alias("r0"), F.col("r1").cast("timestamp_ntz").alias("r1"))
-    active = time_overlap_pairs(F.broadcast(d), roles, ("d0", "d1"), ("r0", "r1")).select("day", "eid").distinct()
+    return cut.select("eid", F.col("r0").cast("timestamp_ntz").alias("r0"), F.col("r1").cast("timestamp_ntz").alias("r1"))
+
+
+def staff_on_days(t: dict[str, DataFrame], days: DataFrame) -> DataFrame:
+    """(day, eid) of those employed (to the last day) with an active role on each of ``days`` (day), a row each."""
+    # the days go to the roles, as they are at most those of a calendar
+    active = time_overlap_pairs(F.broadcast(_instants_of(days)), _roles_cut(t, days), ("d0", "d1"), ("r0", "r1")).select("day", "eid").distinct()
     e = t["employees"].select("eid", "employment_end")
     return active.join(e, "eid").where(employed(F.col("employment_end"), F.col("day"), inclusive=True)).select("day", "eid")
 
 
+def staff_sets_on_days(t: dict[str, DataFrame], days: DataFrame) -> DataFrame:
+    """``staff_on_days`` as bitmaps, (day, page, members): a row a day and page in place of one a day and employee."""
+    over = F.date_add("employment_end", 1).cast("timestamp_ntz")
+    spans = _roles_cut(t, days).join(t["employees"].select("eid", "employment_end"), "eid").select(
+        F.col("eid").alias("key"), F.col("r0").alias("start"), F.least(F.col("r1"), over).alias("end")).where(F.col("start") < F.col("end"))
+    pages = t["employees"].where(F.col("eid").isNotNull()).select(page_of(F.col("eid")).alias("page")).distinct()
+    pages = pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = _instants_of(days).withColumn("salt", F.pmod(F.xxhash64("day"), F.lit(SALTS)).cast("int")).join(pages, "salt")
+    sets = overlapping_sets(asked.select(F.col("d0").alias("slot_start"), F.col("d1").alias("slot_end"), "page"), spans, "members")
+    return sets.select(F.to_date("slot_start").alias("day"), "page", "members")
+
+
 def staff_available_at(t: dict[str, DataFrame], instants: DataFrame) -> DataFrame:
     """L2 at each instant: (at, page, n_free, free), the employees on duty that day without an item in progress."""
     number = lambda day: F.datediff(day, F.lit("1970-01-01").cast("date"))
     slots = _slots(instants).withColumn("cls", number(F.to_date("at")))
-    staff = staff_on_days(t, slots.select(F.to_date("at").alias("day")).distinct())
-    free = free_sets(t, slots, staff.select(number(F.col("day")).alias("cls"), F.col("eid").alias("key")), "therapist_eid", salts=DAY_SALTS)
+    staff = staff_sets_on_days(t, slots.select(F.to_date("at").alias("day")).distinct())
+    free = free_sets(t, slots, staff.select(number(F.col("day")).alias("cls"), "page", "members"), "therapist_eid", salts=DAY_SALTS)
     return free_set_rows(free).select(_at(), "page", "n_free", "free")
 
 
